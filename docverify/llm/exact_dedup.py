@@ -1,8 +1,9 @@
 """Exact duplicates by content sort, with DataFrame operations only.
 
-Normalised texts are dealt by sampled splitters (repartitionByRange), each
-range is sorted externally so that equal texts are adjacent, and the window
-over equal texts compares neighbours in full. A text that many rows share is
+Normalised texts are dealt by sampled splitters (repartitionByRange) on their
+first characters and, where many share those, a checksum: splitters stay short
+however long the texts are. Each range is sorted externally so that equal
+texts are adjacent, and the window over equal texts compares neighbours in full. A text that many rows share is
 first split by a salt; the winners of its splits meet in a second, small sort.
 """
 
@@ -15,6 +16,8 @@ from docverify.plans.storage import written
 
 #: Deleted before comparing.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Characters of a text in the splitters.
+HEAD = 24
 #: A text with more rows than this, and than rows / MAX_HOT, is split.
 HOT_ROWS = 256
 #: At most so many texts can be hot, so their table may be broadcast.
@@ -50,12 +53,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         keyed.withColumn("tag", F.xxhash64("norm"))
         .join(F.broadcast(hot), "tag", "left")  # at most MAX_HOT rows, by least_hot
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("splits")), F.lit(-1).cast("long")))
-        .select("doc_id", "norm", "points", "salt")
+        .select("doc_id", F.substring("norm", 1, HEAD).alias("head"), "tag", "norm", "points", "salt")
     )
-    run = Window.partitionBy("norm", "salt")
+    run = Window.partitionBy("head", "tag", "norm", "salt")
     first = run.orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
     runs = written(
-        salted.repartitionByRange("norm", "salt")
+        salted.repartitionByRange("head", "tag", "salt")
         .withColumn("place", F.row_number().over(first))
         .withColumn("run_keep", F.first("doc_id").over(first))
         .withColumn("run_points", F.first("points").over(first))
@@ -68,11 +71,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "exact-runs",
     )
     # second sort: one row for each split of a hot text
-    whole = Window.partitionBy("norm")
+    whole = Window.partitionBy("head", "norm")
     best = whole.orderBy(F.desc("run_points"), F.asc_nulls_last("run_keep"), "salt")
     merged = (
         runs.where("salt >= 0 and place = 1")
-        .repartitionByRange("norm")
+        .withColumn("head", F.substring("norm", 1, HEAD))
+        .repartitionByRange("head")
         .withColumn("won", F.row_number().over(best) == 1)
         .withColumn("keep_id", F.first("run_keep").over(best))
         .withColumn("group_size", F.sum("run_size").over(whole))
