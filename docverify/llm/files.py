@@ -19,7 +19,7 @@ def write_once(folder: str, name: str, data_parts) -> int:
     store, base = opened(folder)
     store.create_dir(base, recursive=True)
     scratch, size = f"{base}/.{name}.{uuid.uuid4().hex}", 0
-    with store.open_output_stream(scratch) as out:
+    with store.open_output_stream(scratch, compression=None) as out:
         for part in data_parts:
             out.write(part)
             size += len(part)
@@ -29,4 +29,4 @@ def write_once(folder: str, name: str, data_parts) -> int:
 
 def read_stream(folder: str, name: str):
     store, base = opened(folder)
-    return store.open_input_stream(f"{base}/{name}")
+    return store.open_input_stream(f"{base}/{name}", compression=None)
