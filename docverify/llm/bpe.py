@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text in a block, except that a document isn't divided.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Documents a word bucket stands for: buckets grow with the table.
 DOCS_PER_BUCKET = 1_000
 MIN_BUCKETS = 64
@@ -145,9 +145,9 @@ def encode(
             for bucket, numbers in own.items():
                 packed = _pack_words([by_rank[n] for n in numbers], np.array(numbers, np.uint32))
                 rows.append((-1 - bucket, block, None, None, packed))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), parts, strict=True)], schema=parts
-            )
+            columns = zip(zip(*rows, strict=True), parts, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=parts)
+            del known, places, joined, by_rank, words, own, rows, columns
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, bucket, known = _encoding(ranks_path, pattern), None, {}
@@ -188,6 +188,7 @@ def encode(
             sizes.append(unpack(data[8 + n : 8 + n + m]).astype(np.int64))
             flats.append(unpack(data[8 + n + m :]))
         number, size, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (numbers, sizes, flats))
+        del numbers, sizes, flats
         length, start = np.zeros((2, len(number)), np.int64)
         length[number], start[number] = size, np.cumsum(size) - size
         found = []
@@ -228,9 +229,13 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             table[rank] = token
         at = table.__getitem__
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            values = pa.array([None if x is None else b"".join(map(at, x)) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "decoded"])
+            for start in range(0, batch.num_rows, 200):  # few rows as Python objects at a time
+                rows = batch.slice(start, 200)
+                ids = (x.values for x in rows.column("ids"))
+                values = [None if x is None else b"".join(map(at, x.to_numpy().tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(values, pa.binary())], [*batch.schema.names, "decoded"]
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(bytes_of, f"{schema}, decoded binary")
