@@ -127,3 +127,13 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """docs with one document, that of the smallest id, of each component; columns as they were.
+
+    Rows that share an id stay or go together; rows without an id stay.
+    """
+    groups = simhash_duplicates(docs, id_col, text_col, words)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
