@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docverify.llm import bpe, exact_dedup, language, lm_score, mixing, simhash, token_files, toxicity, warc
+from docverify.llm import bpe, exact_dedup, image_copies, language, lm_score, mixing, simhash, token_files, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_documents(spark, sf_dir))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over pictures that Spark derives from every row of embeddings, which is the table with vectors for pixels."""
+    return image_copies.image_copies(image_copies.images_of_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_language": op2_language,
+    "op3_image_copies": op3_image_copies,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
