@@ -10,17 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docverify.functions import lookups as L
+from docverify.functions.bind import let
 
 
 def _fold(digits: Column, count: int, shift: int) -> Column:
     """Verhoeff's running product over the digits from the last to the first."""
-    d, p, back = F.lit(L.VERHOEFF_D), F.lit(L.VERHOEFF_P), F.reverse(digits)
+    d, p = F.lit(L.VERHOEFF_D), F.lit(L.VERHOEFF_P)
 
-    def step(c: Column, i: Column) -> Column:
-        digit = F.substring(back, i + 1, F.lit(1)).try_cast("int")
-        return F.get(d, c * 10 + F.get(p, F.pmod(i + shift, F.lit(8)) * 10 + digit))
+    def over(back: Column) -> Column:
+        def step(c: Column, i: Column) -> Column:
+            digit = F.substring(back, i + 1, F.lit(1)).try_cast("int")
+            return F.get(d, c * 10 + F.get(p, F.pmod(i + shift, F.lit(8)) * 10 + digit))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.lit(0), step)
+
+    return let(F.reverse(digits), over)
 
 
 def empty(c: Column) -> Column:
@@ -29,54 +33,66 @@ def empty(c: Column) -> Column:
 
 def aadhaar(number: Column) -> Column:
     """V1: struct(valid, clean_number, is_masked, reason) of a 12-digit or masked number."""
-    clean = F.regexp_replace(number, r"[\s-]", "")
-    masked = F.trim(number).rlike(r"^[xX*]{4}\s?[xX*]{4}\s?[0-9]{4}$")
-    digits = clean.rlike("^[0-9]{12}$")
-    low = F.substring(clean, 1, 1).isin("0", "1")
-    sound = digits & (_fold(clean, 12, 0) == 0)
-    reason = (
-        F.when(empty(number), "MISSING")
-        .when(masked, "MASKED")
-        .when(~digits, F.when(F.length(clean) != 12, "LENGTH").otherwise("NOT_DIGITS"))
-        .when(low, "FIRST_DIGIT")
-        .when(sound, "OK")
-        .otherwise("CHECKSUM")
-    )
-    spaced = F.concat_ws(" ", F.substring(clean, 1, 4), F.substring(clean, 5, 4), F.substring(clean, 9, 4))
-    shown = (
-        F.when(empty(number), "")
-        .when(masked, F.upper(F.trim(number)))
-        .when(digits & ~low, spaced)
-        .otherwise(clean)
-    )
-    return F.struct(
-        reason.isin("MASKED", "OK").alias("valid"), shown.alias("clean_number"),
-        (reason == "MASKED").alias("is_masked"), reason.alias("reason"),
-    )
+
+    def judged(clean: Column) -> Column:
+        digits = clean.rlike("^[0-9]{12}$")
+        reason = (
+            F.when(empty(number), "MISSING")
+            .when(F.trim(number).rlike(r"^[xX*]{4}\s?[xX*]{4}\s?[0-9]{4}$"), "MASKED")
+            .when(~digits, F.when(F.length(clean) != 12, "LENGTH").otherwise("NOT_DIGITS"))
+            .when(F.substring(clean, 1, 1).isin("0", "1"), "FIRST_DIGIT")
+            .when(_fold(clean, 12, 0) == 0, "OK")
+            .otherwise("CHECKSUM")
+        )
+        return let(reason, lambda r: shown(clean, r))
+
+    def shown(clean: Column, reason: Column) -> Column:
+        spaced = F.concat_ws(" ", F.substring(clean, 1, 4), F.substring(clean, 5, 4), F.substring(clean, 9, 4))
+        text = (
+            F.when(reason == "MISSING", "")
+            .when(reason == "MASKED", F.upper(F.trim(number)))
+            .when(reason.isin("OK", "CHECKSUM"), spaced)
+            .otherwise(clean)
+        )
+        return F.struct(
+            reason.isin("MASKED", "OK").alias("valid"), text.alias("clean_number"), (reason == "MASKED").alias("is_masked"),
+            reason.alias("reason"),
+        )
+
+    return let(F.regexp_replace(number, r"[\s-]", ""), judged)
 
 
 def verhoeff_digit(prefix: Column) -> Column:
     """V2: the check digit of 11 digits (other than digits and of another length: null)."""
-    digits = F.regexp_replace(prefix, "[^0-9]", "")
-    return F.when(F.length(digits) == 11, F.get(F.lit(L.VERHOEFF_INV), _fold(digits, 11, 1)).cast("string"))
+    inverse = F.lit(L.VERHOEFF_INV)
+    return let(
+        F.regexp_replace(prefix, "[^0-9]", ""),
+        lambda digits: F.when(F.length(digits) == 11, F.get(inverse, _fold(digits, 11, 1)).cast("string")),
+    )
 
 
 def pan(number: Column, surname: Column) -> Column:
     """V3: struct(valid, clean_pan, entity, surname_matches, reason); the surname is reported and never fails."""
-    clean = F.regexp_replace(F.upper(F.trim(number)), r"\s", "")
-    shaped = clean.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$")
-    entity = F.substring(clean, 4, 1)
-    known = shaped & F.lit(L.PAN_ENTITIES).contains(entity)
-    differs = (entity == "P") & (F.substring(F.upper(F.trim(surname)), 1, 1) != F.substring(clean, 5, 1))
-    asked = ~empty(F.trim(surname))
-    reason = (
-        F.when(empty(number), "MISSING").when(~shaped, "SHAPE").when(~known, "ENTITY").otherwise("OK")
-    )
-    return F.struct(
-        (reason == "OK").alias("valid"), F.coalesce(clean, F.lit("")).alias("clean_pan"),
-        F.when(reason == "OK", entity).alias("entity"),
-        F.when(reason == "OK", ~(asked & differs) | ~asked).alias("surname_matches"), reason.alias("reason"),
-    )
+
+    def judged(clean: Column) -> Column:
+        entity = F.substring(clean, 4, 1)
+        reason = (
+            F.when(empty(number), "MISSING")
+            .when(~clean.rlike("^[A-Z]{5}[0-9]{4}[A-Z]$"), "SHAPE")
+            .when(~F.lit(L.PAN_ENTITIES).contains(entity), "ENTITY")
+            .otherwise("OK")
+        )
+        differs = (entity == "P") & (F.substring(F.upper(F.trim(surname)), 1, 1) != F.substring(clean, 5, 1))
+        matches = empty(F.trim(surname)) | ~differs
+        return let(
+            reason,
+            lambda r: F.struct(
+                (r == "OK").alias("valid"), F.coalesce(clean, F.lit("")).alias("clean_pan"), F.when(r == "OK", entity).alias("entity"),
+                F.when(r == "OK", matches).alias("surname_matches"), r.alias("reason"),
+            ),
+        )
+
+    return let(F.regexp_replace(F.upper(F.trim(number)), r"\s", ""), judged)
 
 
 def passport_number(number: Column) -> Column:
@@ -103,28 +119,33 @@ def birth_date(text: Column, as_of: Column) -> Column:
             F.when(dmy, F.regexp_extract(raw, _DMY, a)).when(ymd, F.regexp_extract(raw, _YMD, b)).try_cast("int")
         )
 
-    day, month, year = part(1, 3), part(2, 2), part(3, 1)
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    real = month.between(1, 12) & day.between(1, days)
-    born = F.when(real, F.make_date(F.greatest(year, F.lit(1)), month, day))
-    had = (F.month(as_of) * 100 + F.dayofmonth(as_of)) >= (month * 100 + day)
-    age = F.year(as_of) - year - F.when(had, 0).otherwise(1)
-    reason = (
-        F.when(empty(text), "MISSING")
-        .when(~(dmy | ymd), "FORMAT")
-        .when(~month.between(1, 12), "MONTH")
-        .when(~real, "DAY")
-        .when(born > as_of, "FUTURE")
-        .when(age > 120, "AGE")
-        .otherwise("OK")
-    )
-    ok = reason == "OK"
-    shown = F.concat_ws("/", F.lpad(day.cast("string"), 2, "0"), F.lpad(month.cast("string"), 2, "0"), year.cast("string"))
-    return F.struct(
-        ok.alias("valid"), F.when(ok, shown).otherwise(F.coalesce(raw, F.lit(""))).alias("clean_dob"),
-        F.when(reason.isin("OK", "AGE"), age).alias("age"), F.when(ok, age >= 18).alias("is_adult"), reason.alias("reason"),
-    )
+    def judged(d: Column) -> Column:
+        day, month, year = d["day"], d["month"], d["year"]
+        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+        days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        had = (F.month(as_of) * 100 + F.dayofmonth(as_of)) >= (month * 100 + day)
+        age = F.year(as_of) - year - F.when(had, 0).otherwise(1)
+        today = F.year(as_of) * 10000 + F.month(as_of) * 100 + F.dayofmonth(as_of)
+        reason = (
+            F.when(empty(text), "MISSING")
+            .when(year.isNull(), "FORMAT")
+            .when(~month.between(1, 12), "MONTH")
+            .when(~day.between(1, days), "DAY")
+            .when(year * 10000 + month * 100 + day > today, "FUTURE")
+            .when(age > 120, "AGE")
+            .otherwise("OK")
+        )
+        two = lambda c: F.lpad(c.cast("string"), 2, "0")
+        written = F.concat_ws("/", two(day), two(month), year.cast("string"))
+        return let(
+            reason,
+            lambda r: F.struct(
+                (r == "OK").alias("valid"), F.when(r == "OK", written).otherwise(F.coalesce(raw, F.lit(""))).alias("clean_dob"),
+                F.when(r.isin("OK", "AGE"), age).alias("age"), F.when(r == "OK", age >= 18).alias("is_adult"), r.alias("reason"),
+            ),
+        )
+
+    return let(F.struct(part(1, 3).alias("day"), part(2, 2).alias("month"), part(3, 1).alias("year")), judged)
 
 
 def mask(number: Column) -> Column:

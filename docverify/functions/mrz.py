@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docverify.functions.bind import let
 from docverify.functions.checks import empty
 
 
@@ -12,22 +13,32 @@ def check_digit(text: Column) -> Column:
     """V6: the 7-3-1 check digit as a string; other characters than digits and letters count as 0."""
     weights = F.lit([7, 3, 1])
 
-    def step(total: Column, i: Column) -> Column:
-        code = F.ascii(F.upper(F.substring(text, i + 1, F.lit(1))))
-        value = F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0)
-        return total + value * F.get(weights, i % 3)
+    def total(t: Column) -> Column:
+        def step(sum_: Column, i: Column) -> Column:
+            value = let(
+                F.ascii(F.upper(F.substring(t, i + 1, F.lit(1)))),
+                lambda code: F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0),
+            )
+            return sum_ + value * F.get(weights, i % 3)
 
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return (F.aggregate(places, F.lit(0), step) % 10).cast("string")
+        places = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).otherwise(F.array().cast("array<int>"))
+        return (F.aggregate(places, F.lit(0), step) % 10).cast("string")
+
+    return let(text, total)
 
 
 def checked(field: Column, digit: Column) -> Column:
-    expected = check_digit(field)
-    return F.struct((expected == digit).alias("valid"), expected.alias("expected"), digit.alias("actual"))
+    return let(
+        check_digit(field), lambda e: F.struct((e == digit).alias("valid"), e.alias("expected"), digit.alias("actual"))
+    )
 
 
 def short_date(text: Column, as_of: Column, expiry: bool = False) -> Column:
     """V8: YYMMDD as DD/MM/YYYY, the century by as_of; null unless six digits."""
+    return let(text, lambda t: _short_date(t, as_of, expiry))
+
+
+def _short_date(text: Column, as_of: Column, expiry: bool) -> Column:
     yy = F.substring(text, 1, 2).try_cast("int")
     century, now = F.floor(F.year(as_of) / 100) * 100, F.year(as_of) % 100
     if expiry:
@@ -51,27 +62,33 @@ def _line(c: Column) -> Column:
 
 def parse(line1: Column, line2: Column, as_of: Column) -> Column:
     """V7: the zone's fields and check digits; null fields and valid false where a line is missing."""
-    a, b = _line(line1), _line(line2)
-    names = F.split(F.substring(a, 6, 39), "<<")
-    spaced = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<", " "))
-    surname, given = spaced(F.get(names, 0)), spaced(F.get(names, 1))
-    plain = lambda c: F.regexp_replace(c, "<", "")
-    at = lambda i, n=1: F.substring(b, i, n)
-    number, birth, until = checked(at(1, 9), at(10)), checked(at(14, 6), at(20)), checked(at(22, 6), at(28))
-    whole = checked(F.concat(at(1, 10), at(14, 7), at(22, 22)), at(44))
-    valid = number["valid"] & birth["valid"] & until["valid"] & whole["valid"]
-    expiry = short_date(at(22, 6), as_of, expiry=True)
-    sex = F.when(at(21) == "M", "MALE").when(at(21) == "F", "FEMALE").otherwise("UNSPECIFIED")
     there = ~(empty(line1) | empty(line2))
-    fields = {
-        "is_expired": expired(expiry, as_of), "doc_type": plain(F.substring(a, 1, 2)), "country": plain(F.substring(a, 3, 3)),
-        "full_name": F.trim(F.concat_ws(" ", given, surname)), "surname": surname, "given_names": given,
-        "passport_number": plain(at(1, 9)), "nationality": plain(at(11, 3)), "dob": short_date(at(14, 6), as_of),
-        "sex": sex, "expiry_date": expiry, "cd_number": number, "cd_birth": birth, "cd_expiry": until, "cd_composite": whole,
-    }
-    return F.struct(
-        F.when(there, valid).otherwise(False).alias("valid"), *[F.when(there, c).alias(n) for n, c in fields.items()]
-    )
+    plain = lambda c: F.regexp_replace(c, "<", "")
+    spaced = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<", " "))
+
+    def first(l: Column) -> Column:
+        a, b = l["a"], l["b"]
+        at = lambda i, n=1: F.substring(b, i, n)
+        names = F.split(F.substring(a, 6, 39), "<<")
+        sex = F.when(at(21) == "M", "MALE").when(at(21) == "F", "FEMALE").otherwise("UNSPECIFIED")
+        parts = {
+            "doc_type": plain(F.substring(a, 1, 2)), "country": plain(F.substring(a, 3, 3)), "surname": spaced(F.get(names, 0)),
+            "given_names": spaced(F.get(names, 1)), "passport_number": plain(at(1, 9)), "nationality": plain(at(11, 3)),
+            "dob": short_date(at(14, 6), as_of), "sex": sex, "expiry_date": short_date(at(22, 6), as_of, expiry=True),
+            "cd_number": checked(at(1, 9), at(10)), "cd_birth": checked(at(14, 6), at(20)), "cd_expiry": checked(at(22, 6), at(28)),
+            "cd_composite": checked(F.concat(at(1, 10), at(14, 7), at(22, 22)), at(44)),
+        }
+        return let(F.struct(*[c.alias(n) for n, c in parts.items()]), lambda p: whole(p, list(parts)))
+
+    def whole(p: Column, names: list[str]) -> Column:
+        valid = p["cd_number"]["valid"] & p["cd_birth"]["valid"] & p["cd_expiry"]["valid"] & p["cd_composite"]["valid"]
+        more = {"is_expired": expired(p["expiry_date"], as_of), "full_name": F.trim(F.concat_ws(" ", p["given_names"], p["surname"]))}
+        return F.struct(
+            F.when(there, valid).otherwise(False).alias("valid"),
+            *[F.when(there, c).alias(n) for n, c in more.items()], *[F.when(there, p[n]).alias(n) for n in names],
+        )
+
+    return let(F.struct(_line(line1).alias("a"), _line(line2).alias("b")), first)
 
 
 def words(name: Column, longer_than: int) -> Column:
@@ -92,8 +109,11 @@ def compare_visible(number: Column, dob: Column, name: Column, zone: Column) ->
         )
     )
     usable = F.coalesce(zone["valid"], F.lit(False))
-    return F.struct(
-        F.when(~usable, "UNAVAILABLE").when(F.size(found) > 0, "MISMATCH").otherwise("MATCH").alias("status"),
-        F.when(~usable, F.array(F.lit("MRZ"))).otherwise(found).alias("discrepancies"),
-        F.when(~usable, 25).otherwise(F.least(F.lit(35), 20 * F.size(found))).alias("deduction"),
+    return let(
+        found,
+        lambda f: F.struct(
+            F.when(~usable, "UNAVAILABLE").when(F.size(f) > 0, "MISMATCH").otherwise("MATCH").alias("status"),
+            F.when(~usable, F.array(F.lit("MRZ"))).otherwise(f).alias("discrepancies"),
+            F.when(~usable, 25).otherwise(F.least(F.lit(35), 20 * F.size(f))).alias("deduction"),
+        ),
     )

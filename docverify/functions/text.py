@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docverify.functions import lookups as L
+from docverify.functions.bind import let
 
 
 def lines(text: Column) -> Column:
     """The trimmed, non-empty lines."""
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -93,14 +94,18 @@ def plausible_name(line: Column) -> Column:
 
 def name(text: Column) -> Column:
     """The first plausible line within two of an anchor word, else the first plausible line."""
-    own = lines(text)
-    near = F.transform(
-        own,
-        lambda x, i: F.when(
-            x.rlike(L.NAME_ANCHOR), F.array(F.get(own, i - 2), F.get(own, i - 1), F.get(own, i + 1), F.get(own, i + 2))
-        ).otherwise(F.array().cast("array<string>")),
-    )
-    return F.coalesce(F.get(F.filter(F.concat(F.flatten(near), own), plausible_name), 0), F.lit(""))
+
+    def best(own: Column) -> Column:
+        near = F.transform(
+            own,
+            lambda x, i: F.when(
+                x.rlike(L.NAME_ANCHOR), F.array(F.get(own, i - 2), F.get(own, i - 1), F.get(own, i + 1), F.get(own, i + 2))
+            ).otherwise(F.array().cast("array<string>")),
+        )
+        named = F.filter(F.concat(F.flatten(near), own), lambda x: plausible_name(x))
+        return F.coalesce(F.get(named, 0), F.lit(""))
+
+    return let(lines(text), best)
 
 
 def confidence(base: Column, number: Column, birth: Column, name_: Column) -> Column:

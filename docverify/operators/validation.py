@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docverify.functions import checks, mrz
+from docverify.functions.bind import let
 from docverify.functions.checks import empty
 
 
@@ -29,19 +30,24 @@ def rules(doc_type: Column, number: Column, name: Column, dob: Column, line1: Co
     )
     as_pan = kind.contains("PAN") | F.coalesce(trimmed.rlike("(?i)^[A-Z]{5}[0-9]{4}[A-Z]$"), F.lit(False))
     with_dob = ~empty(dob)
-    zone = mrz.parse(line1, line2, as_of)
-    found = {
-        "aadhaar": (as_aadhaar, checks.aadhaar(number)), "pan": (as_pan, checks.pan(number, surname_of(name))),
-        "passport": (as_passport, checks.passport_number(number)), "mrz": (with_zone, zone),
-        "birth": (with_dob, checks.birth_date(dob, as_of)),
+    parts = {
+        "aadhaar": F.when(as_aadhaar, checks.aadhaar(number)), "pan": F.when(as_pan, checks.pan(number, surname_of(name))),
+        "passport": F.when(as_passport, checks.passport_number(number)), "mrz": F.when(with_zone, mrz.parse(line1, line2, as_of)),
+        "birth": F.when(with_dob, checks.birth_date(dob, as_of)),
     }
-    visible = mrz.compare_visible(number, dob, name, zone)
-    count = lambda cs: sum((F.coalesce(c, F.lit(False)).cast("int") for c in cs), F.lit(0))
-    asked = count(on for on, _ in found.values())
-    passed = count(on & r["valid"] for on, r in found.values())
-    differs = with_zone & (visible["status"] != "MATCH")
-    return F.struct(
-        F.when(asked == 0, "UNKNOWN").when((passed < asked) | differs, "FAIL").otherwise("PASS").alias("status"),
-        asked.alias("checked"), passed.alias("passed"), (asked - passed).alias("failed"),
-        *[F.when(on, r).alias(n) for n, (on, r) in found.items()], F.when(with_zone, visible).alias("visible"),
-    )
+
+    def compared(p: Column) -> Column:
+        visible = F.when(p["mrz"].isNotNull(), mrz.compare_visible(number, dob, name, p["mrz"]))
+        return let(visible, lambda v: composite(p, v))
+
+    def composite(p: Column, visible: Column) -> Column:
+        asked = sum((p[n].isNotNull().cast("int") for n in parts), F.lit(0))
+        passed = sum((F.coalesce(p[n]["valid"], F.lit(False)).cast("int") for n in parts), F.lit(0))
+        differs = F.coalesce(visible["status"] != "MATCH", F.lit(False))
+        return F.struct(
+            F.when(asked == 0, "UNKNOWN").when((passed < asked) | differs, "FAIL").otherwise("PASS").alias("status"),
+            asked.alias("checked"), passed.alias("passed"), (asked - passed).alias("failed"),
+            *[p[n].alias(n) for n in parts], visible.alias("visible"),
+        )
+
+    return let(F.struct(*[c.alias(n) for n, c in parts.items()]), compared)

@@ -140,11 +140,47 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, case_id, signal_code, verdict) of reviewers, from events."""
-    codes = ["FORENSICS_LOCAL_ELA_SPIKE", "FORENSICS_NOISE_DISCONTINUITY", "RULE_AADHAAR_CHECKSUM_FAIL", "RULE_PAN_FORMAT_INVALID"]
-    events = _read(spark, sf_dir, "events")
     most = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 1
+    return as_feedback(_read(spark, sf_dir, "events"), most)
+
+
+def as_feedback(events: DataFrame, most: int) -> DataFrame:
+    codes = ["FORENSICS_LOCAL_ELA_SPIKE", "FORENSICS_NOISE_DISCONTINUITY", "RULE_AADHAAR_CHECKSUM_FAIL", "RULE_PAN_FORMAT_INVALID"]
     return events.select(
         "event_id", "ts", (F.col("event_id") % most).alias("case_id"),
-        F.get(F.array(*map(F.lit, codes)), (F.length("event_type") % 4)).alias("signal_code"),
+        F.get(F.array(*map(F.lit, codes)), F.length("event_type") % 4).alias("signal_code"),
         F.when(F.col("value") > 100, "CONFIRMED").otherwise("REJECTED").alias("verdict"),
     )
+
+
+WIDTH, HEIGHT = 120, 72
+#: A picture's pixel in colour k (0 blue, 1 green, 2 red), with two bright tiles for every ninth row.
+PIXEL_SQL = """
+  CASE WHEN i % 9 = 0 AND x BETWEEN 24 AND 71 AND y BETWEEN 24 AND 47 THEN 255
+       ELSE ((3 + i % 5) * x + (5 + i % 7) * y + 13 * i + 40 * k) % 200 END
+"""
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, height, width, data): a picture of each supplier, by the formula of PIXEL_SQL."""
+    import numpy as np
+    import pyarrow as pa
+
+    def drawn(batches):
+        y, x, k = np.mgrid[0:HEIGHT, 0:WIDTH, 0:3]
+        bright = (x >= 24) & (x <= 71) & (y >= 24) & (y <= 47)
+        for batch in batches:
+            ids = [i for i in batch.column(0).to_pylist() if i is not None]
+            for i in ids:
+                p = ((3 + i % 5) * x + (5 + i % 7) * y + 13 * i + 40 * k) % 200
+                p = np.where(bright, 255, p) if i % 9 == 0 else p
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([i], pa.int64()), pa.array([HEIGHT], pa.int32()), pa.array([WIDTH], pa.int32()),
+                        pa.array([p.astype(np.uint8).tobytes()], pa.binary()),
+                    ],
+                    ["image_id", "height", "width", "data"],
+                )
+
+    keys = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long"))
+    return keys.mapInArrow(drawn, "image_id long, height int, width int, data binary")
