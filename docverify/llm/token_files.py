@@ -23,7 +23,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,10 +47,10 @@ BLOCK_IDS = 1 << 18
 #: Consecutive blocks in a file at most.
 FILE_BLOCKS = 16
 END_ID = 0
-#: Chunks of text whose ids a worker remembers.
-MEMO = 500_000
+#: Chunks of text, and pre-tokens, whose ids a worker remembers before it starts anew.
+MEMO = 700_000
 #: Characters tokenized at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -193,31 +195,44 @@ def _tokenizer(path: str):
 class Ids:
     """Ids of texts by a tokenizer file whose pre-tokenizer is byte-level, as whole texts would give.
 
-    No match of its pattern crosses a CHUNK, so chunks are encoded once and
-    remembered; a text with the string of a special token is encoded whole.
+    No match of the pattern crosses a CHUNK. Chunks, and the pre-tokens that a
+    chunk is split into, are remembered, so that each distinct pre-token goes
+    through the tokenizer about once a worker; a text with the string of a
+    special token is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.known: dict[str, bytes] = {}
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.chunks) + len(chunks) > MEMO:
+            self.chunks.clear()
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        parts = {c: self.find(c) for c in chunks}
+        new = list(set().union(*parts.values()) - self.pieces.keys())
+        self.pieces.update(zip(new, self._encoded(new), strict=True))
+        get = self.pieces.__getitem__
+        self.chunks.update((c, b"".join(map(get, p))) for c, p in parts.items())
+
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [CHUNK.findall(t) for t in texts]
-        new = list(set().union(*chunks) - self.known.keys())
-        now = dict(zip(new, self._encoded(new), strict=True))
-        if len(self.known) + len(now) <= MEMO:
-            self.known.update(now)
-            get = self.known.__getitem__
-        else:
-            known = self.known
-            get = lambda c: known.get(c) or now[c]
+        every = set().union(*chunks)
+        new = every - self.chunks.keys()
+        if len(self.chunks) + len(new) > MEMO:
+            new = every  # _learn starts anew
+        self._learn(new)
+        get = self.chunks.__getitem__
         out = [b"".join(map(get, c)) for c in chunks]
         if self.special:
             for i, t in enumerate(texts):
@@ -226,6 +241,12 @@ class Ids:
         return out
 
 
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(path)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     for batch in batches:
         ids, texts, size = [], [], 0
@@ -244,7 +265,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     """Blocks in ascending order of ids (null first): part, block, inner (ids before it in its part), doc_ids, sizes, ids, n."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tokens, number = TaskContext.get().partitionId(), Ids(tokenizer_path), 0
+        part, tokens, number = TaskContext.get().partitionId(), _ids(tokenizer_path), 0
         doc_ids, sizes, parts, n, inner = [], [], [], 0, 0
 
         def row():
