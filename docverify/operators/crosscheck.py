@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docverify.functions.bind import let
 from docverify.functions.checks import empty
 from docverify.functions.mrz import words
 
@@ -42,7 +43,7 @@ def parse_payload(payload: Column) -> Column:
         ).alias(n)
         for n in names
     ]
-    return F.when(payload.isNotNull(), F.struct(*each))
+    return let(F.when(payload.isNotNull(), F.struct(*each)), lambda q: q)
 
 
 def _share_word(a: Column, b: Column) -> Column:
@@ -59,14 +60,16 @@ def compare_qr(doc_type: Column, number: Column, name: Column, dob: Column, qr:
             F.when((last(number) != "") & (last(qr["uid"]) != "") & (last(number) != last(qr["uid"])), "NUMBER"),
         )
     )
-    applies = doc_type == "AADHAAR"
-    status = (
-        F.when(~applies, "MATCH").when(qr.isNull(), "UNAVAILABLE").when(F.size(found) > 0, "MISMATCH").otherwise("MATCH")
-    )
-    return F.struct(
-        status.alias("status"), F.when(status == "MISMATCH", found).otherwise(F.array().cast("array<string>")).alias("discrepancies"),
-        F.when(status == "MISMATCH", 30).otherwise(0).alias("deduction"),
-    )
+
+    def judged(f: Column) -> Column:
+        differs = (doc_type == "AADHAAR") & qr.isNotNull() & (F.size(f) > 0)
+        status = F.when(doc_type != "AADHAAR", "MATCH").when(qr.isNull(), "UNAVAILABLE").when(differs, "MISMATCH").otherwise("MATCH")
+        return F.struct(
+            status.alias("status"), F.when(differs, f).otherwise(F.array().cast("array<string>")).alias("discrepancies"),
+            F.when(differs, 30).otherwise(0).alias("deduction"),
+        )
+
+    return let(found, judged)
 
 
 def attach_registry(df: DataFrame, records: DataFrame, number: str = "id_number") -> DataFrame:

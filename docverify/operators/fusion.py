@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docverify.functions import lookups as L
+from docverify.functions.bind import let
 
 _CAP = L.LAYER_CAPS
 
@@ -39,45 +40,50 @@ def fuse(df: DataFrame) -> DataFrame:
         "OCR_LOW_CONFIDENCE": ("ocr", conf < 0.60, 10 * (1 - conf), False),
         "REF_DATA_MISMATCH": ("reference", F.col("ref_status") == "MISMATCH", F.lit(5.0), True),
     }
-    flagged = df.withColumn("__on", F.struct(*[alive(k, c).alias(k) for k, (_, c, _, _) in raised.items()]))
-    lit = lambda k: F.col("__on")[k]
-    penalty = {
-        layer: F.least(
-            F.lit(float(cap)),
-            sum((F.when(lit(k), p).otherwise(0.0) for k, (own, _, p, _) in raised.items() if own == layer), F.lit(0.0)),
-        )
-        for layer, cap in _CAP.items()
-    }
-    answered = F.col("ref_status").isin("MATCH", "MISMATCH")
-    coverage = {k: F.when(on(answered), v).otherwise(0) if k == "reference" else F.lit(v) for k, v in _CAP.items()}
-    summed = (
-        flagged.withColumn("penalties", F.struct(*[p.alias(k) for k, p in penalty.items()]))
-        .withColumn("coverage", F.struct(*[c.alias(k) for k, c in coverage.items()]))
-        .withColumn("signals", sum((lit(k).cast("int") for k, r in raised.items() if r[3]), F.lit(0)))
-        .withColumn("__score", F.greatest(F.lit(0.0), 100 - sum((F.col("penalties")[k] for k in _CAP), F.lit(0.0))))
-        .withColumn("coverage_pct", sum((F.col("coverage")[k] for k in _CAP), F.lit(0)))
-    )
-    poor = ~F.coalesce("quality_pass", F.lit(True)) | (F.col("coverage_pct") < 50)
-    clear = (F.col("__score") >= 85) & (F.col("signals") == 0)
-    worst = (F.col("__score") < 55) | (F.col("signals") >= 2)
-    none = ~F.greatest(*[lit(k) for k in raised])
-    extra = F.array(
-        F.when(poor, "INSUFFICIENT_EVIDENCE"), F.when(~poor & clear & none, "CLEAN_VERIFICATION")
-    )
-    codes = F.array_compact(F.concat(F.array(*[F.when(lit(k), k) for k in raised]), extra))
+    answered = on(F.col("ref_status").isin("MATCH", "MISMATCH"))
+    coverage = {k: F.when(answered, v).otherwise(0) if k == "reference" else F.lit(v) for k, v in _CAP.items()}
     texts = F.create_map(*[F.lit(x) for kv in L.REASONS.items() for x in kv])
     overridden = lambda c: F.coalesce(F.try_element_at("feedback", c), F.lit("")) != ""
+
+    def weighed(lit: Column) -> Column:
+        penalty = {
+            layer: F.least(
+                F.lit(float(cap)),
+                sum((F.when(lit[k], p).otherwise(0.0) for k, (own, _, p, _) in raised.items() if own == layer), F.lit(0.0)),
+            ).alias(layer)
+            for layer, cap in _CAP.items()
+        }
+        signals = sum((lit[k].cast("int") for k, r in raised.items() if r[3]), F.lit(0))
+        return let(F.struct(F.struct(*penalty.values()).alias("penalties"), signals.alias("signals")), lambda w: summed(lit, w))
+
+    def summed(lit: Column, w: Column) -> Column:
+        score = F.greatest(F.lit(0.0), 100 - sum((w["penalties"][k] for k in _CAP), F.lit(0.0)))
+        pct = 95 + F.when(answered, 5).otherwise(0)
+        poor = ~F.coalesce("quality_pass", F.lit(True)) | (pct < 50)
+        base = F.struct(score.alias("score"), pct.alias("pct"), poor.alias("poor"))
+        return let(base, lambda t: judged(lit, w, t))
+
+    def judged(lit: Column, w: Column, t: Column) -> Column:
+        clear, worst = (t["score"] >= 85) & (w["signals"] == 0), (t["score"] < 55) | (w["signals"] >= 2)
+        none = ~F.greatest(*[lit[k] for k in raised])
+        action = F.when(t["poor"], "MANUAL_REVIEW").when(clear, "ACCEPT").when(worst, "ESCALATE").otherwise("MANUAL_REVIEW")
+        extra = F.array(F.when(t["poor"], "INSUFFICIENT_EVIDENCE"), F.when(~t["poor"] & clear & none, "CLEAN_VERIFICATION"))
+        codes = F.array_compact(F.concat(F.array(*[F.when(lit[k], k) for k in raised]), extra))
+        return F.struct(
+            w["penalties"].alias("penalties"), F.struct(*[c.alias(k) for k, c in coverage.items()]).alias("coverage"),
+            w["signals"].alias("signals"), t["pct"].alias("coverage_pct"),
+            F.round(F.when(t["poor"], F.least(t["score"], F.lit(65.0))).otherwise(t["score"]), 1).alias("trust_score"),
+            F.when(t["poor"], "MEDIUM").when(clear, "LOW").when(worst, "HIGH").otherwise("MEDIUM").alias("risk"),
+            action.alias("action"), codes.alias("codes"),
+        )
+
+    flags = F.struct(*[alive(k, c).alias(k) for k, (_, c, _, _) in raised.items()])
+    reason = lambda c: F.struct(c.alias("code"), texts[c].alias("description"), overridden(c).alias("is_overridden"))
     return (
-        summed.withColumn("trust_score", F.round(F.when(poor, F.least("__score", F.lit(65.0))).otherwise(F.col("__score")), 1))
-        .withColumn("risk", F.when(poor, "MEDIUM").when(clear, "LOW").when(worst, "HIGH").otherwise("MEDIUM"))
-        .withColumn("action", F.when(poor, "MANUAL_REVIEW").when(clear, "ACCEPT").when(worst, "ESCALATE").otherwise("MANUAL_REVIEW"))
-        .withColumn("codes", codes)
-        .withColumn(
-            "reasons",
-            F.transform("codes", lambda c: F.struct(c.alias("code"), texts[c].alias("description"), overridden(c).alias("is_overridden"))),
-        )
-        .drop("__on", "__score")
-    )
+        df.withColumn("__fused", let(flags, weighed))
+        .select(*df.columns, "__fused.*")
+        .withColumn("reasons", F.transform("codes", reason))
+    )
 
 
 def evidence_table(scored: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -25,10 +25,9 @@ def flat_fields(extracted: DataFrame) -> DataFrame:
 def cross_checked(fields: DataFrame, payloads: DataFrame, registry: DataFrame) -> DataFrame:
     """Fields with qr_status and ref_status."""
     with_qr = crosscheck.attach_qr(fields, payloads)
-    qr = crosscheck.parse_payload(F.col("payload"))
-    compared = with_qr.withColumn(
-        "qr_status", crosscheck.compare_qr(F.col("doc_type"), F.col("id_number"), F.col("name"), F.col("dob"), qr)["status"]
-    ).drop("payload")
+    printed = [F.col(c) for c in ("doc_type", "id_number", "name", "dob")]
+    parsed = with_qr.withColumn("__qr", crosscheck.parse_payload(F.col("payload")))
+    compared = parsed.withColumn("qr_status", crosscheck.compare_qr(*printed, F.col("__qr"))["status"]).drop("payload", "__qr")
     found = crosscheck.attach_registry(compared, registry)
     status = crosscheck.compare_registry(*[F.col(c) for c in ("name", "dob", "lookup", "reg_name", "reg_dob")])["status"]
     return found.withColumn("ref_status", status).drop("lookup", "reg_name", "reg_dob")

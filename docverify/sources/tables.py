@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 CASES = "doc_id long, applicant_id long, doc_type string, name string, id_number string, dob string, expiry string, line1 string, line2 string"
 REGISTRY = "clean_id string, reg_name string, reg_dob string"
 PAYLOADS = "clean_id string, payload string"
-_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-FEEDBACK = "event_id long, ts timestamp, case_id long, signal_code string, verdict string"
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+FEEDBACK = "event_id long, ts timestamp_ntz, case_id long, signal_code string, verdict string"
 
 
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +34,8 @@ def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet
 
 def write_feedback(feedback: DataFrame, path: str) -> None:
     """reviewers' verdicts as JSON, a folder a day."""
-    feedback.withColumn("day", F.to_date("ts")).write.partitionBy("day").option("timestampFormat", _MICROS).json(path)
+    feedback.withColumn("day", F.to_date("ts")).write.partitionBy("day").option("timestampNTZFormat", _MICROS).json(path)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEEDBACK).option("timestampFormat", _MICROS).json(path).drop("day")
+    return spark.read.schema(FEEDBACK).option("timestampNTZFormat", _MICROS).json(path).drop("day")
