@@ -47,8 +47,8 @@ BLOCK_IDS = 1 << 18
 #: Consecutive blocks in a file at most.
 FILE_BLOCKS = 16
 END_ID = 0
-#: Chunks of text, and pre-tokens, whose ids a worker remembers before it starts anew.
-MEMO = 700_000
+#: Pre-tokens whose ids a worker remembers (and a third as many chunks): the first ones, which common ones are among.
+MEMO = 900_000
 #: Characters tokenized at a time.
 SLICE_CHARS = 1_000_000
 
@@ -213,27 +213,28 @@ class Ids:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > MEMO:
-            self.chunks.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+    def _new(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not remembered, by their pre-tokens."""
         parts = {c: self.find(c) for c in chunks}
         new = list(set().union(*parts.values()) - self.pieces.keys())
-        self.pieces.update(zip(new, self._encoded(new), strict=True))
-        get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, p))) for c, p in parts.items())
+        now = dict(zip(new, self._encoded(new), strict=True))
+        if len(self.pieces) < MEMO:
+            self.pieces.update(now)
+            get = self.pieces.__getitem__
+        else:
+            old = self.pieces.get
+            get = lambda p: old(p) or now[p]
+        found = {c: b"".join(map(get, p)) for c, p in parts.items()}
+        if len(self.chunks) < MEMO // 3:
+            self.chunks.update(found)
+        return found
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         chunks = [CHUNK.findall(t) for t in texts]
-        every = set().union(*chunks)
-        new = every - self.chunks.keys()
-        if len(self.chunks) + len(new) > MEMO:
-            new = every  # _learn starts anew
-        self._learn(new)
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
+        now = self._new(set().union(*chunks) - self.chunks.keys())
+        known = self.chunks
+        out = [b"".join([known[c] if c in known else now[c] for c in own]) for own in chunks]
         if self.special:
             for i, t in enumerate(texts):
                 if self.special.search(t):
