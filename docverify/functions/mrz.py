@@ -10,7 +10,7 @@ from docverify.functions.checks import empty
 
 
 def check_digit(text: Column) -> Column:
-    """V6: the 7-3-1 check digit as a string; other characters than digits and letters count as 0."""
+    """V6: the 7-3-1 check digit as a string; other characters than digits and letters count as 0; null gives null."""
     weights = F.lit([7, 3, 1])
 
     def total(t: Column) -> Column:
@@ -21,7 +21,7 @@ def check_digit(text: Column) -> Column:
             )
             return sum_ + value * F.get(weights, i % 3)
 
-        places = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).otherwise(F.array().cast("array<int>"))
+        places = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).when(F.length(t) == 0, F.array().cast("array<int>"))
         return (F.aggregate(places, F.lit(0), step) % 10).cast("string")
 
     return let(text, total)
