@@ -216,6 +216,37 @@ def test_near_duplicates_go(spark):
     assert order([r["doc_id"]] for r in left.collect()) == order([[1], [3], [None]])
 
 
+def test_near_duplicates_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)  # crowded keys too
+    r = random.Random(7)
+    words = lambda n: [r.choice("abcdefgh") + str(r.randint(0, 999)) for _ in range(n)]
+    texts = ["", None, " ", "One two", "one TWO", "one two three"]
+    for _ in range(12):
+        base = words(r.choice([30, 200, 900]))
+        for _ in range(r.choice([2, 40])):
+            w = list(base)
+            for _ in range(r.randrange(1 + len(w) // 20)):
+                w[r.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    rows = [(i, t, None, None, 1, "c", 1, "k") for i, t in enumerate(texts)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {g["doc_id"]: g["component_id"] for g in simhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root))
+    assert sorted(x["doc_id"] for x in simhash.without_near_duplicates(docs).collect()) == sorted(set(root))
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
 # --- 6
 
 
