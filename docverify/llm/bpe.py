@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docverify.llm.memory import release
+
 #: Characters of text in a block, except that a document isn't divided.
 BLOCK_CHARS = 4_000_000
 #: Documents a word bucket stands for: buckets grow with the table.
@@ -148,6 +150,7 @@ def encode(
             columns = zip(zip(*rows, strict=True), parts, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=parts)
             del known, places, joined, by_rank, words, own, rows, columns
+            release()
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, bucket, known = _encoding(ranks_path, pattern), None, {}

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docverify.llm.memory import release
 from docverify.operators.components import connected_components
 from docverify.plans.storage import written
 
@@ -179,6 +180,8 @@ def _with_prints(docs: DataFrame, output: str, words: int) -> DataFrame:
                 part = batch.slice(start, 64)
                 values = [similarity_print(t, words)[0 if first else 1] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, kind)], ["doc_id", output])
+            batch = part = values = None
+            release()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, {output} array<{'bigint' if first else 'int'}>")
