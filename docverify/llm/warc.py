@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ REVISIT_BYTES = 100
 #: Bytes of records in an archive, about.
 ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 16 << 10
+#: Archives that a reading task takes at most, where there are more than shuffle partitions.
+FILES_PER_TASK = 8
 DATE = "2024-01-31T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -155,6 +158,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     others revisit it; a null id is never the smallest, unless there is no
     other, and then all are responses. Null html is an empty payload, null
     urls are replaced by the page's URN; repeated rows give repeated records.
+    An empty table gives no archive; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     keyed = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html"))
@@ -180,7 +184,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         frames, size = [], 0
 
         def closed() -> pa.RecordBatch:
-            name = f"pages-{task:08d}-{number:06d}.warc.zst"
+            # the name is this attempt's own: another attempt may get its rows in another order, and only the winner's list is kept
+            name = f"pages-{task:08d}-{number:06d}-{uuid.uuid4().hex[:12]}.warc.zst"
             return pa.RecordBatch.from_pylist(
                 [{"file": name, "records": len(frames), "bytes": write_once(folder, name, [lead, *frames])}]
             )
@@ -200,7 +205,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """The records of the listed archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload."""
+    """The records of the listed archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload.
+
+    Archives are read side by side, in as many tasks as there are archives, and
+    at most FILES_PER_TASK in a task where they outnumber the shuffle
+    partitions. Raises where a header, a length, a digest or the number of
+    records is wrong. An empty list gives no rows.
+    """
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -224,11 +235,13 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return archives.select("file", "records").repartition("file").mapInArrow(read, schema)
+    spark, many = archives.sparkSession, archives.count()
+    tasks = max(1, min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // FILES_PER_TASK))))
+    return archives.select("file", "records").repartition(tasks).mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Records written to the shared folder and read back, without their payloads."""
+    """Records written to the shared folder and read back, without their payloads; one row per input row."""
     folder = new_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder), folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
