@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 #: Bytes of a language's dictionary, and the texts that it is cut from, about.
 DICTIONARY_BYTES = 96 << 10
 SAMPLE_TEXTS = 400
-#: Longest training text in a dictionary, so that no text fills it alone.
+#: Characters of a training text in a dictionary at most, so that no text fills it alone.
 SAMPLE_CHARS = 4_000
-#: At most so many languages are learned, the commonest; bounds the dictionaries' size.
-MAX_LANGUAGES = 200
+#: Bytes of all dictionaries together: with many languages each gets an equal, smaller share.
+ALL_BYTES = 19 << 20
 #: Bytes compressed at a time: a text's own beginning shouldn't stand in for the dictionary.
 PIECE = 1 << 11
 LEVEL = 7
@@ -37,37 +37,46 @@ def split_of(doc_id: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """Lower-case letters, all else as single spaces."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]+", " "))
+    """Lower-case letters with their marks, all else as single spaces; empty without a letter."""
+    kept = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]+", " "))
+    return F.when(text.rlike(r"\p{L}"), kept).otherwise("")
 
 
 def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language of the training rows, the commonest language first.
 
-    About SAMPLE_TEXTS distinct texts a language, chosen by a hash of the text.
+    Cut from about SAMPLE_TEXTS distinct texts a language, chosen by a hash of
+    the text, and of a longer text from SAMPLE_CHARS characters at a place that
+    the hash gives. What comes to the driver is bounded by ALL_BYTES, however
+    many languages there are.
     """
     known = docs.where(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(split_of(F.col(id_col)) != 1, F.lit(False))
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    usable = known.where(F.length("text") <= SAMPLE_CHARS)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = known.groupBy("lang").count()
+    order = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    most = max(1 << 10, min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(order))))
     share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_TEXTS) / F.col("count"))
+    hashed = F.xxhash64("text")
+    inside = F.pmod("hash", F.greatest(F.lit(1), F.length("letters") - SAMPLE_CHARS + 1)).cast("int")
+    upto = Window.partitionBy("lang").orderBy("hash", "text")
     drawn = (
-        usable.join(F.broadcast(counts), "lang")  # at most MAX_LANGUAGES rows
-        .where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < share * (1 << 32))
-        .select("lang", letters(F.col("text")).alias("text"))
+        known.join(counts, "lang")
+        .where(F.pmod(hashed, F.lit(1 << 32)) < share * (1 << 32))
+        .select("lang", hashed.alias("hash"), letters(F.col("text")).alias("letters"))
+        .select("lang", "hash", F.substring("letters", inside + 1, F.lit(SAMPLE_CHARS)).alias("text"))
         .where(F.length("text") > 1)
         .distinct()
-        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
-        .where(F.col("place") <= SAMPLE_TEXTS)
+        .withColumn("place", F.row_number().over(upto))
+        .withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .where((F.col("place") <= SAMPLE_TEXTS) & (F.col("before") < most))
     )
     found: dict[str, bytes] = {}
     for r in drawn.orderBy("lang", F.desc("place")).collect():
-        found[r["lang"]] = (found.get(r["lang"], b"") + b" " + r["text"].strip().encode())[-DICTIONARY_BYTES:]
+        found[r["lang"]] = (found.get(r["lang"], b"") + b" " + r["text"].strip().encode())[-most:]
     least = min(map(len, found.values()), default=0)
-    order = [r["lang"] for r in counts.collect()]
     # equal sizes: no language gains from having seen more; the commonest first, which wins ties
-    return {k: found[k][-max(least, DICTIONARY_BYTES // 8) :] for k in order if k in found}
+    return {k: found[k][-max(least, most // 8) :] for k in order if k in found}
 
 
 class Classifier:
@@ -100,10 +109,13 @@ class Classifier:
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, rejected.
 
-    Texts that are null or have no letter, and all texts where no language
-    could be learned, get `und` with score 0. rejected says that the runner-up
-    came within MARGIN; lang_pred is then the closest language all the same.
-    Null ids are never training rows and aren't held out.
+    Texts that are null or have no letter (marks alone are none), and all texts
+    where no language could be learned, get `und` with score 0. rejected says
+    that the runner-up came within MARGIN; lang_pred is then the closest
+    language all the same, on a tie the commoner one. A text is compressed
+    whole, in pieces, however long. Null ids are never training rows and aren't
+    held out. Repeated rows come back repeated and count once in a dictionary;
+    an empty table gives no rows; other columns are ignored.
     """
     contents = dictionaries(docs, id_col, text_col, lang_col)
 
