@@ -12,7 +12,6 @@ the token-byte table, which is as large as the vocabulary and no larger.
 from __future__ import annotations
 
 import base64
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,6 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
@@ -30,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docverify.llm.memory import release
+from docverify.llm.pretokens import Numbers, splitter
 
 #: Characters of text in a block, except that a document isn't divided.
 BLOCK_CHARS = 4_000_000
@@ -37,12 +36,6 @@ BLOCK_CHARS = 4_000_000
 DOCS_PER_BUCKET = 1_000
 MIN_BUCKETS = 64
 
-#: The characters of Unicode's White_Space property, as in the pattern's \s.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Every match of the pattern lies within one match of this, so each is split once a block.
-CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-
-
 @lru_cache(maxsize=4)
 def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -81,18 +74,16 @@ def _unpack_words(data: bytes) -> tuple[bytes, list[bytes]]:
     return data[8 : 8 + n], [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-class _Numbers(dict):
-    """Chunk -> numbers of its pre-tokens, in the order of first sight."""
+def gathered(flat: np.ndarray, ends: np.ndarray, place: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of documents, one after another, and where each document's begin, with the end of the last.
 
-    def __init__(self, pattern: str) -> None:
-        super().__init__()
-        self.words: dict[str, int] = {}
-        self.find = regex.compile(pattern).findall
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        words = self.words
-        found = self[chunk] = tuple(words.setdefault(w, len(words)) for w in self.find(chunk))
-        return found
+    flat[ends[k] : ends[k + 1]] are the ids of pre-token k; place has the
+    pre-tokens of the documents in order, `many` of them each.
+    """
+    start, size = ends[place], ends[place + 1] - ends[place]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)
+    return flat[at], upto[np.concatenate([[0], np.cumsum(many)])]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[list, list[str]]]:
@@ -127,15 +118,15 @@ def encode(
     )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
+        task, pieces = TaskContext.get().partitionId() << 32, splitter(pattern)
         for number, (ids, texts) in enumerate(_blocks(batches, block_chars)):
-            block, known, places, sizes = task + number, _Numbers(pattern), [], []
+            block, known, places, sizes = task + number, Numbers(), [], []
             for text in texts:
-                own = np.fromiter(chain.from_iterable(map(known.__getitem__, CHUNK.findall(text))), np.uint32)
+                own = np.fromiter(map(known.__getitem__, pieces(text)), np.uint32)
                 places.append(own)
                 sizes.append(len(own))
             joined = np.concatenate(places)
-            words = list(known.words)
+            words = list(known)
             often = np.argsort(-np.bincount(joined, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[often] = np.arange(len(words), dtype=np.uint32)

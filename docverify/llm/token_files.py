@@ -21,18 +21,19 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docverify.llm.bpe import CHUNK, pack, unpack
+from docverify.llm.bpe import gathered, pack, unpack
 from docverify.llm.files import read_stream, write_once
+from docverify.llm.pretokens import Numbers, splitter
 from docverify.plans.storage import new_path, written
 
 MAGIC = b"RANSIDS1"
@@ -40,15 +41,15 @@ TABLE = "table.bin"
 HEAD = struct.Struct("<qqqIIII")  # part, block, start; ids, documents, checksums of stream and ids
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
-CHECKPOINT = 128
+LANES = 2048
+CHECKPOINT = 64
 #: Ids in a block, except that a document isn't divided.
 BLOCK_IDS = 1 << 18
 #: Consecutive blocks in a file at most.
 FILE_BLOCKS = 16
 END_ID = 0
-#: Pre-tokens whose ids a worker remembers (and a third as many chunks): the first ones, which common ones are among.
-MEMO = 900_000
+#: Pre-tokens whose ids a worker remembers: the first ones, which common ones are among.
+MEMO = 1_200_000
 #: Characters tokenized at a time.
 SLICE_CHARS = 1_000_000
 
@@ -195,50 +196,47 @@ def _tokenizer(path: str):
 class Ids:
     """Ids of texts by a tokenizer file whose pre-tokenizer is byte-level, as whole texts would give.
 
-    No match of the pattern crosses a CHUNK. Chunks, and the pre-tokens that a
-    chunk is split into, are remembered, so that each distinct pre-token goes
-    through the tokenizer about once a worker; a text with the string of a
-    special token is encoded whole.
+    Texts are split by the pattern and their pre-tokens numbered, so that each
+    distinct one goes through the tokenizer about once a worker; a text with
+    the string of a special token is encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
         self.tokenizer = _tokenizer(path)
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _new(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks not remembered, by their pre-tokens."""
-        parts = {c: self.find(c) for c in chunks}
-        new = list(set().union(*parts.values()) - self.pieces.keys())
-        now = dict(zip(new, self._encoded(new), strict=True))
-        if len(self.pieces) < MEMO:
-            self.pieces.update(now)
-            get = self.pieces.__getitem__
-        else:
-            old = self.pieces.get
-            get = lambda p: old(p) or now[p]
-        found = {c: b"".join(map(get, p)) for c, p in parts.items()}
-        if len(self.chunks) < MEMO // 3:
-            self.chunks.update(found)
-        return found
+        self.split = splitter(public_tokenizers.PATTERN)
+        self.numbers, self.memo = Numbers(), memo
+        # ids of all numbered pre-tokens one after another, and where each one's end
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [CHUNK.findall(t) for t in texts]
-        now = self._new(set().union(*chunks) - self.chunks.keys())
-        known = self.chunks
-        out = [b"".join([known[c] if c in known else now[c] for c in own]) for own in chunks]
+        pieces = [self.split(t) for t in texts]
+        before = len(self.numbers)
+        many = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(pieces)), np.int64, int(many.sum()))
+        fresh = list(islice(self.numbers, before, None))
+        flat, ends = self.flat, self.ends
+        if fresh:
+            found = self._encoded(fresh)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            new = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            flat, ends = np.concatenate([flat, new]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+            kept = max(before, min(len(self.numbers), self.memo))
+            self.flat, self.ends = flat[: ends[kept]], ends[: kept + 1]
+            for word in fresh[kept - before :]:
+                del self.numbers[word]
+        raw, upto = gathered(flat, ends, place, many)
+        raw, upto = raw.astype("<u4").tobytes(), (4 * upto).tolist()
+        out = [raw[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
         if self.special:
             for i, t in enumerate(texts):
                 if self.special.search(t):
-                    out[i] = self._encoded([t])[0]
+                    out[i] = np.array(self._encoded([t])[0], "<u4").tobytes()
         return out
 
 
@@ -263,18 +261,30 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks in ascending order of ids (null first): part, block, inner (ids before it in its part), doc_ids, sizes, ids, n."""
+    """Blocks in ascending order of ids (null first): part, block, inner (ids before it in its part), doc_ids, sizes, ids, n, seen.
+
+    A part's last row has no ids but in `seen` how often it has each id of the vocabulary.
+    """
+    lists = pa.list_(pa.int64())
+    schema = pa.schema(
+        [("part", pa.int64()), ("block", pa.int64()), ("inner", pa.int64()), ("doc_ids", lists), ("sizes", lists)]
+        + [("ids", pa.binary()), ("n", pa.int64()), ("seen", pa.binary())]
+    )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tokens, number = TaskContext.get().partitionId(), _ids(tokenizer_path), 0
-        doc_ids, sizes, parts, n, inner = [], [], [], 0, 0
+        doc_ids, sizes, parts, n, inner, seen = [], [], [], 0, 0, np.zeros(0, np.int64)
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, *values), schema, strict=True)], schema=schema)
 
-        def row():
-            columns = [[part], [number], [inner], [doc_ids], [sizes], [b"".join(parts)], [n]]
-            lists = pa.list_(pa.int64())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), lists, lists, pa.binary(), pa.int64()]
-            names = ["part", "block", "inner", "doc_ids", "sizes", "ids", "n"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        def closed() -> pa.RecordBatch:
+            nonlocal seen
+            ids = b"".join(parts)
+            own = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(seen))
+            own[: len(seen)] += seen
+            seen = own
+            return row(number, inner, doc_ids, sizes, ids, n, None)
 
         end = np.array([END_ID], "<u4").tobytes()
         for own, texts in _slices(batches):
@@ -284,16 +294,20 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 parts += [ids, end]
                 n += sizes[-1]
                 if n >= BLOCK_IDS:
-                    yield row()
+                    yield closed()
                     doc_ids, sizes, parts, n, inner, number = [], [], [], 0, inner + n, number + 1
         if doc_ids:
-            yield row()
+            yield closed()
+        if len(seen):
+            yield row(None, None, None, None, None, 0, seen.tobytes())
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return (
         source.repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(blocks, "part long, block long, inner long, doc_ids array<long>, sizes array<long>, ids binary, n long")
+        .mapInArrow(
+            blocks, "part long, block long, inner long, doc_ids array<long>, sizes array<long>, ids binary, n long, seen binary"
+        )
     )
 
 
@@ -303,14 +317,16 @@ def id_counts(blocks: DataFrame) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
+            for seen in batch.column(0).to_pylist():
+                own = np.frombuffer(seen, np.int64).copy()
+                short, long = sorted((own, total), key=len)
+                long[: len(short)] += short
+                total = long
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    seen = blocks.where("seen is not null").select("seen")
+    return seen.mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,7 +360,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
             yield pa.RecordBatch.from_pylist([first | {"n_ids": n, "bytes": size}])
 
     return written(
-        blocks.join(F.broadcast(bases), "part").mapInArrow(
+        blocks.where("seen is null").drop("seen").join(F.broadcast(bases), "part").mapInArrow(
             files, "file string, part long, block long, start long, n_ids long, bytes long"
         ),
         "token-files",

@@ -216,8 +216,7 @@ def test_near_duplicates_go(spark):
     assert order([r["doc_id"]] for r in left.collect()) == order([[1], [3], [None]])
 
 
-def test_near_duplicates_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 8)  # crowded keys too
+def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(7)
     words = lambda n: [r.choice("abcdefgh") + str(r.randint(0, 999)) for _ in range(n)]
     texts = ["", None, " ", "One two", "one TWO", "one two three"]
@@ -262,6 +261,23 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.digests(empty, path).count() == 0
 
 
+def test_splitter_equals_the_pattern():
+    import regex
+
+    from docverify.llm.pretokens import splitter
+
+    r = random.Random(4)
+    full, quick = regex.compile(public_tokenizers.PATTERN).findall, splitter(public_tokenizers.PATTERN)
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    texts = [" a".join(every[i : i + 211]) for i in range(0, len(every), 211)]
+    for _ in range(500):
+        pool = r.choice([every, every[:0x300], every[:0xD800], list(" \n\t'sa1é²Ⅷ\x1c\x85\u2028\u3000x")])
+        texts.append("".join(r.choice(pool) for _ in range(r.randrange(60))))
+    assert all(quick(t) == full(t) for t in texts)
+    odd = r"(?i:'s)|\p{Lu}+|\s+"  # more than the quick way knows
+    assert splitter(odd)("A'S bC") == regex.findall(odd, "A'S bC")
+
+
 def test_bpe_small_blocks(docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     whole, small = bpe.encode(docs, path), bpe.encode(docs, path, block_chars=300)
@@ -330,6 +346,14 @@ def test_special_string_as_whole_text():
     assert token_files.Ids(path).of(texts) == whole
 
 
+def test_ids_beyond_the_memo():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i * k % 97}x" for i in range(60)) for k in range(1, 9)]
+    whole = [np.array(token_files._tokenizer(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    ids = token_files.Ids(path, memo=10)
+    assert [ids.of([t])[0] for t in texts] == whole and len(ids.numbers) == 10
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 400_000])
 def test_rans_round_trip_from_every_checkpoint(n):
     ids = (np.random.default_rng(n).pareto(1.0, n) * 3).clip(0, 50_000).astype(np.uint32)
@@ -351,7 +375,7 @@ def test_damaged_block_is_found():
     head = token_files.MAGIC + struct.pack("<I", 5)
     (found,) = token_files.read_blocks(io.BytesIO(head + body), table, 5)
     assert (found[5] == ids).all() and found[3] == [1]
-    for bad in (head + body[:-1], head + body[:-9] + b"\1" + body[-8:], b"x" + head + body):
+    for bad in (head + body[:-1], head + body[:-9] + bytes([body[-9] ^ 1]) + body[-8:], b"x" + head + body):
         with pytest.raises(ValueError):
             list(token_files.read_blocks(io.BytesIO(bad), table, 5))
 
