@@ -36,15 +36,13 @@ CHUNK = 1 << 16
 # near_duplicates: words in a shingle and the Jaccard similarity of its links
 NEAR_WORDS = 5
 SIMILARITY = 0.8
-#: Positional bytes of its fingerprint, and sets of SHARED positions in its index.
+#: Positional bytes of its print, and sets of SHARED positions in its index.
 WIDE = 128
 BANDS = 16
 #: Shared bytes of 128 that a pair at a similarity of 0.8 reaches but for one in 10,000 (102 are expected, deviation 4.5).
 LEAST_SHARED = 84
-#: Shared bytes that a pair below 0.8 doesn't reach, but for one in 10,000.
-SURE_SHARED = 119
-#: Nodes under a key that are compared with each other; more are dealt into blocks.
-BLOCK = 64
+#: A key is compared in full once it has at most so many pairs a node that no link connects yet.
+FEW = 4
 #: Shingles that are permuted at a time.
 ROWS = 2048
 
@@ -151,44 +149,60 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def similarity_print(text: str | None, words: int = NEAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of the sampled fingerprint as WIDE / 8 longs, sorted distinct 32-bit hashes of the shingles).
+    """(WIDE bytes as WIDE / 8 longs, sorted distinct hashes of the shingles as longs).
 
     Both are of the whole text; without words, zeros and no hashes.
     """
     found = (text or "").encode("utf-8").translate(_LOWER).split()
     if not found:
-        return np.zeros(WIDE // 8, np.int64), np.zeros(0, np.int32)
+        return np.zeros(WIDE // 8, np.int64), np.zeros(0, np.int64)
     least, kept = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64), []
     for digests in _shingle_hashes(found, words):
         distinct = np.unique(digests.astype(np.uint64))
-        kept.append(np.unique((distinct >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        kept.append(distinct)
         for start in range(0, len(distinct), ROWS):
             part = distinct[start : start + ROWS, None]
             np.minimum(least, ((part ^ _FLIP) * _TURN).min(axis=0), out=least)
     prints = (least * _MIX >> np.uint64(56)).astype(np.uint8)
-    return prints.view(np.int64), np.unique(np.concatenate(kept))
+    return prints.view(np.int64), np.unique(np.concatenate(kept)).view(np.int64)
 
 
-def _with_prints(docs: DataFrame, output: str, words: int) -> DataFrame:
-    """docs (doc_id, text) as doc_id and either `fp` (array of longs) or `hashes` (array of ints)."""
-    first = output == "fp"
+def _with_prints(docs: DataFrame, words: int) -> DataFrame:
+    """docs (doc_id, text) as doc_id, fp (array of longs) and same (checksum of the shingle set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64() if first else pa.int32())
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                values = [similarity_print(t, words)[0 if first else 1] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, kind)], ["doc_id", output])
+                found = [similarity_print(t, words) for t in part.column(1).to_pylist()]
+                same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for _, h in found], pa.binary())
+                fp = pa.array([f for f, _ in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), fp, same], ["doc_id", "fp", "same"])
+            batch = part = found = None
+            release()
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, fp array<bigint>, same binary")
+
+
+def _with_hashes(docs: DataFrame, words: int) -> DataFrame:
+    """docs (doc_id, text) as node and hashes: the shingle set to verify by."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                values = [similarity_print(t, words)[1] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.list_(pa.int64()))], ["node", "hashes"])
             batch = part = values = None
             release()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, {output} array<{'bigint' if first else 'int'}>")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"node {id_type}, hashes array<bigint>")
 
 
 def _shared_bytes(a: str, b: str):
-    """How many positional bytes two wide fingerprints share."""
+    """How many positional bytes two wide prints share."""
 
     def differing(u, v):
         x = u.bitwiseXOR(v)
@@ -200,7 +214,7 @@ def _shared_bytes(a: str, b: str):
 
 
 def _index(classes: DataFrame) -> DataFrame:
-    """(band, key, node, size, least) of classes (node, fp): entries whose key holds at least two nodes."""
+    """(band, key, node, least) of classes (node, fp): entries whose key holds at least two nodes."""
 
     def byte(position: int):
         return F.shiftright(F.col("fp")[position // 8], 8 * (position % 8)).bitwiseAND(F.lit(0xFF).cast("long"))
@@ -213,63 +227,74 @@ def _index(classes: DataFrame) -> DataFrame:
         keys.append(key)
     entries = written(classes.select("node", F.posexplode(F.array(*keys)).alias("band", "key")), "near-entries")
     sizes = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
-    return written(entries.join(sizes.where("size > 1"), ["band", "key"]), "near-index")
+    return written(entries.join(sizes.where("size > 1").drop("size"), ["band", "key"]), "near-index")
 
 
-def _meeting(index: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a < b, of nodes that meet under a key.
+def _verified(pairs: DataFrame, classes: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that share at least LEAST_SHARED positional bytes and whose shingle sets are similar."""
+    prints = classes.select("node", "fp")
+    for c in ("a", "b"):
+        pairs = pairs.join(prints.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}")), c)
+    tallied = pairs.withColumn("shared", _shared_bytes("fa", "fb")).where(F.col("shared") >= LEAST_SHARED).select("a", "b")
+    for c in ("a", "b"):
+        tallied = tallied.join(hashes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")), c)
+    both = F.size(F.array_intersect("ha", "hb"))
+    alike = both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)
+    return tallied.where(alike).select("a", "b").distinct()
 
-    A key of over BLOCK nodes is dealt at random into blocks of about half as
-    many; a node meets the others of its block and the key's smallest node.
-    """
-    deal = F.when(F.col("size") <= BLOCK, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("node", "band", F.lit(seed)), F.ceil(2 * F.col("size") / BLOCK))
-    )
-    dealt = index.select("band", "key", deal.alias("block"), "node")
-    left, right = dealt.alias("l"), dealt.alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("band", "key", "block")]
-    inside = left.join(right, [*same, F.col("l.node") < F.col("r.node")]).select(
-        F.col("l.node").alias("a"), F.col("r.node").alias("b")
-    )
-    firsts = index.where((F.col("size") > BLOCK) & (F.col("node") > F.col("least"))).select(
-        F.col("least").alias("a"), F.col("node").alias("b")
-    )
-    return inside.union(firsts).distinct()
 
+def _merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, root) of every node on a link, from the roots so far and links found since."""
+    if roots is None:
+        return written(connected_components(found), "near-roots")
+    ends = found
+    for c in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = written(connected_components(ends), "near-moved")
+    # a moved node without a root so far was its own
+    known = roots.union(moved.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(known.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "near-roots")
 
-def _tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, shared) of the pairs that share at least LEAST_SHARED positional bytes."""
-    ends = classes.select(F.col("node"), F.col("fp"))
-    both = pairs.join(ends.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a").join(
-        ends.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b"
-    )
-    counted = both.select("a", "b", _shared_bytes("fa", "fb").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-    return counted.groupBy("a", "b").agg(F.max("shared").alias("shared"))
 
+def _apart(index: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """index (band, key, node) with root, degree, and its key's n, sq, where the key's nodes have several roots.
 
-def _crowded(index: DataFrame, roots: DataFrame) -> DataFrame:
-    """The keys of over BLOCK nodes, with the smallest node of each component that they hold, as an index."""
-    held = index.where(F.col("size") > BLOCK).select("band", "key", "node").join(roots, "node", "left")
-    few = written(
-        held.groupBy("band", "key", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node")), "near-crowded"
+    n is the number of the key's nodes, sq the sum of the squares of how many have each root.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    state = roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left")
+    rooted = index.select("band", "key", "node").join(state, "node", "left").select(
+        "band", "key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")
     )
-    sizes = few.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
-    return few.select("band", "key", "node").join(sizes.where("size > 1"), ["band", "key"])
+    by_root = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = by_root.groupBy("band", "key").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count(F.lit(1)).alias("kinds"),
+        F.max(F.struct("n", "root"))["root"].alias("main"),
+    )
+    return written(rooted.join(keys.where("kinds > 1").drop("kinds"), ["band", "key"]), "near-apart")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-    joined = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+def _few_pairs(few: DataFrame) -> DataFrame:
+    """(a, b) of nodes with different roots that meet under a key.
 
+    One of two is not of the key's commonest root. As there are few pairs,
+    there are at most 4 x FEW such nodes, and they alone meet all others.
+    """
+    rare = few.where("root <> main").select("band", "key", F.col("node").alias("one"), F.col("root").alias("own"))
+    met = few.select("band", "key", "node", "root").join(rare, ["band", "key"]).where("root <> own")
+    return met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b"))
 
-def _verified(pairs: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets have at least this Jaccard similarity."""
-    of = [hashes.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b")]
-    both = F.size(F.array_intersect("ha", "hb"))
-    alike = both >= F.lit(similarity) * (F.size("ha") + F.size("hb") - both)
-    return pairs.select("a", "b").join(of[0], "a").join(of[1], "b").where(alike).select("a", "b").distinct()
+
+def _led(many: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each key's leaders (one of each of `leaders` parts, the one with most links) and the nodes with another root; the leaders' entries."""
+    part = F.pmod(F.xxhash64("node", "band"), F.lit(leaders))
+    best = many.groupBy("band", "key", part.alias("part")).agg(F.max(F.struct("degree", "node", "root")).alias("best"))
+    led = written(best.select("band", "key", F.col("best.node").alias("leader"), F.col("best.root").alias("own")), "near-leaders")
+    met = many.select("band", "key", "node", "root").join(led, ["band", "key"]).where("root <> own")
+    pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+    return pairs, led.select("band", "key", F.col("leader").alias("node"))
 
 
 def near_duplicates(
@@ -280,43 +305,62 @@ def near_duplicates(
     Documents link when the sets of their shingles have a Jaccard similarity of
     at least `similarity`. Plain SimHash bits are too noisy for this (at 0.8,
     two 64-bit fingerprints differ in 9 bits at the median, so that no byte
-    need agree). Here each positional byte is the SimHash of a sample of one
-    shingle, the smallest under the position's permutation: it agrees with a
-    probability equal to the similarity. The inverted index holds BANDS sets of
-    SHARED positions; pairs that meet are tallied over all WIDE positions, and
-    those that reach LEAST_SHARED are verified on their shingle sets, unless
-    other links connect them already. Pairs at 0.8 are missed with a
-    probability of 0.2 %, at 0.9 of less than one in a million.
-
-    A key of over BLOCK nodes is dealt into blocks (another way in each band),
-    whose nodes also meet the key's smallest; then the smallest nodes of the
-    components found meet in the same way, all of them where they are few.
-
-    Texts with equal fingerprints are one class and not paired. Null and
+    need agree). The positional bytes are those of a min-hash print instead:
+    each is a byte of the smallest shingle under the position's permutation,
+    and agrees with a probability equal to the similarity. The inverted index
+    holds BANDS sets of SHARED positions; pairs that meet are tallied over all
+    WIDE positions, and those that reach LEAST_SHARED are verified on their
+    shingle sets. Pairs at 0.8 are missed with a probability of 0.2 %, at 0.9
+    of less than one in a million.
+
+    Every pair that meets is compared, or else joined by other links: each node
+    is first compared with the smallest it meets; from then on only nodes that
+    no link connects are. A key with few such pairs a node compares them all; a
+    fuller one compares leaders, those with most links first, with all its
+    other nodes and then goes on without them, each time with twice as many.
+    A group of copies so takes a comparison or two a document; what is
+    quadratic is only a crowd that meets but is not alike.
+
+    Texts with equal shingle sets are one class and not paired. Null and
     wordless texts are one class. Rows that share an id are one document.
+    An empty table gives no rows; other columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    prints = written(_with_prints(source, "fp", words), "near-prints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "near-classes")
-    index = _index(classes)
-    pairs = written(_tallied(_meeting(index, 0), classes), "near-pairs")
-    # copies link their own id with their class's
-    same = prints.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = pairs.where(F.col("shared") >= SURE_SHARED).select("a", "b")
-    roots = written(connected_components(links), "near-roots")
-    crowded = _tallied(_meeting(_crowded(index, roots), 1), classes)
-    more = pairs.union(crowded).distinct()
-    todo = written(_apart(more, roots), "near-todo")
-    involved = todo.select(F.col("a").alias("doc_id")).union(todo.select("b")).distinct()
-    hashes = written(_with_prints(source.join(involved, "doc_id", "left_semi"), "hashes", words), "near-hashes")
-    # the closest partner of each node first: most other pairs are connected then
-    ends = todo.select("a", "b", "shared", F.col("a").alias("node")).union(todo.select("a", "b", "shared", "b"))
-    best = ends.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    links = written(links.union(_verified(best, hashes, similarity)), "near-links")
-    rest = _apart(todo.select("a", "b").join(best, ["a", "b"], "left_anti"), connected_components(links))
-    links = links.union(_verified(written(rest, "near-rest"), hashes, similarity))
-    roots = connected_components(links.union(same))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    prints = written(_with_prints(source, words), "near-prints")
+    classes = written(prints.groupBy("same", "fp").agg(F.min("doc_id").alias("node")), "near-classes")
+    named = prints.select("doc_id", "same").join(classes.select("same", "node"), "same").select("doc_id", "node").distinct()
+    named = written(named, "near-named")
+    index = _index(classes.select("node", "fp"))
+    first = index.where("node > least").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
+    involved = index.select(F.col("node").alias("doc_id")).distinct()
+    hashes = _with_hashes(source.join(involved, "doc_id", "left_semi"), words)
+    hashes = written(hashes, "near-hashes")
+    tried = written(first, "near-pairs")
+    links = written(_verified(tried, classes, hashes, similarity), "near-links")
+    roots, leaders = _merged(None, links), 1
+    while True:
+        apart = _apart(index, roots, links)
+        pairs = (F.col("n") * F.col("n") - F.col("sq")) / 2
+        is_few = (pairs <= FEW * F.col("n")) | (F.col("n") <= 2 * FEW)
+        led, spent = _led(apart.where(~is_few), leaders)
+        met = _few_pairs(apart.where(is_few)).union(led).distinct().join(tried, ["a", "b"], "left_anti")
+        met = written(met, "near-pairs")
+        if not met.isEmpty():
+            tried = tried.union(met)
+            new = written(_verified(met, classes, hashes, similarity), "near-links")
+            links, roots = links.union(new), _merged(roots, new)
+        if apart.where(~is_few).isEmpty():
+            break
+        index = apart.where(~is_few).select("band", "key", "node").join(spent, ["band", "key", "node"], "left_anti")
+        leaders *= 2
+    # rows that share an id are one document
+    own = named.groupBy("doc_id").agg(F.min("node").alias("least"))
+    split = named.join(own, "doc_id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    split = written(split, "near-split")
+    roots = roots if split.isEmpty() else _merged(roots, split)
+    return own.join(roots, own["least"] == roots["node"], "left").select(
+        "doc_id", F.coalesce("root", "least").alias("component_id")
+    )
 
 
 def without_near_duplicates(
