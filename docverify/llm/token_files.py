@@ -4,8 +4,8 @@ One frequency table over the whole corpus is shared by all blocks. A block
 holds whole documents; its ids are dealt to lanes whose coder states are
 interleaved in one stream, so that a step codes one id of each lane at once.
 Every CHECKPOINT steps a block keeps the lanes' states and the place in the
-stream, from where decoding can start; each block has a checksum of its stream
-and one of its ids.
+stream, from where decoding can start; each block has a checksum of its states
+and stream and one of its ids.
 
 A file is MAGIC, the checksum of its table, then blocks in order:
   lengths (u32 x 5: head, ids, sizes, states, stream), head (struct HEAD),
@@ -38,7 +38,7 @@ from docverify.plans.storage import new_path, written
 
 MAGIC = b"RANSIDS1"
 TABLE = "table.bin"
-HEAD = struct.Struct("<qqqIIII")  # part, block, start; ids, documents, checksums of stream and ids
+HEAD = struct.Struct("<qqqIIII")  # part, block, start; ids, documents, checksums of states with stream and of ids
 SCALE = 20
 LOW = np.uint64(1 << 31)
 LANES = 2048
@@ -151,7 +151,7 @@ def block_bytes(part: int, block: int, start: int, doc_ids: list, sizes: np.ndar
         zip_(known.tobytes() + np.diff(numbers, prepend=np.int64(0)).tobytes()), pack(sizes),
         places.astype("<u4").tobytes() + states.astype("<u8").tobytes(), stream.astype("<u4").tobytes(),
     ]
-    head = HEAD.pack(part, block, start, len(ids), len(doc_ids), zlib.crc32(body[3]), zlib.crc32(ids.astype("<u4").tobytes()))
+    head = HEAD.pack(part, block, start, len(ids), len(doc_ids), zlib.crc32(body[3], zlib.crc32(body[2])), zlib.crc32(ids.astype("<u4").tobytes()))
     return [struct.pack("<5I", len(head), *map(len, body)), head, *body]
 
 
@@ -171,8 +171,8 @@ def read_blocks(stream, table: Table, crc: int) -> Iterator[tuple[int, int, int,
             if len(parts[-1]) != want:
                 raise ValueError("the file ends within a block")
         part, block, start, n, docs, crc_stream, crc_ids = HEAD.unpack(parts[0])
-        if zlib.crc32(parts[4]) != crc_stream:
-            raise ValueError(f"checksum of the stream of block {block} is wrong")
+        if zlib.crc32(parts[4], zlib.crc32(parts[3])) != crc_stream:
+            raise ValueError(f"checksum of the states and the stream of block {block} is wrong")
         raw = zstandard.ZstdDecompressor().decompress(parts[1])
         numbers = np.cumsum(np.frombuffer(raw[docs:], "<i8")).tolist()
         doc_ids = [i if k else None for i, k in zip(numbers, raw[:docs], strict=True)]
