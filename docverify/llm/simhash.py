@@ -43,6 +43,8 @@ BANDS = 16
 LEAST_SHARED = 84
 #: A key is compared in full once it has at most so many pairs a node that no link connects yet.
 FEW = 4
+#: Leaders of a fuller key: first one, then each time so many times as many.
+MORE_LEADERS = 16
 #: Shingles that are permuted at a time.
 ROWS = 2048
 
@@ -168,7 +170,7 @@ def similarity_print(text: str | None, words: int = NEAR_WORDS) -> tuple[np.ndar
 
 
 def _with_prints(docs: DataFrame, words: int) -> DataFrame:
-    """docs (doc_id, text) as doc_id, fp (array of longs) and same (checksum of the shingle set)."""
+    """docs (doc_id, text) as doc_id, fp (array of longs), shingles (how many) and same (checksum of their set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,12 +179,13 @@ def _with_prints(docs: DataFrame, words: int) -> DataFrame:
                 found = [similarity_print(t, words) for t in part.column(1).to_pylist()]
                 same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for _, h in found], pa.binary())
                 fp = pa.array([f for f, _ in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), fp, same], ["doc_id", "fp", "same"])
+                many = pa.array([len(h) for _, h in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), fp, many, same], ["doc_id", "fp", "shingles", "same"])
             batch = part = found = None
             release()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, fp array<bigint>, same binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {id_type}, fp array<bigint>, shingles long, same binary")
 
 
 def _with_hashes(docs: DataFrame, words: int) -> DataFrame:
@@ -230,12 +233,16 @@ def _index(classes: DataFrame) -> DataFrame:
     return written(entries.join(sizes.where("size > 1").drop("size"), ["band", "key"]), "near-index")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that share at least LEAST_SHARED positional bytes and whose shingle sets are similar."""
+def _tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs that share at least LEAST_SHARED positional bytes."""
     prints = classes.select("node", "fp")
     for c in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}")), c)
-    tallied = pairs.withColumn("shared", _shared_bytes("fa", "fb")).where(F.col("shared") >= LEAST_SHARED).select("a", "b")
+    return pairs.where(_shared_bytes("fa", "fb") >= LEAST_SHARED).select("a", "b")
+
+
+def _verified(tallied: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose shingle sets are similar."""
     for c in ("a", "b"):
         tallied = tallied.join(hashes.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")), c)
     both = F.size(F.array_intersect("ha", "hb"))
@@ -287,14 +294,53 @@ def _few_pairs(few: DataFrame) -> DataFrame:
     return met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b"))
 
 
-def _led(many: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each key's leaders (one of each of `leaders` parts, the one with most links) and the nodes with another root; the leaders' entries."""
+def _crowd(many: DataFrame, classes: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(node, fp, shingles, own) of the nodes of full keys; own: how many of its shingles no other of these nodes has."""
+    nodes = many.select("node").distinct()
+    alone = (
+        hashes.join(nodes, "node", "left_semi")
+        .select("node", F.explode("hashes").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("node").alias("node"), F.max("node").alias("last"))
+        .where("node = last")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("own"))
+    )
+    known = classes.select("node", "fp", "shingles").join(nodes, "node", "left_semi").join(alone, "node", "left")
+    return written(known.withColumn("own", F.coalesce("own", F.lit(0))), "near-crowd")
+
+
+def _led(many: DataFrame, crowd: DataFrame, leaders: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of leaders and nodes of another root that may be similar; the entries that have partners left.
+
+    A key has `leaders` parts and in each a leader, the node with most links.
+    Two nodes share no more shingles than either has beyond its own; pairs
+    that can't be similar then, and those below the tally, don't leave the join.
+    """
+    most = lambda n, own: n - own
+    needs = lambda n, m: F.lit(similarity / (1 + similarity) - 1e-12) * (n + m)
+    full = many.join(crowd, "node")
+    # a partner has no fewer shingles than the key's smallest node, nor than similarity allows
+    smallest = many.join(crowd.select("node", "shingles"), "node").groupBy("band", "key").agg(F.min("shingles").alias("smallest"))
+    n, own = F.col("shingles"), F.col("own")
+    partner = F.greatest(F.col("smallest"), F.ceil(F.lit(similarity - 1e-12) * n))
+    full = full.join(smallest, ["band", "key"]).where(most(n, own) >= needs(n, partner))
+    full = written(full.select("band", "key", "node", "root", "degree", "fp", "shingles", "own"), "near-full")
     part = F.pmod(F.xxhash64("node", "band"), F.lit(leaders))
-    best = many.groupBy("band", "key", part.alias("part")).agg(F.max(F.struct("degree", "node", "root")).alias("best"))
-    led = written(best.select("band", "key", F.col("best.node").alias("leader"), F.col("best.root").alias("own")), "near-leaders")
-    met = many.select("band", "key", "node", "root").join(led, ["band", "key"]).where("root <> own")
+    best = full.groupBy("band", "key", part.alias("part")).agg(F.max(F.struct("degree", "node")).alias("best"))
+    chosen = written(best.select("band", "key", F.col("best.node").alias("node")), "near-leaders")
+    led = full.join(chosen, ["band", "key", "node"]).select(
+        "band", "key", F.col("node").alias("leader"), F.col("root").alias("led_by"), F.col("fp").alias("print"),
+        F.col("shingles").alias("count"), F.col("own").alias("alone"),
+    )
+    overlap = F.least(most(n, own), most(F.col("count"), F.col("alone")))
+    met = full.join(
+        led,
+        (full["band"] == led["band"]) & (full["key"] == led["key"]) & (F.col("root") != F.col("led_by"))
+        & (overlap >= needs(n, F.col("count"))) & (_shared_bytes("fp", "print") >= LEAST_SHARED),
+    )
     pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    return pairs, led.select("band", "key", F.col("leader").alias("node"))
+    return pairs, full.select("band", "key", "node").join(chosen, ["band", "key", "node"], "left_anti")
 
 
 def near_duplicates(
@@ -313,13 +359,14 @@ def near_duplicates(
     shingle sets. Pairs at 0.8 are missed with a probability of 0.2 %, at 0.9
     of less than one in a million.
 
-    Every pair that meets is compared, or else joined by other links: each node
-    is first compared with the smallest it meets; from then on only nodes that
-    no link connects are. A key with few such pairs a node compares them all; a
-    fuller one compares leaders, those with most links first, with all its
-    other nodes and then goes on without them, each time with twice as many.
-    A group of copies so takes a comparison or two a document; what is
-    quadratic is only a crowd that meets but is not alike.
+    Every pair that meets is compared, ruled out, or joined by other links:
+    each node is first compared with the smallest it meets; from then on only
+    nodes that no link connects are. A key with few such pairs a node compares
+    them all; a fuller one compares leaders, those with most links first, with
+    its other nodes and goes on without them, each time with MORE_LEADERS times
+    as many, and without nodes that have too many shingles of their own to be
+    like any other. A group of copies so takes a comparison or two a document;
+    what is left is a crowd that meets, might be alike by its counts, and isn't.
 
     Texts with equal shingle sets are one class and not paired. Null and
     wordless texts are one class. Rows that share an id are one document.
@@ -327,7 +374,7 @@ def near_duplicates(
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     prints = written(_with_prints(source, words), "near-prints")
-    classes = written(prints.groupBy("same", "fp").agg(F.min("doc_id").alias("node")), "near-classes")
+    classes = written(prints.groupBy("same", "fp", "shingles").agg(F.min("doc_id").alias("node")), "near-classes")
     named = prints.select("doc_id", "same").join(classes.select("same", "node"), "same").select("doc_id", "node").distinct()
     named = written(named, "near-named")
     index = _index(classes.select("node", "fp"))
@@ -336,23 +383,27 @@ def near_duplicates(
     hashes = _with_hashes(source.join(involved, "doc_id", "left_semi"), words)
     hashes = written(hashes, "near-hashes")
     tried = written(first, "near-pairs")
-    links = written(_verified(tried, classes, hashes, similarity), "near-links")
-    roots, leaders = _merged(None, links), 1
+    links = written(_verified(_tallied(tried, classes), hashes, similarity), "near-links")
+    roots, leaders, crowd = _merged(None, links), 1, None
     while True:
         apart = _apart(index, roots, links)
-        pairs = (F.col("n") * F.col("n") - F.col("sq")) / 2
-        is_few = (pairs <= FEW * F.col("n")) | (F.col("n") <= 2 * FEW)
-        led, spent = _led(apart.where(~is_few), leaders)
-        met = _few_pairs(apart.where(is_few)).union(led).distinct().join(tried, ["a", "b"], "left_anti")
-        met = written(met, "near-pairs")
+        is_few = ((F.col("n") * F.col("n") - F.col("sq")) / 2 <= FEW * F.col("n")) | (F.col("n") <= 2 * FEW)
+        met, many = _few_pairs(apart.where(is_few)), apart.where(~is_few)
+        met = _tallied(met.distinct().join(tried, ["a", "b"], "left_anti"), classes)
+        more = not many.isEmpty()
+        if more:
+            crowd = crowd or _crowd(many, classes, hashes)
+            led, index = _led(many, crowd, leaders, similarity)
+            met = met.union(led.distinct().join(tried, ["a", "b"], "left_anti"))
+        met = written(met.distinct(), "near-pairs")
         if not met.isEmpty():
             tried = tried.union(met)
-            new = written(_verified(met, classes, hashes, similarity), "near-links")
-            links, roots = links.union(new), _merged(roots, new)
-        if apart.where(~is_few).isEmpty():
+            new = written(_verified(met, hashes, similarity), "near-links")
+            if not new.isEmpty():
+                links, roots = links.union(new), _merged(roots, new)
+        if not more:
             break
-        index = apart.where(~is_few).select("band", "key", "node").join(spent, ["band", "key", "node"], "left_anti")
-        leaders *= 2
+        leaders *= MORE_LEADERS
     # rows that share an id are one document
     own = named.groupBy("doc_id").agg(F.min("node").alias("least"))
     split = named.join(own, "doc_id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))

@@ -216,6 +216,22 @@ def test_near_duplicates_go(spark):
     assert order([r["doc_id"]] for r in left.collect()) == order([[1], [3], [None]])
 
 
+def _components(texts, similarity=0.8):
+    """Root of each text by all pairs of five-word shingle sets."""
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    return root
+
+
 def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(7)
     words = lambda n: [r.choice("abcdefgh") + str(r.randint(0, 999)) for _ in range(n)]
@@ -228,17 +244,7 @@ def test_near_duplicates_against_all_pairs(spark):
                 w[r.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
     rows = [(i, t, None, None, 1, "c", 1, "k") for i, t in enumerate(texts)]
-
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    for b in range(len(texts)):
-        for a in range(b):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = root[a], root[b]
-                root = [min(x, y) if z in (x, y) else z for z in root]
+    root = _components(texts)
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {g["doc_id"]: g["component_id"] for g in simhash.near_duplicates(docs).collect()}
     assert got == dict(enumerate(root))
@@ -246,6 +252,39 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_crowds(spark):
+    """Two large groups that one link joins, and a crowd around a text that mostly isn't similar enough."""
+    r = random.Random(11)
+    one = [f"a{i}" for i in range(170)]
+    chain = [list(one)]
+    for step in range(1, 3):  # one edit a step; the ends are not similar, each step is
+        chain.append([*chain[-1][: 30 * step], *(f"s{step}x{i}" for i in range(9)), *chain[-1][30 * step + 9 :]])
+    texts = []
+    for group, many in ((chain[0], 60), (chain[1], 1), (chain[2], 60)):
+        for i in range(many):
+            texts.append(" ".join([*group, f"end{len(texts)}"]) if many > 1 else " ".join(group))
+    base = [f"b{i}" for i in range(150)]
+    for i in range(150):
+        w = list(base)
+        for k in range(r.choice([1, 2, 3, 4, 5, 6, 8])):
+            w[r.randrange(len(w))] = f"new{i}x{k}"
+        texts.append(" ".join(w))
+    r.shuffle(texts)
+    rows = [(i, t, None, None, 1, "c", 1, "k") for i, t in enumerate(texts)]
+    got = {g["doc_id"]: g["component_id"] for g in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == dict(enumerate(_components(texts)))
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id are one document, so they join what each of them is like."""
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(100))
+    rows = [(5, a), (5, b), (3, a), (2, b + " more"), (None, a), (9, "alone")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, component_id string")
+    got = {g["doc_id"]: g["component_id"] for g in simhash.near_duplicates(docs).collect()}
+    assert got == {2: 2, 3: 2, 5: 2, 9: 9}
+    assert order([r["doc_id"]] for r in simhash.without_near_duplicates(docs).collect()) == order([[2], [9], [None]])
+
+
 # --- 6
 
 
