@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docverify.llm.contraction import MORE_LEADERS, apart, few_pairs, leaders_of, merged, shared_keys
 from docverify.llm.memory import release
 from docverify.operators.components import connected_components
 from docverify.plans.storage import written
@@ -41,10 +42,6 @@ WIDE = 128
 BANDS = 16
 #: Shared bytes of 128 that a pair at a similarity of 0.8 reaches but for one in 10,000 (102 are expected, deviation 4.5).
 LEAST_SHARED = 84
-#: A key is compared in full once it has at most so many pairs a node that no link connects yet.
-FEW = 4
-#: Leaders of a fuller key: first one, then each time so many times as many.
-MORE_LEADERS = 16
 #: Shingles that are permuted at a time.
 ROWS = 2048
 
@@ -229,8 +226,7 @@ def _index(classes: DataFrame) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(byte(position))
         keys.append(key)
     entries = written(classes.select("node", F.posexplode(F.array(*keys)).alias("band", "key")), "near-entries")
-    sizes = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
-    return written(entries.join(sizes.where("size > 1").drop("size"), ["band", "key"]), "near-index")
+    return shared_keys(entries, "near-index")
 
 
 def _tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -250,50 +246,6 @@ def _verified(tallied: DataFrame, hashes: DataFrame, similarity: float) -> DataF
     return tallied.where(alike).select("a", "b").distinct()
 
 
-def _merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
-    """(node, root) of every node on a link, from the roots so far and links found since."""
-    if roots is None:
-        return written(connected_components(found), "near-roots")
-    ends = found
-    for c in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    ends = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    moved = written(connected_components(ends), "near-moved")
-    # a moved node without a root so far was its own
-    known = roots.union(moved.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
-    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return written(known.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "near-roots")
-
-
-def _apart(index: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
-    """index (band, key, node) with root, degree, and its key's n, sq, where the key's nodes have several roots.
-
-    n is the number of the key's nodes, sq the sum of the squares of how many have each root.
-    """
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    state = roots.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left")
-    rooted = index.select("band", "key", "node").join(state, "node", "left").select(
-        "band", "key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")
-    )
-    by_root = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    keys = by_root.groupBy("band", "key").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count(F.lit(1)).alias("kinds"),
-        F.max(F.struct("n", "root"))["root"].alias("main"),
-    )
-    return written(rooted.join(keys.where("kinds > 1").drop("kinds"), ["band", "key"]), "near-apart")
-
-
-def _few_pairs(few: DataFrame) -> DataFrame:
-    """(a, b) of nodes with different roots that meet under a key.
-
-    One of two is not of the key's commonest root. As there are few pairs,
-    there are at most 4 x FEW such nodes, and they alone meet all others.
-    """
-    rare = few.where("root <> main").select("band", "key", F.col("node").alias("one"), F.col("root").alias("own"))
-    met = few.select("band", "key", "node", "root").join(rare, ["band", "key"]).where("root <> own")
-    return met.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b"))
-
-
 def _crowd(many: DataFrame, classes: DataFrame, hashes: DataFrame) -> DataFrame:
     """(node, fp, shingles, own) of the nodes of full keys; own: how many of its shingles no other of these nodes has."""
     nodes = many.select("node").distinct()
@@ -326,9 +278,7 @@ def _led(many: DataFrame, crowd: DataFrame, leaders: int, similarity: float) ->
     partner = F.greatest(F.col("smallest"), F.ceil(F.lit(similarity - 1e-12) * n))
     full = full.join(smallest, ["band", "key"]).where(most(n, own) >= needs(n, partner))
     full = written(full.select("band", "key", "node", "root", "degree", "fp", "shingles", "own"), "near-full")
-    part = F.pmod(F.xxhash64("node", "band"), F.lit(leaders))
-    best = full.groupBy("band", "key", part.alias("part")).agg(F.max(F.struct("degree", "node")).alias("best"))
-    chosen = written(best.select("band", "key", F.col("best.node").alias("node")), "near-leaders")
+    chosen = leaders_of(full, leaders)
     led = full.join(chosen, ["band", "key", "node"]).select(
         "band", "key", F.col("node").alias("leader"), F.col("root").alias("led_by"), F.col("fp").alias("print"),
         F.col("shingles").alias("count"), F.col("own").alias("alone"),
@@ -384,11 +334,10 @@ def near_duplicates(
     hashes = written(hashes, "near-hashes")
     tried = written(first, "near-pairs")
     links = written(_verified(_tallied(tried, classes), hashes, similarity), "near-links")
-    roots, leaders, crowd = _merged(None, links), 1, None
+    roots, leaders, crowd = merged(None, links), 1, None
     while True:
-        apart = _apart(index, roots, links)
-        is_few = ((F.col("n") * F.col("n") - F.col("sq")) / 2 <= FEW * F.col("n")) | (F.col("n") <= 2 * FEW)
-        met, many = _few_pairs(apart.where(is_few)), apart.where(~is_few)
+        few, many = apart(index, roots, links)
+        met = few_pairs(few).select("a", "b")
         met = _tallied(met.distinct().join(tried, ["a", "b"], "left_anti"), classes)
         more = not many.isEmpty()
         if more:
@@ -400,7 +349,7 @@ def near_duplicates(
             tried = tried.union(met)
             new = written(_verified(met, hashes, similarity), "near-links")
             if not new.isEmpty():
-                links, roots = links.union(new), _merged(roots, new)
+                links, roots = links.union(new), merged(roots, new)
         if not more:
             break
         leaders *= MORE_LEADERS
@@ -408,7 +357,7 @@ def near_duplicates(
     own = named.groupBy("doc_id").agg(F.min("node").alias("least"))
     split = named.join(own, "doc_id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     split = written(split, "near-split")
-    roots = roots if split.isEmpty() else _merged(roots, split)
+    roots = roots if split.isEmpty() else merged(roots, split)
     return own.join(roots, own["least"] == roots["node"], "left").select(
         "doc_id", F.coalesce("root", "least").alias("component_id")
     )

@@ -132,6 +132,30 @@ def test_images_cropped_and_edited(spark):
     assert [classes[i] for i in (990, 991, 992, 993)] == [990, 991, 992, 993]
 
 
+def test_images_against_all_pairs(spark, monkeypatch):
+    """A large group of noisy copies, edited ones and others, by the same comparison of all pairs."""
+    from docverify.llm import contraction
+
+    monkeypatch.setattr(contraction, "FEW", 1)  # fuller keys have leaders
+    r = np.random.default_rng(9)
+    drawn = [np.kron(r.integers(30, 220, (9, 9)), np.ones((8, 8))) for _ in range(12)]
+    pictures = [*drawn, *(np.clip(drawn[0] + r.normal(0, 2, drawn[0].shape), 0, 255) for _ in range(25))]
+    pictures += [d[5:, 6:] * 0.8 + 20 for d in drawn[3:9]]
+    rows = [(i, *p.shape, np.ascontiguousarray(p.astype(np.uint8)).tobytes(), "clash") for i, p in enumerate(pictures)]
+    rows += [rows[4], rows[4]]
+    images = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary, class_id string")
+    known = {k["image_id"]: k["features"] for k in image_copies.features(images).collect()}
+    root = list(range(len(pictures)))
+    for b in range(len(pictures)):
+        for a in range(b):
+            if image_copies.consensus(known[a], known[b]) >= image_copies.MIN_CONSENSUS:
+                x, y = sorted((root[a], root[b]))
+                root = [x if z == y else z for z in root]
+    got = image_copies.image_copies(images).collect()
+    assert order([g["image_id"], g["class_id"]] for g in got) == order([r[0], root[r[0]]] for r in rows)
+    assert len(set(root)) == 12 and image_copies.image_copies(images.limit(0)).count() == 0
+
+
 # --- 4
 
 
