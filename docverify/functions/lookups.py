@@ -93,6 +93,10 @@ REASONS = {
     "INSUFFICIENT_EVIDENCE": "The image is too poor to decide on.",
     "CLEAN_VERIFICATION": "Every check passed.",
 }
+# What marks a code as danger or as warning, and codes that a reviewer gives no verdict on.
+DANGER_MARKS = ["FAIL", "LOCAL_ELA", "SPLICING", "MISMATCH"]
+WARNING_MARKS = ["COMPRESSION", "EVIDENCE", "CONFIDENCE", "TEMPLATE"]
+NOT_ACTIONABLE = ["CLEAN_VERIFICATION", "INSUFFICIENT_EVIDENCE"]
 #: Codes that a reviewer's REJECTED cancels.
 OVERRIDABLE = [
     "RULE_AADHAAR_CHECKSUM_FAIL", "RULE_PAN_FORMAT_INVALID", "FORENSICS_LOCAL_ELA_SPIKE",

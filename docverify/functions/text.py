@@ -30,10 +30,15 @@ def keyword_type(text: Column) -> Column:
 
 
 def mrz_lines(text: Column) -> Column:
-    """struct(line1, line2), null without a first line; the second is the 44 characters after the first."""
-    first = _found(text, L.MRZ_FIRST)
-    after = F.filter(F.regexp_extract_all(text, F.lit(L.MRZ_ANY), F.lit(1)), lambda x: x != first)
-    return F.when(first.isNotNull(), F.struct(first.alias("line1"), F.coalesce(F.get(after, 0), F.lit("")).alias("line2")))
+    """struct(line1, line2), null without a first line; the second is the next run of 44 characters after the first's end."""
+
+    def both(first: Column) -> Column:
+        rest = F.substring(text, F.instr(text, first) + F.length(first), F.length(text))
+        return F.when(
+            first.isNotNull(), F.struct(first.alias("line1"), F.coalesce(_found(rest, L.MRZ_ANY), F.lit("")).alias("line2"))
+        )
+
+    return let(_found(text, L.MRZ_FIRST), both)
 
 
 def id_number(text: Column) -> Column:

@@ -10,6 +10,10 @@ from docverify.functions.checks import empty
 from docverify.functions.mrz import words
 
 
+#: Numbers of which only the last digits are shown.
+MASKED = "[xX*]{4}"
+
+
 def qr_key(number: Column) -> Column:
     return F.regexp_replace(F.coalesce(number, F.lit("")), "[^0-9]", "")
 
@@ -18,9 +22,9 @@ def registry_key(number: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(number, F.lit("")), r"[\s-]", ""))
 
 
-def _keyed_join(df: DataFrame, table: DataFrame, key: Column) -> DataFrame:
-    """Left join on clean_id; blank keys go round the join, so that they don't meet in one task."""
-    keyed = df.withColumn("clean_id", F.nullif(key, F.lit("")))
+def _keyed_join(df: DataFrame, table: DataFrame, key: Column, number: Column) -> DataFrame:
+    """Left join on clean_id; blank and masked numbers go round the join: they name nobody, and blank ones would meet in one task."""
+    keyed = df.withColumn("clean_id", F.when(~F.coalesce(number, F.lit("")).rlike(MASKED), F.nullif(key, F.lit(""))))
     full, blank = keyed.where("clean_id is not null"), keyed.where("clean_id is null")
     added = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "clean_id"]
     joined = full.join(table, "clean_id", "left").select(*keyed.columns, *[c for c in table.columns if c != "clean_id"])
@@ -29,7 +33,7 @@ def _keyed_join(df: DataFrame, table: DataFrame, key: Column) -> DataFrame:
 
 def attach_qr(df: DataFrame, payloads: DataFrame, number: str = "id_number") -> DataFrame:
     """Df with payload (null where none is known)."""
-    return _keyed_join(df, payloads.select("clean_id", "payload"), qr_key(F.col(number)))
+    return _keyed_join(df, payloads.select("clean_id", "payload"), qr_key(F.col(number)), F.col(number))
 
 
 def parse_payload(payload: Column) -> Column:
@@ -74,7 +78,7 @@ def compare_qr(doc_type: Column, number: Column, name: Column, dob: Column, qr:
 
 def attach_registry(df: DataFrame, records: DataFrame, number: str = "id_number") -> DataFrame:
     """Df with reg_name, reg_dob and lookup (AUTHENTICATED or NOT_FOUND_IN_SANDBOX)."""
-    joined = _keyed_join(df, records.select("clean_id", "reg_name", "reg_dob", F.lit(True).alias("__there")), registry_key(F.col(number)))
+    joined = _keyed_join(df, records.select("clean_id", "reg_name", "reg_dob", F.lit(True).alias("__there")), registry_key(F.col(number)), F.col(number))
     return joined.withColumn("lookup", F.when(F.col("__there"), "AUTHENTICATED").otherwise("NOT_FOUND_IN_SANDBOX")).drop("__there")
 
 

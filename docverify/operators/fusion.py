@@ -99,18 +99,14 @@ def evidence_table(scored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def severity(code: Column) -> Column:
-    """danger, warning or success, by what a code's name says."""
-    return (
-        F.when(code.contains("CLEAN"), "success")
-        .when(code.contains("FAIL") | code.contains("MISMATCH") | code.contains("SPIKE") | code.contains("INVALID"), "danger")
-        .otherwise("warning")
-    )
+    """danger, warning or success, by the marks in a code's name; danger goes first."""
+    return F.when(code.rlike("|".join(L.DANGER_MARKS)), "danger").when(code.rlike("|".join(L.WARNING_MARKS)), "warning").otherwise("success")
 
 
 def graded_reasons(scored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, code, severity, actionable); a code is actionable where a reviewer's verdict can cancel it."""
+    """(key, code, severity, actionable); a reviewer can give a verdict on any code that names an anomaly."""
     return scored.select(key, F.explode("codes").alias("code")).select(
-        key, "code", severity(F.col("code")).alias("severity"), F.col("code").isin(L.OVERRIDABLE).alias("actionable")
+        key, "code", severity(F.col("code")).alias("severity"), (~F.col("code").isin(L.NOT_ACTIONABLE)).alias("actionable")
     )
 
 

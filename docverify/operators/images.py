@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docverify.functions import lookups as L
+from docverify.functions.bind import let
 
 TILE = 24
 QUALITY = 90
 LONGEST = 900
+#: Decimals that count before a value is rounded, so that no order of summation decides.
+EXACT = 6
 
 # The JPEG standard's example quantisation tables, luminance then chrominance, row by row.
 JPEG_LUMA = [
@@ -106,11 +109,11 @@ def jpeg_round_trip(bgr: np.ndarray) -> np.ndarray:
     out = []
     for plane, table in zip(planes, (luma, chroma, chroma), strict=True):
         blocks = plane.reshape(full.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
-        coded = np.rint(dct @ blocks @ dct.T / table) * table
+        coded = np.rint(np.round(dct @ blocks @ dct.T, EXACT) / table) * table
         out.append((dct.T @ coded @ dct).transpose(0, 2, 1, 3).reshape(plane.shape))
     y, cb, cr = out[0] + 128, out[1], out[2]
     back = np.stack([y + 1.772 * cb, y - 0.344136 * cb - 0.714136 * cr, y + 1.402 * cr], axis=2)
-    return np.clip(np.rint(back), 0, 255)[:h, :w].astype(np.uint8)
+    return np.clip(np.rint(np.round(back, EXACT)), 0, 255)[:h, :w].astype(np.uint8)
 
 
 def fitted(bgr: np.ndarray) -> np.ndarray:
@@ -137,7 +140,7 @@ def tile_means(values: np.ndarray) -> list[tuple[int, int, float]]:
 _MEASURED = (
     "image_id long, width int, height int, mean_gray double, lap_variance double, illumination double, noise_ratio double, "
     "has_qr boolean, qr_confidence double, hist array<int>, ela_mean double, ela_max double, "
-    "tiles array<struct<tx:int,ty:int,mean:double>>, gray_tiles array<struct<tx:int,ty:int,mean:double>>"
+    "tiles array<struct<tx:int,ty:int,mean:double>>"
 )
 
 
@@ -152,7 +155,7 @@ def measure(images: DataFrame) -> DataFrame:
         [("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("mean_gray", pa.float64())]
         + [(n, pa.float64()) for n in ("lap_variance", "illumination", "noise_ratio")]
         + [("has_qr", pa.bool_()), ("qr_confidence", pa.float64()), ("hist", pa.list_(pa.int32()))]
-        + [("ela_mean", pa.float64()), ("ela_max", pa.float64()), ("tiles", tile), ("gray_tiles", tile)]
+        + [("ela_mean", pa.float64()), ("ela_max", pa.float64()), ("tiles", tile)]
     )
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,6 @@ def measure(images: DataFrame) -> DataFrame:
                     "image_id": image_id, "width": w, "height": h, "mean_gray": float(g.mean()), **quality(g),
                     "noise_ratio": noise_ratio(g), "has_qr": there, "qr_confidence": confidence, "hist": luminance_histogram(g),
                     "ela_mean": float(error.mean()), "ela_max": float(error.max()), "tiles": as_rows(tile_means(error)),
-                    "gray_tiles": as_rows(tile_means(g)),
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -198,8 +200,9 @@ def noise_verdict(ratio: Column) -> Column:
     return F.struct(F.round(ratio, 2).alias("ratio"), F.round(edge, 2).alias("edge"), (ratio > 4.0).alias("mismatch"))
 
 
-def tile_table(measured: DataFrame, tiles: str = "tiles") -> DataFrame:
-    return measured.select("image_id", "width", "height", F.explode(tiles).alias("t")).select("image_id", "width", "height", "t.*")
+def tile_table(measured: DataFrame) -> DataFrame:
+    """I4: a row for each tile of the error levels."""
+    return measured.select("image_id", "width", "height", F.explode("tiles").alias("t")).select("image_id", "width", "height", "t.*")
 
 
 def tile_outliers(tiles: DataFrame) -> DataFrame:
@@ -212,6 +215,29 @@ def tile_outliers(tiles: DataFrame) -> DataFrame:
     )
 
 
+def tile_summary(tiles: Column) -> Column:
+    """I5 in the image's own row, without a shuffle: struct(mu, sigma, n_outliers, uniform, localized); null without tiles."""
+
+    def summed(m: Column) -> Column:
+        n = F.size(m)
+        mu = F.aggregate(m, F.lit(0.0), lambda s, x: s + x) / n
+        return let(F.struct(m.alias("m"), n.alias("n"), mu.alias("mu")), spread)
+
+    def spread(t: Column) -> Column:
+        squares = F.aggregate(t["m"], F.lit(0.0), lambda s, x: s + (x - t["mu"]) * (x - t["mu"]))
+        return let(F.struct(t["m"].alias("m"), t["mu"].alias("mu"), F.sqrt(squares / t["n"]).alias("sigma")), judged)
+
+    def judged(t: Column) -> Column:
+        outliers = F.size(F.filter(t["m"], lambda x: (x > t["mu"] + 2.3 * t["sigma"]) & (x > 4.5)))
+        uniform = (t["mu"] > 6.0) & (t["sigma"] < 2.5)
+        return F.struct(
+            t["mu"].alias("mu"), t["sigma"].alias("sigma"), outliers.alias("n_outliers"), uniform.alias("uniform"),
+            ((outliers >= 2) & ~uniform).alias("localized"),
+        )
+
+    return F.when(F.size(tiles) > 0, let(F.transform(tiles, lambda t: t["mean"]), summed))
+
+
 def tile_verdicts(outliers: DataFrame) -> DataFrame:
     """I5, each image: n_outliers, uniform and localized."""
     uniform = (F.col("mu") > 6.0) & (F.col("sigma") < 2.5)
@@ -282,26 +308,29 @@ def forensic_risk(localized: Column, uniform: Column, mismatch: Column, edge: Co
     )
 
 
-def region_risk(max_error: Column) -> Column:
-    return F.least(F.lit(0.95), max_error / 20 + 0.4)
+def flagged_regions(boxes: DataFrame) -> DataFrame:
+    """I10's regions: outlier boxes with the risk of each."""
+    return boxes.withColumn("risk", F.round(F.least(F.lit(0.95), F.col("max_error") / 20 + 0.4), 3))
 
 
 def check_layout(df: DataFrame) -> DataFrame:
     """Df with aspect, layout_score, layout_pass and anomalies.
 
     Reads doc_type, width, height, photo_x, photo_y and mrz_y (null where not
-    detected). Types without a template are held to AADHAAR's. The templates
-    are three rows, so the join is a broadcast.
+    detected). Types without a template are held to AADHAAR's. A width or
+    height that is null or 0 is no evidence: what depends on it raises nothing,
+    and the aspect ratio is null. The templates are three rows, so the join is
+    a broadcast.
     """
     templates = df.sparkSession.createDataFrame(L.TEMPLATES, L.TEMPLATE_FIELDS).withColumnRenamed("doc_type", "__type")
     known = F.upper(F.coalesce("doc_type", F.lit("AADHAAR")))
     kind = F.when(known.isin([t[0] for t in L.TEMPLATES]), known).otherwise("AADHAAR")
     joined = df.withColumn("__kind", kind).join(F.broadcast(templates), F.col("__kind") == F.col("__type"))
-    x, y, slack = F.col("photo_x") / F.col("width"), F.col("photo_y") / F.col("height"), 0.10
-    aspect = F.col("width") / F.col("height")
+    x, y, slack = F.try_divide("photo_x", "width"), F.try_divide("photo_y", "height"), 0.10
+    aspect = F.nullif(F.try_divide("width", "height"), F.lit(0.0))
     off = F.abs(aspect - F.col("aspect")) > F.col("tolerance")
     moved = ~(x.between(F.col("x_min") - slack, F.col("x_max") + slack) & y.between(F.col("y_min") - slack, F.col("y_max") + slack))
-    high = (known == "PASSPORT") & (F.col("mrz_y") / F.col("height") < 0.70)
+    high = (known == "PASSPORT") & (F.try_divide("mrz_y", "height") < 0.70)
     on = lambda c: F.coalesce(c, F.lit(False))
     score = 100 - F.when(on(off), 20).otherwise(0) - F.when(on(moved), 25).otherwise(0) - F.when(on(high), 30).otherwise(0)
     anomalies = F.array_compact(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docverify.functions.checks import mask
@@ -54,6 +54,34 @@ def score_texts(texts: DataFrame, evidence: DataFrame, payloads: DataFrame, regi
     return score(fields, payloads, registry, None if events is None else verdict_map(latest_verdicts(events)), as_of)
 
 
+def scan_evidence(measured: DataFrame) -> DataFrame:
+    """The image evidence that scoring reads, one row an image, from images.measure: no shuffle.
+
+    The places of photo and zone are those of the document's frame, as no detector gives others.
+    """
+    m = measured.select(
+        "image_id", "width", "height", images.tile_summary(F.col("tiles")).alias("t"), images.noise_verdict(F.col("noise_ratio")).alias("n"),
+        images.quality_verdict(*[F.col(c) for c in ("width", "height", "lap_variance", "illumination")]).alias("q"),
+    )
+    return m.select(
+        "image_id", "width", "height", F.coalesce("t.localized", F.lit(False)).alias("has_local"), F.coalesce("t.uniform", F.lit(False)).alias("uniform"),
+        F.col("t.sigma").alias("tile_std"), F.col("n.mismatch").alias("noise"), F.col("n.edge").alias("edge"), F.col("q.quality_pass").alias("quality_pass"),
+        F.floor(F.col("width") * 0.05).alias("photo_x"), F.floor(F.col("height") * 0.2).alias("photo_y"), F.floor(F.col("height") * 0.8).alias("mrz_y"),
+        images.forensic_risk(F.col("t.localized"), F.col("t.uniform"), F.col("n.mismatch"), F.col("n.edge"), F.col("q.quality_pass")).alias("forensic"),
+    )
+
+
+def score_scans(
+    fields: DataFrame, measured: DataFrame, payloads: DataFrame, registry: DataFrame, feedback: DataFrame | None, as_of: Column
+) -> DataFrame:
+    """F12 with its image stage: fields (with image_id) scored with what was measured of their images.
+
+    The join is by image id, of one narrow row an image; pixels don't travel.
+    A document without a readable image is left out: it has nothing to judge.
+    """
+    return score(fields.join(scan_evidence(measured), "image_id"), payloads, registry, feedback, as_of)
+
+
 def dossiers(docs: DataFrame) -> DataFrame:
     """Applicants with their verdict; docs has applicant_id, doc_id, name, dob and hist."""
     rows = dossier.slots(docs, "applicant_id", "doc_id", ["doc_id", "name", "dob", "hist"])
@@ -88,7 +116,3 @@ def audit_certificates(scored: DataFrame, as_of: Column) -> DataFrame:
         mask(F.col("id_number")).alias("masked_id"), *earned, "trust_score",
         F.concat_ws(" / ", "risk", "action").alias("verdict"), as_of.alias("issued_on"),
     )
-
-
-def with_sequence(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_seq", F.row_number().over(Window.partitionBy("applicant_id").orderBy("doc_id")))

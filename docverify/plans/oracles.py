@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docverify.functions import lookups as L
-from docverify.sources.fixtures import AS_OF, BASE_SQL, EVIDENCE_SQL, HEIGHT, PIXEL_SQL, WIDTH
+from docverify.sources.fixtures import AS_OF, BASE_SQL, EVIDENCE_SQL, HEIGHT_SQL, LARGEST, PIXEL_SQL, WIDTH_SQL
 
 NOW = f"DATE '{AS_OF}'"
 _D, _P, _INV = (str(v) for v in (L.VERHOEFF_D, L.VERHOEFF_P, L.VERHOEFF_INV))
@@ -158,7 +158,7 @@ x1 AS (SELECT *, list_filter(list_transform(string_split(raw, chr(10)), lambda l
     CASE WHEN regexp_matches(raw, {quoted(L.MALE)}) THEN 'MALE' WHEN regexp_matches(raw, {quoted(L.FEMALE)}) THEN 'FEMALE'
       WHEN regexp_matches(raw, {quoted(L.TRANSGENDER)}) THEN 'TRANSGENDER' ELSE '' END AS gender FROM texts),
 x2 AS (SELECT *, CASE WHEN mrz1 IS NOT NULL THEN 'PASSPORT' ELSE by_words END AS kind,
-    coalesce(list_filter(regexp_extract_all(raw, {quoted(L.MRZ_ANY)}, 1), lambda l: l <> mrz1)[1], '') AS mrz2,
+    coalesce(regexp_extract(substr(raw, strpos(raw, mrz1) + length(mrz1)), '(?i)([A-Z0-9<]{{44}})', 1), '') AS mrz2,
     list_concat(flatten(list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN regexp_matches(lines[i], {quoted(L.NAME_ANCHOR)})
       THEN [CASE WHEN i > 2 THEN lines[i - 2] END, CASE WHEN i > 1 THEN lines[i - 1] END, lines[i + 1], lines[i + 2]] ELSE [] END)), lines) AS candidates
   FROM x1),
@@ -278,7 +278,56 @@ def scored_texts() -> str:
 
 
 PIXELS = f"""
-px AS (SELECT i, y, x, max(CASE WHEN k = 0 THEN p END) AS b, max(CASE WHEN k = 1 THEN p END) AS g, max(CASE WHEN k = 2 THEN p END) AS r FROM (
-  SELECT i, y, x, k, {PIXEL_SQL} AS p FROM (SELECT s_suppkey AS i FROM supplier), range({HEIGHT}) ty(y), range({WIDTH}) tx(x), range(3) tk(k)) GROUP BY i, y, x),
-gray AS (SELECT i AS image_id, y, x, 0.299e0 * r + 0.587e0 * g + 0.114e0 * b AS v FROM px)
+sizes AS (SELECT i, {WIDTH_SQL} AS w, {HEIGHT_SQL} AS h FROM (SELECT s_suppkey AS i FROM supplier)),
+spots AS (SELECT i, w, h, y, x FROM sizes, range({LARGEST[1]}) ty(y), range({LARGEST[0]}) tx(x) WHERE y < h AND x < w),
+colours AS (SELECT i, y, x, k, {PIXEL_SQL} AS p FROM spots, range(3) tk(k)),
+px AS (SELECT i, y, x, max(CASE WHEN k = 0 THEN p END) AS b, max(CASE WHEN k = 1 THEN p END) AS g, max(CASE WHEN k = 2 THEN p END) AS r FROM colours GROUP BY i, y, x),
+gray AS (SELECT i AS image_id, w, h, y, x, 0.299e0 * r + 0.587e0 * g + 0.114e0 * b AS v FROM px JOIN sizes USING (i))
+"""
+
+#: I3 from the standard's formulas: colours to luma and chroma, cosine transform of 8 x 8 blocks, quantisation at 90, and back.
+_TABLES = {"y": [max(1, (t * 20 + 50) // 100) for t in (
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99)],
+    "c": [max(1, (t * 20 + 50) // 100) for t in (
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99, *[99] * 32)]}
+ERRORS = f"""
+cosines AS (SELECT u, t, cos((2 * t + 1) * u * pi() / 16) / 2 * CASE WHEN u = 0 THEN 1 / sqrt(2e0) ELSE 1 END AS c FROM range(8) tu(u), range(8) tt(t)),
+planes AS (SELECT i, k, y // 8 AS brow, x // 8 AS bcol, y % 8 AS yy, x % 8 AS xx,
+    CASE k WHEN 0 THEN 0.299e0 * r + 0.587e0 * g + 0.114e0 * b - 128 WHEN 1 THEN -0.168736e0 * r - 0.331264e0 * g + 0.5e0 * b
+      ELSE 0.5e0 * r - 0.418688e0 * g - 0.081312e0 * b END AS v FROM px, range(3) tk(k)),
+f1 AS (SELECT i, k, brow, bcol, yy, u AS ux, sum(v * c) AS v FROM planes JOIN cosines ON t = xx GROUP BY ALL),
+f2 AS (SELECT i, k, brow, bcol, u AS uy, ux, sum(v * c) AS v FROM f1 JOIN cosines ON t = yy GROUP BY ALL),
+coded AS (SELECT i, k, brow, bcol, uy, ux, round_even(round(v, 6) / q, 0) * q AS v FROM (SELECT *,
+    CASE WHEN k = 0 THEN {_TABLES["y"]}[uy * 8 + ux + 1] ELSE {_TABLES["c"]}[uy * 8 + ux + 1] END AS q FROM f2)),
+b1 AS (SELECT i, k, brow, bcol, uy, t AS xx, sum(v * c) AS v FROM coded JOIN cosines ON u = ux GROUP BY ALL),
+b2 AS (SELECT i, k, brow * 8 + t AS y, bcol * 8 + xx AS x, sum(v * c) AS v FROM b1 JOIN cosines ON u = uy GROUP BY ALL),
+back AS (SELECT i, y, x, max(CASE WHEN k = 0 THEN v END) + 128 AS l, max(CASE WHEN k = 1 THEN v END) AS cb, max(CASE WHEN k = 2 THEN v END) AS cr FROM b2 GROUP BY ALL),
+errors AS (SELECT i AS image_id, y, x, (abs(b - least(255, greatest(0, round_even(round(l + 1.772e0 * cb, 6), 0))))
+    + abs(g - least(255, greatest(0, round_even(round(l - 0.344136e0 * cb - 0.714136e0 * cr, 6), 0))))
+    + abs(r - least(255, greatest(0, round_even(round(l + 1.402e0 * cr, 6), 0))))) / 3 AS v FROM px JOIN back USING (i, y, x))
+"""
+TILES = """
+tl AS (SELECT image_id, x // 24 AS tx, y // 24 AS ty, avg(e.v) AS mean FROM errors e JOIN sizes ON i = image_id WHERE x < w // 24 * 24 AND y < h // 24 * 24 GROUP BY ALL),
+ou AS (SELECT *, avg(mean) OVER (PARTITION BY image_id) AS mu, stddev_pop(mean) OVER (PARTITION BY image_id) AS sigma FROM tl),
+ov AS (SELECT *, mean > mu + 2.3 * sigma AND mean > 4.5 AS is_outlier FROM ou),
+tv AS (SELECT image_id, max(mu) AS mu, max(sigma) AS sigma, count_if(is_outlier) AS n_outliers, max(mu) > 6.0 AND max(sigma) < 2.5 AS uniform FROM ov GROUP BY image_id)
+"""
+QUALITY = """
+lp AS (SELECT image_id, w, h, y, x, lag(v) OVER (PARTITION BY image_id, x ORDER BY y) + lead(v) OVER (PARTITION BY image_id, x ORDER BY y)
+  + lag(v) OVER (PARTITION BY image_id, y ORDER BY x) + lead(v) OVER (PARTITION BY image_id, y ORDER BY x) - 4 * v AS l FROM gray),
+bl AS (SELECT image_id, w, h, avg(l * l) - avg(l) * avg(l) AS lap FROM lp WHERE y BETWEEN 1 AND h - 2 AND x BETWEEN 1 AND w - 2 GROUP BY image_id, w, h),
+qu AS (SELECT image_id, min(q) / max(q) AS light FROM (SELECT image_id, y >= h // 2, x >= w // 2, avg(v) AS q FROM gray GROUP BY 1, 2, 3) GROUP BY image_id),
+ql AS (SELECT image_id, w, h, lap, light, w < 400 OR h < 250 AS low, lap < 65 AS blurry, light < 0.45 AS uneven FROM bl JOIN qu USING (image_id))
+"""
+NOISE = """
+zn AS (SELECT image_id, avg(v * v) - avg(v) * avg(v) AS s FROM gray WHERE y < h // 3 * 3 AND x < w // 3 * 3 GROUP BY image_id, y // (h // 3), x // (w // 3)),
+rt AS (SELECT image_id, CASE WHEN min(s) > 0 THEN max(s) / min(s) ELSE 1.0 END AS ratio FROM zn GROUP BY image_id)
+"""
+#: Cases with the evidence of their applicant's picture: what RECORDS has, but measured.
+SCANNED = """
+records AS (SELECT doc_id, a AS applicant_id, doc_type, name, id_number, dob, expiry, line1, line2, CASE WHEN doc_id % 59 = 0 THEN 0.5 ELSE 0.94 END AS ocr_confidence,
+  n_outliers >= 2 AND NOT uniform AS has_local, uniform, sigma AS tile_std, ratio > 4.0 AS noise, round(CASE WHEN ratio > 4.5 THEN least(0.85, (ratio - 3) * 0.15) ELSE 0.0 END, 2) AS edge,
+  NOT low AND NOT blurry AND NOT uneven AS quality_pass, ql.w AS width, ql.h AS height, floor(ql.w * 0.05) AS photo_x, floor(ql.h * 0.2) AS photo_y, floor(ql.h * 0.8) AS mrz_y
+  FROM cases JOIN tv ON tv.image_id = doc_id % (SELECT count(*) FROM supplier) JOIN rt USING (image_id) JOIN ql USING (image_id))
 """

@@ -49,13 +49,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- sources and sinks
 
 
-@query()
+@query(
+    O.chain(O.PIXELS)
+    + """SELECT i AS image_id, h AS height, w AS width, sha256(unhex(string_agg(printf('%02x%02x%02x', b, g, r), '' ORDER BY y, x))) AS doc_hash
+  FROM px JOIN sizes USING (i) GROUP BY i, w, h"""
+)
 def s1_scans(spark, sf_dir):
-    """Pictures read as raw files: the tables hold none, so one file a supplier is read from what Spark wrote."""
-    path = new_path(spark, "scans")
-    X.pictures(spark, sf_dir).select(F.base64("data").alias("value")).write.text(path)
-    found = tables.read_bytes(spark, path)
-    return found.select(F.sha2("content", 256).alias("doc_hash"), F.length("content").alias("bytes"))
+    """Pictures as image files, one a supplier, read back by the image reader."""
+    return _scans(spark, sf_dir).select("image_id", "height", "width", F.sha2("data", 256).alias("doc_hash"))
+
+
+def _scans(spark, sf_dir):
+    folder = new_path(spark, "scans")
+    tables.write_scans(X.pictures(spark, sf_dir), folder)
+    found = tables.read_scans(spark, f"{folder}/*.bmp")
+    return found.select(F.regexp_extract("origin", r"(-?[0-9]+)\.bmp$", 1).cast("long").alias("image_id"), "height", "width", "data")
 
 
 @query("SELECT page_id, sha256(html) AS doc_hash FROM pages")
@@ -451,9 +459,16 @@ def c5_exact_portraits(spark, sf_dir):
     return links.exact_portraits(_read(spark, sf_dir, "embeddings").select("vec_id", coarse.alias("hist"))).select("vec_id", "print", "n_same")
 
 
-@query()
+@query(
+    """WITH given AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM embeddings),
+p AS (SELECT * FROM given UNION ALL SELECT -1 - vec_id, list_transform(u, lambda x, j: x * (1 + CASE WHEN j % 2 = 1 THEN 0.05 ELSE -0.05 END)) FROM given WHERE vec_id % 10 = 3),
+n AS (SELECT vec_id, u, sqrt(list_inner_product(u, u)) AS norm FROM p)
+SELECT l.vec_id AS a, r.vec_id AS b, round(list_inner_product(l.u, r.u) / (l.norm * r.norm), 6) AS similarity FROM n l JOIN n r ON l.vec_id < r.vec_id
+WHERE list_inner_product(l.u, r.u) >= 0.95 * l.norm * r.norm"""
+)
 def c5_near_portraits(spark, sf_dir):
-    return links.near_portraits(_read(spark, sf_dir, "embeddings"), 0.95)
+    """Near portraits among the vectors and slightly changed copies of every tenth."""
+    return links.near_portraits(X.portraits(spark, sf_dir), 0.95).withColumn("similarity", F.round("similarity", 6))
 
 
 def _addresses(spark, sf_dir):
@@ -535,15 +550,17 @@ def g5_pairs(spark, sf_dir):
     return links.case_pairs(_links(spark, sf_dir))
 
 
-@query(
+_REACH = (
     "WITH RECURSIVE "
     + ",\n".join(p.strip().rstrip(",") for p in (O.CASES, _LINKS))
     + """, ed AS (SELECT DISTINCT case_id, first_case FROM li JOIN sh USING (entity_type, entity_id)),
 both_ AS (SELECT case_id AS u, first_case AS v FROM ed UNION SELECT first_case, case_id FROM ed),
 reach(u, v) USING KEY (u) AS (SELECT u, least(u, min(v)) FROM both_ GROUP BY u
-  UNION SELECT b.u, min(r.v) FROM both_ b JOIN reach r ON b.v = r.u JOIN recurring.reach o ON o.u = b.u WHERE r.v < o.v GROUP BY b.u)
-SELECT u AS case_id, v AS ring_id FROM reach"""
+  UNION SELECT b.u, min(r.v) FROM both_ b JOIN reach r ON b.v = r.u JOIN recurring.reach o ON o.u = b.u WHERE r.v < o.v GROUP BY b.u)"""
 )
+
+
+@query(_REACH + " SELECT u AS case_id, v AS ring_id FROM reach")
 def g6_clusters(spark, sf_dir):
     return links.clusters(_links(spark, sf_dir))
 
@@ -558,7 +575,13 @@ def g7_entities(spark, sf_dir):
     return links.entity_status(_links(spark, sf_dir), _scored(spark, sf_dir).select(C("doc_id").alias("case_id"), "action"))
 
 
-@query()
+@query(
+    _REACH
+    + """, me AS (SELECT u AS case_id, v AS ring_id FROM reach)
+SELECT ring_id, count(DISTINCT case_id) AS n_cases, count(DISTINCT (entity_type, entity_id)) AS n_entities,
+  CASE max(CASE entity_type WHEN 'photo' THEN 3 WHEN 'pattern' THEN 2 ELSE 1 END) WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+FROM li JOIN sh USING (entity_type, entity_id) JOIN me USING (case_id) GROUP BY ring_id"""
+)
 def w3_ring_report(spark, sf_dir):
     return jobs.ring_report(_links(spark, sf_dir))
 
@@ -571,7 +594,7 @@ def _measured(spark, sf_dir):
 
 
 _PIXELS = O.chain(O.PIXELS)
-_H, _W = X.HEIGHT, X.WIDTH
+_TILED = O.chain(O.PIXELS, O.ERRORS, O.TILES)
 
 
 @query(_PIXELS + "SELECT image_id, round(avg(v), 6) AS mean_gray FROM gray GROUP BY image_id")
@@ -579,77 +602,62 @@ def i1_gray(spark, sf_dir):
     return _measured(spark, sf_dir).select("image_id", F.round("mean_gray", 6).alias("mean_gray"))
 
 
-_QUALITY = f"""
-lp AS (SELECT image_id, y, x, lag(v) OVER (PARTITION BY image_id, x ORDER BY y) + lead(v) OVER (PARTITION BY image_id, x ORDER BY y)
-  + lag(v) OVER (PARTITION BY image_id, y ORDER BY x) + lead(v) OVER (PARTITION BY image_id, y ORDER BY x) - 4 * v AS l FROM gray),
-bl AS (SELECT image_id, avg(l * l) - avg(l) * avg(l) AS lap FROM lp WHERE y BETWEEN 1 AND {_H - 2} AND x BETWEEN 1 AND {_W - 2} GROUP BY image_id),
-qu AS (SELECT image_id, min(q) / max(q) AS light FROM (SELECT image_id, y >= {_H // 2}, x >= {_W // 2}, avg(v) AS q FROM gray GROUP BY 1, 2, 3) GROUP BY image_id)
-"""
-
-
 @query(
-    O.chain(O.PIXELS, _QUALITY)
-    + """SELECT image_id, floor(lap + 0.5) AS blur_score, lap < 65 AS is_blurry, true AS is_low_res, light < 0.45 AS is_uneven, round(light, 2) AS illumination,
-  greatest(10, floor(65 - CASE WHEN lap < 65 THEN least(45, (65 - lap) * 1.2) ELSE 0 END - CASE WHEN light < 0.45 THEN 20 ELSE 0 END + 0.5)) AS quality_score,
-  false AS quality_pass FROM bl JOIN qu USING (image_id)"""
+    O.chain(O.PIXELS, O.QUALITY)
+    + """SELECT image_id, floor(lap + 0.5) AS blur_score, blurry AS is_blurry, low AS is_low_res, uneven AS is_uneven, round(light, 2) AS illumination,
+  greatest(10, floor(100 - CASE WHEN low THEN 35 ELSE 0 END - CASE WHEN blurry THEN least(45, (65 - lap) * 1.2) ELSE 0 END - CASE WHEN uneven THEN 20 ELSE 0 END + 0.5)) AS quality_score,
+  NOT low AND NOT blurry AND NOT uneven AS quality_pass FROM ql"""
 )
 def i2_quality(spark, sf_dir):
     m = _measured(spark, sf_dir)
     return m.select("image_id", images.quality_verdict(*[C(c) for c in ("width", "height", "lap_variance", "illumination")]).alias("q")).select("image_id", "q.*")
 
 
-@query()
+@query(O.chain(O.PIXELS, O.ERRORS) + "SELECT image_id, round(avg(v), 4) AS mean_error, round(max(v), 4) AS max_error FROM errors GROUP BY image_id")
 def i3_error_level(spark, sf_dir):
-    return _measured(spark, sf_dir).select("image_id", F.round("ela_mean", 2).alias("mean_error"), F.round("ela_max", 2).alias("max_error"))
-
-
-_TILES = f"tl AS (SELECT image_id, x // 24 AS tx, y // 24 AS ty, avg(v) AS mean FROM gray WHERE x < {_W // 24 * 24} AND y < {_H // 24 * 24} GROUP BY ALL)"
-_OUT = """
-ou AS (SELECT *, avg(mean) OVER (PARTITION BY image_id) AS mu, stddev_pop(mean) OVER (PARTITION BY image_id) AS sigma FROM tl),
-ov AS (SELECT *, mean > mu + 2.3 * sigma AND mean > 4.5 AS is_outlier FROM ou)
-"""
+    return _measured(spark, sf_dir).select("image_id", F.round("ela_mean", 4).alias("mean_error"), F.round("ela_max", 4).alias("max_error"))
 
 
-@query(O.chain(O.PIXELS, _TILES) + "SELECT image_id, tx, ty, round(mean, 6) AS mean FROM tl")
+@query(_TILED + "SELECT image_id, tx, ty, round(mean, 6) AS mean FROM tl")
 def i4_tiles(spark, sf_dir):
-    return images.tile_table(_measured(spark, sf_dir), "gray_tiles").select("image_id", "tx", "ty", F.round("mean", 6).alias("mean"))
+    return images.tile_table(_measured(spark, sf_dir)).select("image_id", "tx", "ty", F.round("mean", 6).alias("mean"))
 
 
 @query(
-    O.chain(O.PIXELS, _TILES, _OUT)
-    + """SELECT image_id, round(max(mu), 6) AS mu, round(max(sigma), 6) AS sigma, count_if(is_outlier) AS n_outliers, max(mu) > 6.0 AND max(sigma) < 2.5 AS uniform,
-  count_if(is_outlier) >= 2 AND NOT (max(mu) > 6.0 AND max(sigma) < 2.5) AS localized FROM ov GROUP BY image_id"""
+    _TILED
+    + "SELECT image_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, n_outliers, uniform, n_outliers >= 2 AND NOT uniform AS localized FROM tv"
 )
 def i5_outliers(spark, sf_dir):
-    r = images.tile_verdicts(images.tile_outliers(images.tile_table(_measured(spark, sf_dir), "gray_tiles")))
+    r = images.tile_verdicts(images.tile_outliers(images.tile_table(_measured(spark, sf_dir))))
     return r.select("image_id", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "n_outliers", "uniform", "localized")
 
 
+@query(_TILED + "SELECT image_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, n_outliers, uniform, n_outliers >= 2 AND NOT uniform AS localized FROM tv")
+def i5_summary(spark, sf_dir):
+    """I5 within the image's row."""
+    r = _measured(spark, sf_dir).select("image_id", images.tile_summary(C("tiles")).alias("t")).where("t is not null").select("image_id", "t.*")
+    return r.withColumns({c: F.round(c, 6) for c in ("mu", "sigma")})
+
+
 @query()
 def i6_boxes(spark, sf_dir):
-    return images.outlier_boxes(images.tile_outliers(images.tile_table(_measured(spark, sf_dir), "gray_tiles")))
+    return images.flagged_regions(images.outlier_boxes(images.tile_outliers(images.tile_table(_measured(spark, sf_dir)))))
 
 
 @query(
-    O.chain(
-        O.PIXELS,
-        f"zn AS (SELECT image_id, avg(v * v) - avg(v) * avg(v) AS s FROM gray WHERE y < {_H // 3 * 3} AND x < {_W // 3 * 3} GROUP BY image_id, y // {_H // 3}, x // {_W // 3})",
-        "rt AS (SELECT image_id, CASE WHEN min(s) > 0 THEN max(s) / min(s) ELSE 1.0 END AS t FROM zn GROUP BY image_id)",
-    )
-    + "SELECT image_id, round(t, 2) AS ratio, round(CASE WHEN t > 4.5 THEN least(0.85, (t - 3) * 0.15) ELSE 0.0 END, 2) AS edge, t > 4.0 AS mismatch FROM rt"
+    O.chain(O.PIXELS, O.NOISE)
+    + "SELECT image_id, round(ratio, 2) AS ratio, round(CASE WHEN ratio > 4.5 THEN least(0.85, (ratio - 3) * 0.15) ELSE 0.0 END, 2) AS edge, ratio > 4.0 AS mismatch FROM rt"
 )
 def i7_noise(spark, sf_dir):
     return _measured(spark, sf_dir).select("image_id", images.noise_verdict(C("noise_ratio")).alias("n")).select("image_id", "n.*")
 
 
-_X0, _Y0, _BW, _BH = int(_W * 0.65), int(_H * 0.15), int(_W * 0.32), int(_H * 0.55)
-
-
 @query(
     O.chain(
         O.PIXELS,
-        f"""bx AS (SELECT image_id, count_if(v < 60) AS dark, count_if(v > 190) AS light FROM gray
-  WHERE x >= {_X0} AND x < {_X0 + _BW} AND y >= {_Y0} AND y < {_Y0 + _BH} AND ((y - {_Y0}) * {_BW} + x - {_X0}) % 4 = 0 GROUP BY image_id)""",
+        """bx AS (SELECT image_id, count_if(v < 60) AS dark, count_if(v > 190) AS light FROM (
+    SELECT *, CAST(floor(w * 0.65) AS INT) AS x0, CAST(floor(h * 0.15) AS INT) AS y0, CAST(floor(w * 0.32) AS INT) AS bw, CAST(floor(h * 0.55) AS INT) AS bh FROM gray)
+  WHERE x >= x0 AND x < x0 + bw AND y >= y0 AND y < y0 + bh AND ((y - y0) * bw + x - x0) % 4 = 0 GROUP BY image_id)""",
         "sr AS (SELECT image_id, dark / greatest(1, dark + light) AS share FROM bx)",
     )
     + "SELECT image_id, share > 0.25 AND share < 0.75 AS has_qr, CASE WHEN share > 0.25 AND share < 0.75 THEN 0.9 ELSE 0.2 END AS confidence FROM sr"
@@ -658,14 +666,31 @@ def i8_qr_presence(spark, sf_dir):
     return _measured(spark, sf_dir).select("image_id", "has_qr", C("qr_confidence").alias("confidence"))
 
 
-@query(
-    _PIXELS
-    + f"SELECT image_id, CAST(least(15, floor(v / 16)) AS INT) AS bin, count(*) AS n FROM gray WHERE (y * {_W} + x) % 4 = 0 GROUP BY 1, 2"
-)
+@query(_PIXELS + "SELECT image_id, CAST(least(15, floor(v / 16)) AS INT) AS bin, count(*) AS n FROM gray WHERE (y * w + x) % 4 = 0 GROUP BY 1, 2")
 def i9_histogram(spark, sf_dir):
     return _measured(spark, sf_dir).select("image_id", F.posexplode("hist").alias("bin", "n")).where("n > 0")
 
 
+_HISTS = """
+hp AS (SELECT image_id, CAST(least(15, floor(v / 16)) AS INT) AS bin, count(*) AS n FROM gray WHERE (y * w + x) % 4 = 0 GROUP BY 1, 2),
+hn AS (SELECT image_id, sqrt(sum(n * n)) AS norm FROM hp GROUP BY image_id)
+"""
+
+
+@query(
+    O.chain(O.PIXELS, _HISTS)
+    + """SELECT image_id, s AS similarity, CASE WHEN s >= 80 THEN 'HIGH_SIMILARITY' WHEN s >= 55 THEN 'MODERATE_SIMILARITY' ELSE 'LOW_SIMILARITY' END AS status FROM (
+  SELECT l.image_id, CAST(floor(coalesce((SELECT sum(a.n * b.n) FROM hp a JOIN hp b ON a.bin = b.bin WHERE a.image_id = l.image_id AND b.image_id = r.image_id), 0)
+    / (l.norm * r.norm) * 100 + 0.5) AS INT) AS s FROM hn l JOIN hn r ON r.image_id = l.image_id - 1)"""
+)
+def c3_histograms(spark, sf_dir):
+    """Portraits compared by the histograms of their pixels: each picture with the one before it."""
+    hists = _measured(spark, sf_dir).select("image_id", "hist")
+    before = hists.select((C("image_id") + 1).alias("image_id"), C("hist").alias("other"))
+    r = names.compare_portraits(C("hist"), C("other"))
+    return hists.join(before, "image_id").select("image_id", r.alias("r")).select("image_id", "r.*")
+
+
 @query(
     O.chain(O.CASES, O.RECORDS)
     + """SELECT doc_id, s AS risk_score, CASE WHEN s >= 0.65 THEN 'HIGH' WHEN s >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS risk, CASE WHEN quality_pass THEN 0.9 ELSE 0.45 END AS confidence
@@ -740,9 +765,10 @@ def f6_evidence(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, code, CASE WHEN contains(code, 'CLEAN') THEN 'success' WHEN regexp_matches(code, 'FAIL|MISMATCH|SPIKE|INVALID') THEN 'danger' ELSE 'warning' END AS severity, code IN ("
-    + ", ".join(f"'{c}'" for c in L.OVERRIDABLE)
-    + ") AS actionable FROM ("
+    """SELECT doc_id, code, CASE
+    WHEN contains(code, 'FAIL') OR contains(code, 'LOCAL_ELA') OR contains(code, 'SPLICING') OR contains(code, 'MISMATCH') THEN 'danger'
+    WHEN contains(code, 'COMPRESSION') OR contains(code, 'EVIDENCE') OR contains(code, 'CONFIDENCE') OR contains(code, 'TEMPLATE') THEN 'warning'
+    ELSE 'success' END AS severity, code <> 'CLEAN_VERIFICATION' AND code <> 'INSUFFICIENT_EVIDENCE' AS actionable FROM ("""
     + _SCORED
     + "SELECT doc_id, unnest(codes) AS code FROM scored)"
 )
@@ -842,6 +868,23 @@ def w1_review_queue(spark, sf_dir):
     return fusion.review_queue(_full(spark, sf_dir))
 
 
+_SCANNED = O.chain(
+    O.CASES, O.PIXELS, O.ERRORS, O.TILES, O.QUALITY, O.NOISE, O.SCANNED, O.TRUTH, O.crossed("records"), O.LAYOUT, O.rules("laid", "ruled"), O.scored(False)
+)
+
+
+@query(_SCANNED + "SELECT doc_id, trust_score, risk, action, array_to_string(codes, ',') AS codes FROM scored")
+def w5_scan_scores(spark, sf_dir):
+    """From image files to verdicts: each case with the evidence of its picture."""
+    n = _read(spark, sf_dir, "supplier").count()
+    records = _cases(spark, sf_dir).select(
+        "doc_id", C("a").alias("applicant_id"), "doc_type", "name", "id_number", "dob", "line1", "line2", (C("doc_id") % n).alias("image_id"),
+        F.when(C("doc_id") % 59 == 0, 0.5).otherwise(0.94).alias("ocr_confidence"),
+    )
+    scored = jobs.score_scans(records, images.measure(_scans(spark, sf_dir)), X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir), None, _now())
+    return scored.select("doc_id", "trust_score", "risk", "action", F.array_join("codes", ",").alias("codes"))
+
+
 # --- streams
 
 
@@ -854,7 +897,7 @@ def st1_score_stream(spark, sf_dir):
     fields = jobs.flat_fields(extract(arriving, base=C("base_confidence")))
     payloads, registry = X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir)
     scored = jobs.score(fields, payloads, registry, None, _now())
-    return S.appended(scored.select("doc_id", "trust_score", "risk", "action"), "scored")
+    return S.appended(scored.select("doc_id", "trust_score", "risk", "action"), new_path(spark, "scored"))
 
 
 def _event_stream(spark, sf_dir):
@@ -871,7 +914,7 @@ def st2_latest_verdict(spark, sf_dir):
 
 @query(O.chain(O.FEEDBACK) + "SELECT case_id, signal_code, verdict FROM latest")
 def st2_latest_verdict_stream(spark, sf_dir):
-    return S.streamed_verdicts(_event_stream(spark, sf_dir)).select("case_id", "signal_code", "verdict")
+    return S.streamed_verdicts(_event_stream(spark, sf_dir), new_path(spark, "verdicts")).select("case_id", "signal_code", "verdict")
 
 
 @query(_SCORED_FB + "SELECT doc_id, trust_score, risk, action FROM scored WHERE doc_id IN (SELECT case_id FROM latest)")
@@ -882,12 +925,32 @@ def st3_rescore(spark, sf_dir):
         scored = jobs.score(records, X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir), said, _now())
         return scored.select("doc_id", "trust_score", "risk", "action")
 
-    return S.rescored(_event_stream(spark, sf_dir), again, X.feedback(spark, sf_dir))
+    return S.rescored(_event_stream(spark, sf_dir), again, new_path(spark, "rescored"))
 
 
 @query("SELECT DISTINCT sha256(concat_ws('|', CAST(user_id AS STRING), event_type)) AS doc_hash FROM events")
 def st4_first_uploads(spark, sf_dir):
     schema = _read(spark, sf_dir, "events").schema
     events = S.stream_table(spark, f"{sf_dir}/events.parquet", schema, files_at_once=1000)
-    hashed = events.select("ts", F.sha2(F.concat_ws("|", C("user_id").cast("string"), "event_type"), 256).alias("doc_hash"))
-    return S.appended(S.first_uploads(hashed, late="3650 days").select("doc_hash"), "uploads")
+    return S.appended(S.first_uploads(_uploads(events, "user_id", "event_type"), late="3650 days").select("doc_hash"), new_path(spark, "uploads"))
+
+
+def _uploads(events: DataFrame, *parts) -> DataFrame:
+    return events.select("ts", F.sha2(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]), 256).alias("doc_hash"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts, sha256(concat_ws('|', CAST(event_id % 301 AS STRING), CAST(user_id AS STRING), event_type)) AS doc_hash FROM events)
+SELECT DISTINCT doc_hash FROM e WHERE event_id % 3 < 2
+  OR epoch_us(ts) > (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM e WHERE event_id % 3 = 0) - 86400000000::BIGINT"""
+)
+def st4_late_uploads(spark, sf_dir):
+    """Uploads that arrive in three turns, a day allowed: what is late in the third by the first turn's clock doesn't come out."""
+    folder = new_path(spark, "arriving")
+    events, files = _read(spark, sf_dir, "events"), []
+    for turn in range(3):
+        events.where(C("event_id") % 3 == turn).write.mode("append").parquet(folder)
+        files.append(len(spark.read.parquet(folder).inputFiles()))
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files[0]).parquet(folder)
+    hashed = _uploads(arriving, C("event_id") % 301, "user_id", "event_type")
+    return S.appended(S.first_uploads(hashed, late="1 day").select("doc_hash"), new_path(spark, "uploads")).distinct()

@@ -153,10 +153,15 @@ def as_feedback(events: DataFrame, most: int) -> DataFrame:
     )
 
 
-WIDTH, HEIGHT = 120, 72
-#: A picture's pixel in colour k (0 blue, 1 green, 2 red), with two bright tiles for every ninth row.
+#: Width and height of a picture: every tenth is large enough to be judged.
+WIDTH_SQL, HEIGHT_SQL = "CASE WHEN i % 10 = 0 THEN 400 ELSE 120 END", "CASE WHEN i % 10 = 0 THEN 256 ELSE 72 END"
+LARGEST = (400, 256)
+#: A picture's pixel in colour k (0 blue, 1 green, 2 red): two bright tiles for every ninth, a smooth
+#: picture with a busy patch of two tiles for one in four, a busy picture else.
 PIXEL_SQL = """
   CASE WHEN i % 9 = 0 AND x BETWEEN 24 AND 71 AND y BETWEEN 24 AND 47 THEN 255
+       WHEN i % 4 = 2 AND x BETWEEN 24 AND 71 AND y BETWEEN 24 + 24 * (i // 4 % 2) AND 47 + 24 * (i // 4 % 2) THEN (37 * x + 59 * y + 101 * k) % 256
+       WHEN i % 4 = 2 THEN ((x + y) // 4 + 13 * i + 40 * k) % 200
        ELSE ((3 + i % 5) * x + (5 + i % 7) * y + 13 * i + 40 * k) % 200 END
 """
 
@@ -167,16 +172,21 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pyarrow as pa
 
     def drawn(batches):
-        y, x, k = np.mgrid[0:HEIGHT, 0:WIDTH, 0:3]
-        bright = (x >= 24) & (x <= 71) & (y >= 24) & (y <= 47)
         for batch in batches:
-            ids = [i for i in batch.column(0).to_pylist() if i is not None]
-            for i in ids:
-                p = ((3 + i % 5) * x + (5 + i % 7) * y + 13 * i + 40 * k) % 200
-                p = np.where(bright, 255, p) if i % 9 == 0 else p
+            for i in (i for i in batch.column(0).to_pylist() if i is not None):
+                w, h = LARGEST if i % 10 == 0 else (120, 72)
+                y, x, k = np.mgrid[0:h, 0:w, 0:3]
+                across = (x >= 24) & (x <= 71)
+                if i % 4 == 2:
+                    low = 24 + 24 * (i // 4 % 2)
+                    patch = across & (y >= low) & (y <= low + 23)
+                    p = np.where(patch, (37 * x + 59 * y + 101 * k) % 256, ((x + y) // 4 + 13 * i + 40 * k) % 200)
+                else:
+                    p = ((3 + i % 5) * x + (5 + i % 7) * y + 13 * i + 40 * k) % 200
+                p = np.where(across & (y >= 24) & (y <= 47), 255, p) if i % 9 == 0 else p
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([i], pa.int64()), pa.array([HEIGHT], pa.int32()), pa.array([WIDTH], pa.int32()),
+                        pa.array([i], pa.int64()), pa.array([h], pa.int32()), pa.array([w], pa.int32()),
                         pa.array([p.astype(np.uint8).tobytes()], pa.binary()),
                     ],
                     ["image_id", "height", "width", "data"],
@@ -184,3 +194,12 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     keys = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long"))
     return keys.mapInArrow(drawn, "image_id long, height int, width int, data binary")
+
+
+def portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, embedding): the given vectors, and of every tenth a copy that differs a little, under an id of its own."""
+    given = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    near = given.where("vec_id % 10 = 3").select(
+        (-1 - F.col("vec_id")).alias("vec_id"), F.transform("embedding", lambda x, j: x * (1 + F.when(j % 2 == 0, 0.05).otherwise(-0.05))).alias("embedding")
+    )
+    return given.unionByName(near)

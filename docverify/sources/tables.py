@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASES = "doc_id long, applicant_id long, doc_type string, name string, id_number string, dob string, expiry string, line1 string, line2 string"
-REGISTRY = "clean_id string, reg_name string, reg_dob string"
-PAYLOADS = "clean_id string, payload string"
 _MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 FEEDBACK = "event_id long, ts timestamp_ntz, case_id long, signal_code string, verdict string"
 
@@ -18,6 +22,33 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
     return image.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
 
+def bitmap(height: int, width: int, data: bytes) -> bytes:
+    """A BMP file of 24-bit pixels (blue, green, red, row by row from the top)."""
+    rows = np.frombuffer(data, np.uint8).reshape(height, width * 3)[::-1]
+    body = np.pad(rows, ((0, 0), (0, -width * 3 % 4))).tobytes()
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+
+
+def write_scans(images: DataFrame, folder: str) -> int:
+    """Write images (image_id, height, width, data) as files <image_id>.bmp; returns how many.
+
+    Tasks write their own images; a second attempt writes the same files again.
+    """
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for image_id, h, w, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_output_stream(f"{base}/{image_id}.bmp", compression=None) as out:
+                    out.write(bitmap(h, w, data))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = images.select("image_id", "height", "width", "data")
+    return rows.mapInArrow(files, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 

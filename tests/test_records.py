@@ -192,3 +192,73 @@ def test_image_invariants():
     once = images.jpeg_round_trip(noisy)
     assert images.error_level(once).mean() < images.error_level(noisy).mean()
     assert images.noise_ratio(images.gray(flat)) == 1.0
+
+
+def test_second_zone_line_follows_the_first(spark):
+    before = "X" * 44
+    texts = [f"{before}\n{LINE1}\n{LINE2}", f"{LINE1}\nshort", f"{before}", f"{LINE1}\n{LINE1}", f"{LINE2}\n{LINE1}", None]
+    got = run(spark, texts, lambda v: T.mrz_lines(F.coalesce(v, F.lit(""))))
+    assert [g and tuple(g) for g in got] == [(LINE1, LINE2), (LINE1, ""), None, (LINE1, LINE1), (LINE1, ""), None]
+
+
+def test_severity_of_codes(spark):
+    # fixed values: what each code is shown as
+    want = {
+        "RULE_AADHAAR_CHECKSUM_FAIL": "danger", "RULE_PAN_FORMAT_INVALID": "success", "RULE_PASSPORT_INVALID_FORMAT": "success",
+        "RULE_PASSPORT_MRZ_CHECKSUM_FAIL": "danger", "RULE_PASSPORT_VISIBLE_MISMATCH": "danger", "RULE_DOB_INVALID": "success",
+        "FORENSICS_LOCAL_ELA_SPIKE": "danger", "FORENSICS_UNIFORM_COMPRESSION": "warning", "FORENSICS_NOISE_DISCONTINUITY": "success",
+        "FORENSICS_EDGE_SPLICING": "danger", "TEMPLATE_LAYOUT_ANOMALY": "warning", "QR_OCR_DOB_MISMATCH": "danger",
+        "OCR_LOW_CONFIDENCE": "warning", "REF_DATA_MISMATCH": "danger", "INSUFFICIENT_EVIDENCE": "warning", "CLEAN_VERIFICATION": "success",
+    }
+    scored = spark.createDataFrame([(1, list(want))], "doc_id long, codes array<string>")
+    got = {r["code"]: (r["severity"], r["actionable"]) for r in fusion.graded_reasons(scored).collect()}
+    assert got == {k: (v, k not in ("CLEAN_VERIFICATION", "INSUFFICIENT_EVIDENCE")) for k, v in want.items()}
+
+
+def test_layout_without_a_size(spark):
+    rows = [("PAN", 0, 100, 5, 45, None), ("PAN", 158, 0, 15, 5, None), ("PASSPORT", None, None, 5, 5, 70), ("PAN", 158, 100, 15, 30, None)]
+    df = spark.createDataFrame(rows, "doc_type string, width int, height int, photo_x int, photo_y int, mrz_y int")
+    got = images.check_layout(df).collect()
+    assert [(g["layout_score"], g["aspect_ratio"]) for g in got] == [(100, None), (100, None), (100, None), (100, 1.58)]
+
+
+def test_masked_numbers_go_round_the_joins(spark):
+    from docverify.operators.crosscheck import attach_qr
+
+    df = spark.createDataFrame([(1, "XXXX XXXX 1234"), (2, "543210987652"), (3, ""), (4, None)], "doc_id long, id_number string")
+    payloads = spark.createDataFrame([("1234", "wrong"), ("543210987652", "right")], "clean_id string, payload string")
+    assert {r["doc_id"]: r["payload"] for r in attach_qr(df, payloads).collect()} == {1: None, 2: "right", 3: None, 4: None}
+
+
+def test_boxes_of_outlier_tiles(spark):
+    # golden rows: a pair of tiles, one that the seed's reach leaves out, one at the lower edge
+    tiles = [(1, 240, 240, x, y, m) for x, y, m in ((1, 1, 9.0), (3, 1, 12.0), (5, 1, 8.0), (7, 8, 30.0))]
+    rows = spark.createDataFrame([(*t, True) for t in tiles], "image_id long, width int, height int, tx int, ty int, mean double, is_outlier boolean")
+    got = sorted(tuple(r) for r in images.flagged_regions(images.outlier_boxes(rows)).collect())
+    assert got == [
+        (1, 0, 18, 18, 84, 36, 12.0, "TEXT", 0.95), (1, 1, 114, 18, 36, 36, 8.0, "TEXT", 0.8), (1, 2, 162, 186, 36, 36, 30.0, "ID_NUMBER", 0.95),
+    ]
+
+
+def test_tile_summary_equals_the_grouping(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, 240, 240, [(x, y, r.choice([1.0, 2.0, 30.0]) if i % 2 else r.uniform(7, 8)) for y in range(4) for x in range(5)]) for i in range(8)]
+    measured = spark.createDataFrame(rows, "image_id long, width int, height int, tiles array<struct<tx:int,ty:int,mean:double>>")
+    grouped = {g["image_id"]: (round(g["mu"], 9), round(g["sigma"], 9), g["n_outliers"], g["uniform"], g["localized"])
+               for g in images.tile_verdicts(images.tile_outliers(images.tile_table(measured))).collect()}
+    own = measured.select("image_id", images.tile_summary(F.col("tiles")).alias("t")).collect()
+    assert {o["image_id"]: (round(o["t"]["mu"], 9), round(o["t"]["sigma"], 9), *o["t"][2:]) for o in own} == grouped
+
+
+def test_bitmaps_are_read_back(spark, tmp_path):
+    from docverify.sources.tables import read_scans, write_scans
+
+    rows = [(1, 2, 3, bytes(range(18))), (2, 1, 5, bytes(15)), (3, 3, 4, bytes(range(36)))]
+    images_ = spark.createDataFrame(rows, "image_id long, height int, width int, data binary")
+    folder = f"file://{tmp_path}/scans"
+    assert write_scans(images_, folder) == 3
+    (tmp_path / "scans/broken.bmp").write_bytes(b"BM no image")
+    got = {r["origin"].rsplit("/", 1)[1]: (r["height"], r["width"], bytes(r["data"])) for r in read_scans(spark, folder).collect()}
+    assert got == {f"{i}.bmp": (h, w, d) for i, h, w, d in rows}
