@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docverify.llm.contraction import MORE_LEADERS, apart, few_pairs, leaders_of, merged, shared_keys
@@ -213,11 +213,11 @@ def _shared_bytes(a: str, b: str):
     return F.lit(WIDE) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, n: total + n)
 
 
-def _index(classes: DataFrame) -> DataFrame:
-    """(band, key, node, least) of classes (node, fp): entries whose key holds at least two nodes."""
+def _keys(fp) -> Column:
+    """The key of each band: its SHARED positional bytes."""
 
     def byte(position: int):
-        return F.shiftright(F.col("fp")[position // 8], 8 * (position % 8)).bitwiseAND(F.lit(0xFF).cast("long"))
+        return F.shiftright(fp[position // 8], 8 * (position % 8)).bitwiseAND(F.lit(0xFF).cast("long"))
 
     keys = []
     for band in range(BANDS):
@@ -225,8 +225,13 @@ def _index(classes: DataFrame) -> DataFrame:
         for position in range(band * SHARED, (band + 1) * SHARED):
             key = F.shiftleft(key, 8).bitwiseOR(byte(position))
         keys.append(key)
-    entries = written(classes.select("node", F.posexplode(F.array(*keys)).alias("band", "key")), "near-entries")
-    return shared_keys(entries, "near-index")
+    return F.array(*keys)
+
+
+def _index(classes: DataFrame) -> DataFrame:
+    """(band, key, node, least) of classes (node, fp): entries whose key holds at least two nodes."""
+    entries = classes.select("node", F.posexplode(_keys(F.col("fp"))).alias("band", "key"))
+    return shared_keys(written(entries, "near-entries"), "near-index")
 
 
 def _tallied(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -247,7 +252,7 @@ def _verified(tallied: DataFrame, hashes: DataFrame, similarity: float) -> DataF
 
 
 def _crowd(many: DataFrame, classes: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(node, fp, shingles, own) of the nodes of full keys; own: how many of its shingles no other of these nodes has."""
+    """(node, fp, keys, shingles, own) of the nodes of full keys; own: how many of its shingles no other of these nodes has."""
     nodes = many.select("node").distinct()
     alone = (
         hashes.join(nodes, "node", "left_semi")
@@ -259,7 +264,7 @@ def _crowd(many: DataFrame, classes: DataFrame, hashes: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("own"))
     )
     known = classes.select("node", "fp", "shingles").join(nodes, "node", "left_semi").join(alone, "node", "left")
-    return written(known.withColumn("own", F.coalesce("own", F.lit(0))), "near-crowd")
+    return written(known.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("keys", _keys(F.col("fp"))), "near-crowd")
 
 
 def _led(many: DataFrame, crowd: DataFrame, leaders: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -268,6 +273,7 @@ def _led(many: DataFrame, crowd: DataFrame, leaders: int, similarity: float) ->
     A key has `leaders` parts and in each a leader, the node with most links.
     Two nodes share no more shingles than either has beyond its own; pairs
     that can't be similar then, and those below the tally, don't leave the join.
+    Nor does a pair under other keys than the first that its nodes share.
     """
     most = lambda n, own: n - own
     needs = lambda n, m: F.lit(similarity / (1 + similarity) - 1e-12) * (n + m)
@@ -277,17 +283,18 @@ def _led(many: DataFrame, crowd: DataFrame, leaders: int, similarity: float) ->
     n, own = F.col("shingles"), F.col("own")
     partner = F.greatest(F.col("smallest"), F.ceil(F.lit(similarity - 1e-12) * n))
     full = full.join(smallest, ["band", "key"]).where(most(n, own) >= needs(n, partner))
-    full = written(full.select("band", "key", "node", "root", "degree", "fp", "shingles", "own"), "near-full")
+    full = written(full.select("band", "key", "node", "root", "degree", "fp", "keys", "shingles", "own"), "near-full")
     chosen = leaders_of(full, leaders)
     led = full.join(chosen, ["band", "key", "node"]).select(
-        "band", "key", F.col("node").alias("leader"), F.col("root").alias("led_by"), F.col("fp").alias("print"),
-        F.col("shingles").alias("count"), F.col("own").alias("alone"),
+        F.col("band").alias("led_band"), F.col("key").alias("led_key"), F.col("node").alias("leader"), F.col("root").alias("led_by"), F.col("fp").alias("print"),
+        F.col("shingles").alias("count"), F.col("own").alias("alone"), F.col("keys").alias("theirs"),
     )
+    first = F.array_position(F.zip_with("keys", "theirs", lambda x, y: x == y), True) == F.col("band") + 1
     overlap = F.least(most(n, own), most(F.col("count"), F.col("alone")))
     met = full.join(
         led,
-        (full["band"] == led["band"]) & (full["key"] == led["key"]) & (F.col("root") != F.col("led_by"))
-        & (overlap >= needs(n, F.col("count"))) & (_shared_bytes("fp", "print") >= LEAST_SHARED),
+        (F.col("band") == F.col("led_band")) & (F.col("key") == F.col("led_key")) & (F.col("root") != F.col("led_by"))
+        & (overlap >= needs(n, F.col("count"))) & first & (_shared_bytes("fp", "print") >= LEAST_SHARED),
     )
     pairs = met.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     return pairs, full.select("band", "key", "node").join(chosen, ["band", "key", "node"], "left_anti")

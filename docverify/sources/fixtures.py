@@ -5,13 +5,32 @@ The base text is evaluated alike by Spark and by the SQL that checks it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docverify.functions import checks, mrz
+from docverify.plans.storage import written
 
 AS_OF = "2024-01-31"
 
+#: Where a dict, derived tables are written to the shared folder once a session and read from there: for timing what is done with them.
+STORE: dict | None = None
+
+
+def derived(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if STORE is None:
+            return f(spark, sf_dir)
+        if (f.__name__, sf_dir) not in STORE:
+            STORE[f.__name__, sf_dir] = written(f(spark, sf_dir), f"derived-{f.__name__}")
+        return STORE[f.__name__, sf_dir]
+
+    return table
+
 #: Documents with what their applicant's truth is; planted faults go by doc_id.
 BASE_SQL = """
 WITH applicant AS (
@@ -61,6 +80,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@derived
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: what it shows, and its applicant's truth."""
     base = spark.sql(BASE_SQL, orders=_read(spark, sf_dir, "orders"), customer=_read(spark, sf_dir, "customer"))
@@ -79,6 +99,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@derived
 def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, raw_text, base_confidence): the cases as text."""
     c = cases(spark, sf_dir)
@@ -109,6 +130,7 @@ def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", text.alias("raw_text"), base.alias("base_confidence"))
 
 
+@derived
 def qr_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clean_id, payload): XML, or JSON for every seventh applicant; none for every fifth."""
     base = _truth(spark, sf_dir)
@@ -119,6 +141,7 @@ def qr_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(F.col("uid").alias("clean_id"), F.when(F.col("a") % 7 == 0, json).otherwise(xml).alias("payload"))
 
 
+@derived
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(clean_id, reg_name, reg_dob): one row a number, of the applicant with the smallest key."""
     base = _truth(spark, sf_dir)
@@ -138,6 +161,7 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@derived
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, case_id, signal_code, verdict) of reviewers, from events."""
     most = _read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 1
@@ -166,6 +190,7 @@ PIXEL_SQL = """
 """
 
 
+@derived
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, height, width, data): a picture of each supplier, by the formula of PIXEL_SQL."""
     import numpy as np
@@ -196,6 +221,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.mapInArrow(drawn, "image_id long, height int, width int, data binary")
 
 
+@derived
 def portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, embedding): the given vectors, and of every tenth a copy that differs a little, under an id of its own."""
     given = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
