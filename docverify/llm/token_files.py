@@ -26,6 +26,7 @@ from itertools import chain, islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -50,6 +51,8 @@ FILE_BLOCKS = 16
 END_ID = 0
 #: Pre-tokens whose ids a worker remembers: the first ones, which common ones are among.
 MEMO = 1_200_000
+#: Bytes of ids of whole texts that a worker remembers, the last ones: copies of a text come out of it.
+TEXT_MEMO = 24 << 20
 #: Characters tokenized at a time.
 SLICE_CHARS = 1_000_000
 
@@ -193,12 +196,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level tokenizers write each byte: itself where it shows, else the next from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Ids:
     """Ids of texts by a tokenizer file whose pre-tokenizer is byte-level, as whole texts would give.
 
     Texts are split by the pattern and their pre-tokens numbered, so that each
-    distinct one goes through the tokenizer about once a worker; a text with
-    the string of a special token is encoded whole.
+    distinct one goes through the tokenizer's model about once a worker; a text
+    with the string of a special token is encoded whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
@@ -209,12 +222,28 @@ class Ids:
         self.numbers, self.memo = Numbers(), memo
         # ids of all numbered pre-tokens one after another, and where each one's end
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        # ids of the last whole texts, by their checksum
+        self.texts: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of single pre-tokens, by the tokenizer's model."""
+        model = self.tokenizer.model.tokenize
+        return [[t.id for t in model(w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        keys = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.texts}
+        known = {k: self.texts[k] for k in keys if k in self.texts} | dict(zip(new, self._of(list(new.values())), strict=True))
+        for k in new:
+            self.texts[k] = known[k]
+            self.held += len(known[k])
+        while self.held > TEXT_MEMO:
+            self.held -= len(self.texts.pop(next(iter(self.texts))))
+        return [known[k] for k in keys]
+
+    def _of(self, texts: list[str]) -> list[bytes]:
         pieces = [self.split(t) for t in texts]
         before = len(self.numbers)
         many = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -222,7 +251,7 @@ class Ids:
         fresh = list(islice(self.numbers, before, None))
         flat, ends = self.flat, self.ends
         if fresh:
-            found = self._encoded(fresh)
+            found = self._words(fresh)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             new = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
             flat, ends = np.concatenate([flat, new]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
@@ -236,7 +265,7 @@ class Ids:
         if self.special:
             for i, t in enumerate(texts):
                 if self.special.search(t):
-                    out[i] = np.array(self._encoded([t])[0], "<u4").tobytes()
+                    out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
