@@ -112,12 +112,11 @@ def birth_date(text: Column, as_of: Column) -> Column:
     Years before 100 are taken as written, so they fail as older than 120.
     """
     raw = F.trim(text)
-    dmy, ymd = raw.rlike(_DMY), raw.rlike(_YMD)
+    pieces = F.split(raw, r"[/\-.]")
 
-    def part(a: int, b: int) -> Column:
-        return (
-            F.when(dmy, F.regexp_extract(raw, _DMY, a)).when(ymd, F.regexp_extract(raw, _YMD, b)).try_cast("int")
-        )
+    def numbers(p: Column) -> Column:
+        day, month, year = (F.get(p, i).try_cast("int") for i in range(3))
+        return F.struct(day.alias("day"), month.alias("month"), year.alias("year"))
 
     def judged(d: Column) -> Column:
         day, month, year = d["day"], d["month"], d["year"]
@@ -145,7 +144,8 @@ def birth_date(text: Column, as_of: Column) -> Column:
             ),
         )
 
-    return let(F.struct(part(1, 3).alias("day"), part(2, 2).alias("month"), part(3, 1).alias("year")), judged)
+    ordered = F.when(raw.rlike(_DMY), pieces).when(raw.rlike(_YMD), F.reverse(pieces))
+    return let(let(ordered, numbers), judged)
 
 
 def mask(number: Column) -> Column:

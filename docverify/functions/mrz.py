@@ -12,19 +12,18 @@ from docverify.functions.checks import empty
 def check_digit(text: Column) -> Column:
     """V6: the 7-3-1 check digit as a string; other characters than digits and letters count as 0; null gives null."""
     weights = F.lit([7, 3, 1])
+    # only the last digit of a letter's value (A 10 to Z 35) counts
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    digits = F.translate(text, letters + letters.lower(), 2 * "".join(str((10 + i) % 10) for i in range(26)))
 
     def total(t: Column) -> Column:
         def step(sum_: Column, i: Column) -> Column:
-            value = let(
-                F.ascii(F.upper(F.substring(t, i + 1, F.lit(1)))),
-                lambda code: F.when(code.between(48, 57), code - 48).when(code.between(65, 90), code - 55).otherwise(0),
-            )
-            return sum_ + value * F.get(weights, i % 3)
+            return sum_ + F.coalesce(F.substring(t, i + 1, F.lit(1)).try_cast("int"), F.lit(0)) * F.get(weights, i % 3)
 
         places = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).when(F.length(t) == 0, F.array().cast("array<int>"))
         return (F.aggregate(places, F.lit(0), step) % 10).cast("string")
 
-    return let(text, total)
+    return let(digits, total)
 
 
 def checked(field: Column, digit: Column) -> Column:

@@ -11,7 +11,7 @@ from docverify.functions.bind import let
 
 def lines(text: Column) -> Column:
     """The trimmed, non-empty lines."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n")
+    parts = F.split(F.translate(F.coalesce(text, F.lit("")), "\r", ""), "\n")
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -43,21 +43,30 @@ def mrz_lines(text: Column) -> Column:
 
 def id_number(text: Column) -> Column:
     """E4 and the rest of E2: struct(doc_type, id_number, is_masked)."""
-    by_words = F.when(_found(text, L.MRZ_FIRST).isNotNull(), "PASSPORT").otherwise(keyword_type(text))
-    passport = F.when(by_words == "PASSPORT", _found(text, L.PASSPORT_NO))
-    masked, plain, pan = (_found(text, p) for p in (L.MASKED_NO, L.AADHAAR_NO, L.PAN_NO))
-    digits = F.regexp_replace(plain, r"\s", "")
-    spaced = F.concat(F.substring(digits, 1, 4), F.lit(" "), F.substring(digits, 5, 4), F.lit(" "), F.substring(digits, 9, 4))
-    kind = (
-        F.when(passport.isNotNull(), by_words)
-        .when(masked.isNotNull() | plain.isNotNull(), "AADHAAR")
-        .when(pan.isNotNull(), "PAN")
-        .otherwise(by_words)
-    )
-    number = F.coalesce(passport, F.concat(F.lit("XXXX XXXX "), masked), spaced, pan, F.lit(""))
-    return F.struct(
-        kind.alias("doc_type"), number.alias("id_number"), (passport.isNull() & masked.isNotNull()).alias("is_masked")
-    )
+    by_words = F.when(text.rlike(L.MRZ_FIRST), "PASSPORT").otherwise(keyword_type(text))
+
+    def first(kind: Column) -> Column:
+        found = {
+            "passport": F.when(kind == "PASSPORT", _found(text, L.PASSPORT_NO)), "masked": _found(text, L.MASKED_NO),
+            "digits": F.regexp_replace(_found(text, L.AADHAAR_NO), r"\s", ""), "pan": _found(text, L.PAN_NO),
+        }
+        return let(F.struct(kind.alias("kind"), *[c.alias(n) for n, c in found.items()]), shown)
+
+    def shown(f: Column) -> Column:
+        passport, masked, digits, pan = f["passport"], f["masked"], f["digits"], f["pan"]
+        spaced = F.concat(F.substring(digits, 1, 4), F.lit(" "), F.substring(digits, 5, 4), F.lit(" "), F.substring(digits, 9, 4))
+        kind = (
+            F.when(passport.isNotNull(), f["kind"])
+            .when(masked.isNotNull() | digits.isNotNull(), "AADHAAR")
+            .when(pan.isNotNull(), "PAN")
+            .otherwise(f["kind"])
+        )
+        number = F.coalesce(passport, F.concat(F.lit("XXXX XXXX "), masked), spaced, pan, F.lit(""))
+        return F.struct(
+            kind.alias("doc_type"), number.alias("id_number"), (passport.isNull() & masked.isNotNull()).alias("is_masked")
+        )
+
+    return let(by_words, first)
 
 
 def _slashed(c: Column) -> Column:
@@ -85,30 +94,33 @@ def gender(text: Column) -> Column:
 
 
 def plausible_name(line: Column) -> Column:
-    """E8."""
+    """E8. What costs least is tested first."""
+
+    def sized(clean: Column) -> Column:
+        return F.when(F.length(clean).between(5, 35), let(F.filter(F.split(clean, " "), lambda w: F.length(w) > 1), worded)).otherwise(False)
+
+    def worded(words: Column) -> Column:
+        return (
+            F.size(words).between(2, 4)
+            & F.forall(words, lambda w: w.rlike("(?i)[aeiou]"))
+            & ~F.arrays_overlap(F.transform(words, F.upper), F.lit(L.STOP_WORDS))
+        )
+
     clean = F.trim(F.regexp_replace(F.regexp_replace(line, r"[^A-Za-z\s]", " "), r"\s+", " "))
-    words = F.filter(F.split(clean, " "), lambda w: F.length(w) > 1)
-    return F.coalesce(
-        F.size(words).between(2, 4)
-        & ~F.arrays_overlap(F.transform(words, F.upper), F.lit(L.STOP_WORDS))
-        & F.length(clean).between(5, 35)
-        & F.forall(words, lambda w: w.rlike("(?i)[aeiou]")),
-        F.lit(False),
-    )
+    return F.coalesce(let(clean, sized), F.lit(False))
 
 
 def name(text: Column) -> Column:
-    """The first plausible line within two of an anchor word, else the first plausible line."""
+    """The first plausible line within two of an anchor word, else the first plausible line. A line is tested once."""
 
     def best(own: Column) -> Column:
-        near = F.transform(
-            own,
-            lambda x, i: F.when(
-                x.rlike(L.NAME_ANCHOR), F.array(F.get(own, i - 2), F.get(own, i - 1), F.get(own, i + 1), F.get(own, i + 2))
-            ).otherwise(F.array().cast("array<string>")),
-        )
-        named = F.filter(F.concat(F.flatten(near), own), lambda x: plausible_name(x))
-        return F.coalesce(F.get(named, 0), F.lit(""))
+        return let(F.transform(own, lambda x: F.when(plausible_name(x), x)), lambda names: nearest(own, names))
+
+    def nearest(own: Column, names: Column) -> Column:
+        around = lambda i: F.array(*[F.get(names, i + k) for k in (-2, -1, 1, 2)])
+        near = F.transform(own, lambda x, i: F.when(x.rlike(L.NAME_ANCHOR), around(i)).otherwise(F.array().cast("array<string>")))
+        anchored = F.when(F.exists(names, lambda n: n.isNotNull()), F.array_compact(F.concat(F.flatten(near), names)))
+        return F.coalesce(F.get(anchored, 0), F.lit(""))
 
     return let(lines(text), best)
 

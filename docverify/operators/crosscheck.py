@@ -37,17 +37,13 @@ def attach_qr(df: DataFrame, payloads: DataFrame, number: str = "id_number") ->
 
 
 def parse_payload(payload: Column) -> Column:
-    """struct(uid, name, dob, gender) of an XML payload's attributes, or of a JSON one's fields."""
+    """struct(uid, name, dob, gender) of an XML payload's attributes, or of a JSON one's fields; null fields where it is neither."""
     names = ("uid", "name", "dob", "gender")
-    as_json = F.from_json(payload, "uid string, name string, dob string, gender string")
     is_json = F.startswith(F.ltrim(payload), F.lit("{"))
-    each = [
-        F.when(is_json, as_json[n]).otherwise(
-            F.nullif(F.xpath_string(F.when(~is_json, payload), F.lit(f"/*/@{n}")), F.lit(""))
-        ).alias(n)
-        for n in names
-    ]
-    return let(F.when(payload.isNotNull(), F.struct(*each)), lambda q: q)
+    as_json = F.from_json(payload, ", ".join(f"{n} string" for n in names))
+    as_xml = F.from_xml(payload, ", ".join(f"_{n} string" for n in names), {"ignoreNamespace": "true"})
+    of_xml = let(as_xml, lambda x: F.struct(*[F.nullif(x[f"_{n}"], F.lit("")).alias(n) for n in names]))
+    return F.when(payload.isNotNull(), F.when(is_json, as_json).otherwise(of_xml))
 
 
 def _share_word(a: Column, b: Column) -> Column:

@@ -11,10 +11,12 @@ from docverify.functions.bind import let
 
 def extract(df: DataFrame, text_col: str = "raw_text", base: Column | None = None) -> DataFrame:
     """Df with a struct `fields` (doc_type, id_number, is_masked, name, dob, expiry, gender, mrz, confidence, is_detected)."""
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r", "")
-    found = F.struct(T.id_number(text).alias("id"), T.name(text).alias("name"), T.dob(text).alias("dob"))
 
-    def fields(f: Column) -> Column:
+    def read(text: Column) -> Column:
+        found = F.struct(T.id_number(text).alias("id"), T.name(text).alias("name"), T.dob(text).alias("dob"))
+        return let(found, lambda f: fields(text, f))
+
+    def fields(text: Column, f: Column) -> Column:
         number, name, dob = f["id"]["id_number"], f["name"], f["dob"]
         return F.struct(
             f["id"]["doc_type"].alias("doc_type"), number.alias("id_number"), f["id"]["is_masked"].alias("is_masked"),
@@ -24,4 +26,4 @@ def extract(df: DataFrame, text_col: str = "raw_text", base: Column | None = Non
             ((number != "") | (dob != "") | (name != "")).alias("is_detected"),
         )
 
-    return df.withColumn("fields", let(found, fields))
+    return df.withColumn("fields", let(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\r", ""), read))
