@@ -111,6 +111,33 @@ def test_language(spark, empty):
     assert language.languages(empty).count() == 0
 
 
+def test_language_against_plain_compression(spark):
+    """Every prediction again from the dictionaries, one text and one piece at a time."""
+    r = random.Random(2)
+    parts = {"aa": ["thing", "over", "with"], "bb": ["être", "voilà", "où"], "cc": ["über", "nicht", "auch"]}
+    rows = [(i, " ".join(r.choice(parts[k]) for _ in range(r.randint(1, 60))), k) for i in range(240) for k in [("aa", "bb", "cc")[i % 3]]]
+    # a language seen in long texts only, marks without a letter, a very long text, a tie, repeated rows
+    rows += [(300 + i, " ".join(r.choice(["ngoma", "kila", "pole"]) for _ in range(3000)), "dd") for i in range(12)]
+    rows += [(400, "\u0301\u0302", "aa"), (401, "over " * 60_000, None), (402, "q", None), (403, "q", None), (7, rows[7][1], rows[7][2])]
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, lang_pred string")
+    contents = language.dictionaries(docs)
+    assert set(contents) == {"aa", "bb", "cc", "dd"}
+    packers = {}
+    for k, content in contents.items():
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers[k] = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=raw, write_content_size=False)
+    got = order((g["doc_id"], g["lang_pred"]) for g in language.languages(docs).collect())
+    want = []
+    for i, t, _ in rows:
+        kept = "".join(c if c.isalpha() or c in "\u0301\u0302" else " " for c in t)
+        data = " ".join(kept.split()).lower().encode() if any(c.isalpha() for c in t) else b""
+        sizes = {k: sum(len(p.compress(data[a : a + language.PIECE])) for a in range(0, len(data), language.PIECE)) for k, p in packers.items()}
+        best = min(sizes, key=lambda k: (sizes[k], list(contents).index(k)))
+        want.append((i, best if data else "und"))
+    assert got == order(want)
+    assert dict(got)[300] == "dd"
+
+
 # --- 3
 
 
@@ -471,6 +498,35 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(docs, table.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Few toxic rows, near copies with different labels, clashing columns, repeats, a very long text."""
+    r = random.Random(5)
+    plain = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows = [(i, " ".join(r.choice(plain) for _ in range(30)) + (" vileness nasty" if i % 9 == 0 else "")) for i in range(90)]
+    rows += [(200, rows[0][1]), (201, rows[1][1]), (9, rows[9][1]), (300, "worda " * 40_000), (301, "vileness nasty " * 20_000)]
+    docs = spark.createDataFrame([(i, t, 1, 0.5, 7) for i, t in rows], "doc_id long, text string, toxic int, label double, weight int")
+    labels = [(i, 1, int(i % 9 == 0)) for i in range(90)] + [(200, 1, 0), (201, 1, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, again = toxicity.fit(docs, table), toxicity.fit(docs.repartition(5), table.repartition(3))
+    assert model.entries == again.entries and model.bias == again.bias and (model.weights == again.weights).all()
+    got = toxicity.toxicity(docs, table).collect()
+    assert len(got) == len(rows)
+    # the score again, from the definition: patterns and entries that a text has, one by one
+    by_id = {}
+    for i, t in rows:
+        found = {e: model.weights[n] for e, n in model.entries.items() if e in toxicity.features_of(t)}
+        z = model.bias + sum(found.values()) + sum(
+            model.weights[len(model.entries) + k] for k, p in enumerate(toxicity.PATTERNS.values()) if p.search(t)
+        )
+        z += model.weights[-1] * np.log1p(len(found)) if found else 0
+        by_id[i] = 1 / (1 + np.exp(-z))
+    assert all(abs(g["score"] - by_id[g["doc_id"]]) < 1e-9 for g in got)
+    # with few toxic rows the scores still tell them apart
+    held = [(by_id[i], i % 9 == 0) for i in range(90) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert min(z for z, bad in held if bad) > max(z for z, bad in held if not bad)
+    assert by_id[301] > max(z for z, bad in held if not bad)
+
+
 def test_label_model_finds_accuracy_and_copies():
     r = np.random.default_rng(0)
     y = r.random(6000) < 0.2
