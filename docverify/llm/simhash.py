@@ -96,7 +96,9 @@ def _mask(positions) -> int:
 def similar_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b), a < b, for all pairs of distinct fingerprints that differ in at most MAX_BITS bits."""
     sets = list(combinations(range(POSITIONS), SHARED))
-    entries = distinct.select(
+    # dealt out before rows become 56 times as many: their size says too little to Spark
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), fp)
+    entries = spread.select(
         F.col(fp).alias("fp"),
         F.posexplode(F.array(*[F.col(fp).bitwiseAND(F.lit(_mask(s))) for s in sets])).alias("set", "key"),
     )
