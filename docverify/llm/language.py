@@ -23,6 +23,8 @@ SAMPLE_TEXTS = 400
 SAMPLE_CHARS = 4_000
 #: Bytes of all dictionaries together: with many languages each gets an equal, smaller share.
 ALL_BYTES = 19 << 20
+#: Languages whose counts may be broadcast.
+FEW_LANGUAGES = 50_000
 #: Bytes compressed at a time: a text's own beginning shouldn't stand in for the dictionary.
 PIECE = 1 << 11
 LEVEL = 7
@@ -55,6 +57,8 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.groupBy("lang").count()
     order = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    # a row a language: broadcast where they are few enough, so that texts stay where they are until they are drawn
+    counts = F.broadcast(counts) if len(order) <= FEW_LANGUAGES else counts
     most = max(1 << 10, min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(order))))
     share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_TEXTS) / F.col("count"))
     hashed = F.xxhash64("text")
