@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,26 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
+    @cached_property
+    def by_length(self) -> dict[int, set[str]]:
+        """The entries by the length of their beginning; whole words under 0."""
+        found = {n: {e[:-1] for e in self.entries if len(e) == n + 1 and e.endswith("*")} for n in STEMS}
+        return {n: own for n, own in found.items() if own} | {0: {e for e in self.entries if not e.endswith("*")}}
+
+    def hits(self, text: str) -> set[str]:
+        """The entries that a text has: features_of(text) & entries, without making all its features."""
+        words = set(_WORD.findall(text.lower()))
+        found = set()
+        for n, own in self.by_length.items():
+            if n:
+                found.update(s + "*" for s in own.intersection([w[:n] for w in words if len(w) >= n]))
+            else:
+                found |= words & own
+        return found
+
     def vector(self, text: str) -> dict[int, float]:
         """Sparse features: entries present, patterns, and how many entries there are."""
-        hits = features_of(text) & self.entries.keys()
+        hits = self.hits(text)
         base = len(self.entries)
         x = {self.entries[h]: 1.0 for h in hits}
         for i, pattern in enumerate(PATTERNS.values()):
@@ -97,7 +115,7 @@ class ToxicityModel:
 def votes(model: ToxicityModel, text: str) -> np.ndarray:
     """One 0/1 vote of each lexicon group and pattern."""
     out = np.zeros(GROUPS + len(PATTERNS), np.uint8)
-    for h in features_of(text) & model.entries.keys():
+    for h in model.hits(text):
         out[model.entries[h] % GROUPS] = 1
     for i, pattern in enumerate(PATTERNS.values()):
         out[GROUPS + i] = pattern.search(text) is not None
