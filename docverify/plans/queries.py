@@ -613,9 +613,10 @@ def i2_quality(spark, sf_dir):
     return m.select("image_id", images.quality_verdict(*[C(c) for c in ("width", "height", "lap_variance", "illumination")]).alias("q")).select("image_id", "q.*")
 
 
-@query(O.chain(O.PIXELS, O.ERRORS) + "SELECT image_id, round(avg(v), 4) AS mean_error, round(max(v), 4) AS max_error FROM errors GROUP BY image_id")
+@query(O.chain(O.PIXELS, O.ERRORS) + "SELECT image_id, CAST(round(sum(v * 3)) AS BIGINT) AS total_error, round(max(v), 4) AS max_error FROM errors GROUP BY image_id")
 def i3_error_level(spark, sf_dir):
-    return _measured(spark, sf_dir).select("image_id", F.round("ela_mean", 4).alias("mean_error"), F.round("ela_max", 4).alias("max_error"))
+    total = F.round(C("ela_mean") * 3 * C("width") * C("height")).cast("long")  # of three colours: a whole number
+    return _measured(spark, sf_dir).select("image_id", total.alias("total_error"), F.round("ela_max", 4).alias("max_error"))
 
 
 @query(_TILED + "SELECT image_id, tx, ty, round(mean, 6) AS mean FROM tl")
