@@ -42,8 +42,8 @@ TABLE = "table.bin"
 HEAD = struct.Struct("<qqqIIII")  # part, block, start; ids, documents, checksums of states with stream and of ids
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 2048
-CHECKPOINT = 64
+LANES = 4096
+CHECKPOINT = 32
 #: Ids in a block, except that a document isn't divided.
 BLOCK_IDS = 1 << 18
 #: Consecutive blocks in a file at most.
@@ -290,7 +290,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks in ascending order of ids (null first): part, block, inner (ids before it in its part), doc_ids, sizes, ids, n, seen.
+    """Blocks in ascending order of ids (null first): part, block, inner (ids before it in its part), doc_ids, sizes, ids (unsigned, of two bytes where they fit), n, seen.
 
     A part's last row has no ids but in `seen` how often it has each id of the vocabulary.
     """
@@ -309,11 +309,12 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
 
         def closed() -> pa.RecordBatch:
             nonlocal seen
-            ids = b"".join(parts)
-            own = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(seen))
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            own = np.bincount(ids, minlength=len(seen))
             own[: len(seen)] += seen
             seen = own
-            return row(number, inner, doc_ids, sizes, ids, n, None)
+            narrow = ids.astype("<u2") if len(own) <= 1 << 16 else ids
+            return row(number, inner, doc_ids, sizes, narrow.tobytes(), n, None)
 
         end = np.array([END_ID], "<u4").tobytes()
         for own, texts in _slices(batches):
@@ -382,7 +383,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         for run in _runs(batches):
             body, name = [MAGIC, struct.pack("<I", crc)], f"ids-{run[0]['part']:08d}-{run[0]['block']:08d}.rans"
             for r in run:
-                ids, sizes = np.frombuffer(r["ids"], "<u4"), np.array(r["sizes"], np.uint32)
+                ids, sizes = np.frombuffer(r["ids"], f"<u{len(r['ids']) // r['n']}"), np.array(r["sizes"], np.uint32)
                 body += block_bytes(r["part"], r["block"], r["base"] + r["inner"], r["doc_ids"], sizes, ids, freq, starts)
             size, n = write_once(folder, name, body), sum(r["n"] for r in run)
             first = {"file": name, "part": run[0]["part"], "block": run[0]["block"], "start": run[0]["base"] + run[0]["inner"]}
