@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docverify.llm import bpe, exact_dedup, image_copies, language, lm_score, mixing, simhash, token_files, toxicity, warc
+from docverify.llm import bpe, decontaminate, exact_dedup, image_copies, language, lm_score, mixing, simhash, token_files, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_language": op2_language,
@@ -68,6 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
+    "op11_decontaminate": op11_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE,
+}
