@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docverify.llm import bpe, decontaminate, exact_dedup, image_copies, language, lm_score, mixing, simhash, token_files, toxicity, warc
+from docverify.llm import bpe, decontaminate, exact_dedup, image_copies, language, lm_score, mixing, prefix_trie, simhash, token_files, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, turns = F.col("conv_id"), spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.prefix_trie(turns, prefix_trie.rule_base(conv), prefix_trie.rule_head(conv)).drop("turn_conv", "turn_place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_language": op2_language,
@@ -73,10 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
     "op11_decontaminate": op11_decontaminate,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_warc": warc.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
