@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docverify.llm import bpe, decontaminate, exact_dedup, image_copies, language, lm_score, mixing, prefix_trie, simhash, token_files, toxicity, warc
+from docverify.llm import bpe, decontaminate, exact_dedup, image_copies, language, lm_score, mixing, prefix_trie, simhash, spelling, token_files, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, prefix_trie.rule_base(conv), prefix_trie.rule_head(conv)).drop("turn_conv", "turn_place")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_language": op2_language,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_decontaminate": op11_decontaminate,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
