@@ -242,7 +242,7 @@ def _joined_hits(texts: DataFrame, windows: DataFrame, bits: int) -> DataFrame:
     spark = texts.sparkSession
     place = F.shiftrightunsigned("hash", 64 - bits)
     packed = windows.groupBy("m", F.shiftright(place, 6).alias("cell")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("mask")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("mask")
     )
     maps: dict[int, np.ndarray] = {}
     for m, cell, mask in packed.toLocalIterator():  # at most 2^(bits - 6) rows for each of the n lengths
