@@ -19,7 +19,7 @@ def _fold(digits: Column, count: int, shift: int) -> Column:
 
     def over(back: Column) -> Column:
         def step(c: Column, i: Column) -> Column:
-            digit = F.substring(back, i + 1, F.lit(1)).try_cast("int")
+            digit = F.ascii(F.substring(back, i + 1, F.lit(1))) - 48
             return F.get(d, c * 10 + F.get(p, F.pmod(i + shift, F.lit(8)) * 10 + digit))
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.lit(0), step)

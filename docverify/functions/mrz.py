@@ -9,21 +9,23 @@ from docverify.functions.bind import let
 from docverify.functions.checks import empty
 
 
+#: Values by ASCII code: digits as they are, A 10 to Z 35 in either case, all else 0.
+_VALUES = [c - 48 if 48 <= c <= 57 else (c | 32) - 87 if 97 <= c | 32 <= 122 and c >= 65 else 0 for c in range(128)]
+
+
 def check_digit(text: Column) -> Column:
     """V6: the 7-3-1 check digit as a string; other characters than digits and letters count as 0; null gives null."""
-    weights = F.lit([7, 3, 1])
-    # only the last digit of a letter's value (A 10 to Z 35) counts
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    digits = F.translate(text, letters + letters.lower(), 2 * "".join(str((10 + i) % 10) for i in range(26)))
+    weights, values = F.lit([7, 3, 1]), F.lit(_VALUES)
 
     def total(t: Column) -> Column:
         def step(sum_: Column, i: Column) -> Column:
-            return sum_ + F.coalesce(F.substring(t, i + 1, F.lit(1)).try_cast("int"), F.lit(0)) * F.get(weights, i % 3)
+            value = F.get(values, F.ascii(F.substring(t, i + 1, F.lit(1))))
+            return sum_ + F.coalesce(value, F.lit(0)) * F.get(weights, i % 3)
 
         places = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1)).when(F.length(t) == 0, F.array().cast("array<int>"))
         return (F.aggregate(places, F.lit(0), step) % 10).cast("string")
 
-    return let(digits, total)
+    return let(text, total)
 
 
 def checked(field: Column, digit: Column) -> Column:

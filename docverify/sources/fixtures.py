@@ -26,7 +26,8 @@ def derived(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
         if STORE is None:
             return f(spark, sf_dir)
         if (f.__name__, sf_dir) not in STORE:
-            STORE[f.__name__, sf_dir] = written(f(spark, sf_dir), f"derived-{f.__name__}")
+            files = max(16, 2 * spark.sparkContext.defaultParallelism)
+            STORE[f.__name__, sf_dir] = written(f(spark, sf_dir).repartition(files), f"derived-{f.__name__}")
         return STORE[f.__name__, sf_dir]
 
     return table
