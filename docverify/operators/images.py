@@ -116,13 +116,33 @@ def jpeg_round_trip(bgr: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.round(back, EXACT)), 0, 255)[:h, :w].astype(np.uint8)
 
 
+def fitted_size(height: int, width: int) -> tuple[int, int]:
+    """Height and width within LONGEST pixels a side."""
+    longest = max(height, width)
+    if longest <= LONGEST:
+        return height, width
+    return tuple(max(1, (2 * n * LONGEST + longest) // (2 * longest)) for n in (height, width))
+
+
+def _places(size: int, fitted_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each new pixel its two old ones, and the second's weight in parts of 2 * fitted_to."""
+    at = np.maximum((2 * np.arange(fitted_to) + 1) * size - fitted_to, 0)
+    low = at // (2 * fitted_to)
+    return low, np.minimum(low + 1, size - 1), at % (2 * fitted_to)
+
+
 def fitted(bgr: np.ndarray) -> np.ndarray:
-    """The image within LONGEST pixels a side, by nearest pixels."""
+    """The image within LONGEST pixels a side: bilinear, between the centres of pixels, in whole numbers, halves up."""
     h, w = bgr.shape[:2]
-    if max(h, w) <= LONGEST:
+    nh, nw = fitted_size(h, w)
+    if (nh, nw) == (h, w):
         return bgr
-    nh, nw = max(1, round(h * LONGEST / max(h, w))), max(1, round(w * LONGEST / max(h, w)))
-    return bgr[np.arange(nh) * h // nh][:, np.arange(nw) * w // nw]
+    (y0, y1, fy), (x0, x1, fx) = _places(h, nh), _places(w, nw)
+    fy, fx = fy[:, None, None], fx[None, :, None]
+    pixels = bgr.astype(np.int64)
+    rows = pixels[y0] * (2 * nh - fy) + pixels[y1] * fy
+    total = rows[:, x0] * (2 * nw - fx) + rows[:, x1] * fx
+    return ((total + 2 * nh * nw) // (4 * nh * nw)).astype(np.uint8)
 
 
 def error_level(bgr: np.ndarray) -> np.ndarray:
@@ -137,25 +157,64 @@ def tile_means(values: np.ndarray) -> list[tuple[int, int, float]]:
     return [(x, y, float(means[y, x])) for y in range(ty) for x in range(tx)]
 
 
+def outlier_tiles(tiles: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """I5 on one image's tiles, in their order."""
+    means = np.array([m for *_, m in tiles])
+    if not len(means):
+        return []
+    limit = max(means.mean() + 2.3 * means.std(), 4.5)
+    return [t for t in tiles if t[2] > limit]
+
+
+def grouped_boxes(tiles: list[tuple[int, int, float]], width: int, height: int) -> list[dict]:
+    """I6 on one image's outlier tiles; width and height are those of the image that was tiled.
+
+    In reading order each tile not yet taken takes all others within two tiles
+    of itself (not of those it takes); boxes are padded by six pixels and named
+    by where they begin.
+    """
+    left, found = sorted(tiles, key=lambda t: (t[1], t[0])), []
+    while left:
+        sx, sy, _ = left[0]
+        near = [abs(x - sx) <= 2 and abs(y - sy) <= 2 for x, y, _ in left]
+        own = [t for t, n in zip(left, near, strict=True) if n]
+        left = [t for t, n in zip(left, near, strict=True) if not n]
+        xs, ys = [t[0] for t in own], [t[1] for t in own]
+        x, y = max(0, min(xs) * TILE - 6), max(0, min(ys) * TILE - 6)
+        w = min(width - x, (max(xs) - min(xs) + 1) * TILE + 12)
+        h = min(height - y, (max(ys) - min(ys) + 1) * TILE + 12)
+        if x / width < 0.40 and y / height < 0.70 and h > 40:
+            region = "PORTRAIT"
+        elif 0.40 < y / height < 0.75:
+            region = "DETAILS"
+        else:
+            region = "ID_NUMBER" if y / height >= 0.75 else "TEXT"
+        found.append({"x": x, "y": y, "w": w, "h": h, "max_error": max(t[2] for t in own), "region": region})
+    return found
+
+
 _MEASURED = (
     "image_id long, width int, height int, mean_gray double, lap_variance double, illumination double, noise_ratio double, "
-    "has_qr boolean, qr_confidence double, hist array<int>, ela_mean double, ela_max double, "
-    "tiles array<struct<tx:int,ty:int,mean:double>>"
+    "has_qr boolean, qr_confidence double, hist array<int>, ela_mean double, ela_max double, fit_width int, fit_height int, "
+    "tiles array<struct<tx:int,ty:int,mean:double>>, boxes array<struct<x:int,y:int,w:int,h:int,max_error:double,region:string>>"
 )
 
 
 def measure(images: DataFrame) -> DataFrame:
-    """I1-I4, I7-I9 in one pass over pixels, which go no further.
+    """I1-I4, I6-I9 in one pass over pixels, which go no further.
 
-    Rows whose bytes aren't height x width x 3 (null and empty ones too) give
-    no row: they have no evidence.
+    fit_width and fit_height are the size within LONGEST, which error levels,
+    tiles and boxes refer to. Rows whose bytes aren't height x width x 3 (null
+    and empty ones too) give no row: they have no evidence.
     """
     tile = pa.list_(pa.struct([("tx", pa.int32()), ("ty", pa.int32()), ("mean", pa.float64())]))
+    box = pa.list_(pa.struct([(n, pa.int32()) for n in "xywh"] + [("max_error", pa.float64()), ("region", pa.string())]))
     schema = pa.schema(
         [("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("mean_gray", pa.float64())]
         + [(n, pa.float64()) for n in ("lap_variance", "illumination", "noise_ratio")]
         + [("has_qr", pa.bool_()), ("qr_confidence", pa.float64()), ("hist", pa.list_(pa.int32()))]
-        + [("ela_mean", pa.float64()), ("ela_max", pa.float64()), ("tiles", tile)]
+        + [("ela_mean", pa.float64()), ("ela_max", pa.float64()), ("fit_width", pa.int32()), ("fit_height", pa.int32())]
+        + [("tiles", tile), ("boxes", box)]
     )
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +226,12 @@ def measure(images: DataFrame) -> DataFrame:
                 bgr = np.frombuffer(data, np.uint8).reshape(h, w, 3)
                 g, error = gray(bgr), error_level(fitted(bgr))
                 there, confidence = qr_presence(g)
-                as_rows = lambda t: [{"tx": x, "ty": y, "mean": m} for x, y, m in t]
+                tiles, (fh, fw) = tile_means(error), error.shape
                 row = {
                     "image_id": image_id, "width": w, "height": h, "mean_gray": float(g.mean()), **quality(g),
                     "noise_ratio": noise_ratio(g), "has_qr": there, "qr_confidence": confidence, "hist": luminance_histogram(g),
-                    "ela_mean": float(error.mean()), "ela_max": float(error.max()), "tiles": as_rows(tile_means(error)),
+                    "ela_mean": float(error.mean()), "ela_max": float(error.max()), "fit_width": fw, "fit_height": fh,
+                    "tiles": [{"tx": x, "ty": y, "mean": m} for x, y, m in tiles], "boxes": grouped_boxes(outlier_tiles(tiles), fw, fh),
                 }
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -249,44 +309,10 @@ def tile_verdicts(outliers: DataFrame) -> DataFrame:
     )
 
 
-def outlier_boxes(outliers: DataFrame) -> DataFrame:
-    """(image_id, box, x, y, w, h, max_error, region) of outlier tiles.
-
-    In reading order each tile not yet taken takes all others within two tiles
-    of itself (not of those it takes); boxes are padded by six pixels. An
-    image's tiles are bounded by its size.
-    """
-    import pandas as pd
-
-    names = ["image_id", "box", "x", "y", "w", "h", "max_error", "region"]
-
-    def boxes(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values(["ty", "tx"]).to_dict("records")
-        found = []
-        while left:
-            seed, others = left[0], left[1:]
-            near = [t for t in others if abs(t["tx"] - seed["tx"]) <= 2 and abs(t["ty"] - seed["ty"]) <= 2]
-            group, left = [seed, *near], [t for t in others if t not in near]
-            x0, y0 = min(t["tx"] for t in group) * TILE, min(t["ty"] for t in group) * TILE
-            x1, y1 = (max(t["tx"] for t in group) + 1) * TILE, (max(t["ty"] for t in group) + 1) * TILE
-            width, height = seed["width"], seed["height"]
-            x, y = max(0, x0 - 6), max(0, y0 - 6)
-            w, h = min(width - x, x1 - x0 + 12), min(height - y, y1 - y0 + 12)
-            rel_x, rel_y = x / width, y / height
-            if rel_x < 0.40 and rel_y < 0.70 and h > 40:
-                region = "PORTRAIT"
-            elif 0.40 < rel_y < 0.75:
-                region = "DETAILS"
-            else:
-                region = "ID_NUMBER" if rel_y >= 0.75 else "TEXT"
-            found.append((seed["image_id"], len(found), x, y, w, h, round(max(t["mean"] for t in group), 2), region))
-        return pd.DataFrame(found, columns=names)
-
-    return (
-        outliers.where("is_outlier")
-        .groupBy("image_id")
-        .applyInPandas(boxes, "image_id long, box int, x int, y int, w int, h int, max_error double, region string")
-    )
+def outlier_boxes(measured: DataFrame) -> DataFrame:
+    """(image_id, box, x, y, w, h, max_error, region): the boxes that measure found, a row each, without a shuffle."""
+    each = measured.select("image_id", F.posexplode("boxes").alias("box", "b")).select("image_id", "box", "b.*")
+    return each.withColumn("max_error", F.round("max_error", 2))
 
 
 def forensic_risk(localized: Column, uniform: Column, mismatch: Column, edge: Column, quality_pass: Column) -> Column:
@@ -308,9 +334,28 @@ def forensic_risk(localized: Column, uniform: Column, mismatch: Column, edge: Co
     )
 
 
+def _region_risk(max_error: Column) -> Column:
+    return F.round(F.least(F.lit(0.95), max_error / 20 + 0.4), 3)
+
+
 def flagged_regions(boxes: DataFrame) -> DataFrame:
     """I10's regions: outlier boxes with the risk of each."""
-    return boxes.withColumn("risk", F.round(F.least(F.lit(0.95), F.col("max_error") / 20 + 0.4), 3))
+    return boxes.withColumn("risk", _region_risk(F.col("max_error")))
+
+
+def regions(boxes: Column, localized: Column) -> Column:
+    """I10's regions in the image's own row: array of struct(region, bbox, risk, reason), empty unless errors are localized."""
+
+    def region(b: Column) -> Column:
+        return let(
+            F.round(b["max_error"], 2),
+            lambda m: F.struct(
+                b["region"].alias("region"), F.array(b["x"], b["y"], b["w"], b["h"]).alias("bbox"), _region_risk(m).alias("risk"),
+                F.concat(F.lit("ELA "), F.format_number(m, 2), F.lit(" in "), b["region"]).alias("reason"),
+            ),
+        )
+
+    return F.when(F.coalesce(localized, F.lit(False)), F.transform(boxes, region)).otherwise(F.filter(F.transform(boxes, region), lambda r: F.lit(False)))
 
 
 def check_layout(df: DataFrame) -> DataFrame:

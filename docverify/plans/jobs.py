@@ -60,7 +60,7 @@ def scan_evidence(measured: DataFrame) -> DataFrame:
     The places of photo and zone are those of the document's frame, as no detector gives others.
     """
     m = measured.select(
-        "image_id", "width", "height", images.tile_summary(F.col("tiles")).alias("t"), images.noise_verdict(F.col("noise_ratio")).alias("n"),
+        "image_id", "width", "height", "boxes", images.tile_summary(F.col("tiles")).alias("t"), images.noise_verdict(F.col("noise_ratio")).alias("n"),
         images.quality_verdict(*[F.col(c) for c in ("width", "height", "lap_variance", "illumination")]).alias("q"),
     )
     return m.select(
@@ -68,6 +68,7 @@ def scan_evidence(measured: DataFrame) -> DataFrame:
         F.col("t.sigma").alias("tile_std"), F.col("n.mismatch").alias("noise"), F.col("n.edge").alias("edge"), F.col("q.quality_pass").alias("quality_pass"),
         F.floor(F.col("width") * 0.05).alias("photo_x"), F.floor(F.col("height") * 0.2).alias("photo_y"), F.floor(F.col("height") * 0.8).alias("mrz_y"),
         images.forensic_risk(F.col("t.localized"), F.col("t.uniform"), F.col("n.mismatch"), F.col("n.edge"), F.col("q.quality_pass")).alias("forensic"),
+        images.regions(F.col("boxes"), F.col("t.localized")).alias("regions"),
     )
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from docverify.functions import lookups as L
-from docverify.sources.fixtures import AS_OF, BASE_SQL, EVIDENCE_SQL, HEIGHT_SQL, LARGEST, PIXEL_SQL, WIDTH_SQL
+from docverify.operators.images import JPEG_CHROMA, JPEG_LUMA
+from docverify.sources.fixtures import AS_OF, BASE_SQL, EVIDENCE_SQL, HEIGHT_SQL, LARGEST, PIXEL_SQL, STRIP, STRIP_SQL, WIDTH_SQL
 
 NOW = f"DATE '{AS_OF}'"
 _D, _P, _INV = (str(v) for v in (L.VERHOEFF_D, L.VERHOEFF_P, L.VERHOEFF_INV))
@@ -261,7 +262,7 @@ scored AS (SELECT *, round(CASE WHEN NOT quality_pass THEN least(points, 65) ELS
 
 
 def chain(*parts: str) -> str:
-    return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
 RECORDS = f"records AS (SELECT doc_id, applicant_id_ AS applicant_id, doc_type, name, id_number, dob, expiry, line1, line2, base_confidence AS ocr_confidence, has_local, uniform, tile_std, noise, edge, quality_pass, width, height, photo_x, photo_y, mrz_y FROM (SELECT *, a AS applicant_id_, {EVIDENCE_SQL} FROM cases))"
@@ -286,16 +287,14 @@ gray AS (SELECT i AS image_id, w, h, y, x, 0.299e0 * r + 0.587e0 * g + 0.114e0 *
 """
 
 #: I3 from the standard's formulas: colours to luma and chroma, cosine transform of 8 x 8 blocks, quantisation at 90, and back.
-_TABLES = {"y": [max(1, (t * 20 + 50) // 100) for t in (
-    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
-    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99)],
-    "c": [max(1, (t * 20 + 50) // 100) for t in (
-    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99, *[99] * 32)]}
+_TABLES = {k: [max(1, (t * 20 + 50) // 100) for t in table] for k, table in (("y", JPEG_LUMA), ("c", JPEG_CHROMA))}
 ERRORS = f"""
 cosines AS (SELECT u, t, cos((2 * t + 1) * u * pi() / 16) / 2 * CASE WHEN u = 0 THEN 1 / sqrt(2e0) ELSE 1 END AS c FROM range(8) tu(u), range(8) tt(t)),
+wide AS (SELECT i, y, x, b, g, r FROM px UNION ALL SELECT i, y, x + d, b, g, r FROM px JOIN sizes USING (i), range(1, 8) t(d) WHERE x = w - 1 AND x + d < (w + 7) // 8 * 8),
+whole AS (SELECT * FROM wide UNION ALL SELECT i, y + d, x, b, g, r FROM wide JOIN sizes USING (i), range(1, 8) t(d) WHERE y = h - 1 AND y + d < (h + 7) // 8 * 8),
 planes AS (SELECT i, k, y // 8 AS brow, x // 8 AS bcol, y % 8 AS yy, x % 8 AS xx,
     CASE k WHEN 0 THEN 0.299e0 * r + 0.587e0 * g + 0.114e0 * b - 128 WHEN 1 THEN -0.168736e0 * r - 0.331264e0 * g + 0.5e0 * b
-      ELSE 0.5e0 * r - 0.418688e0 * g - 0.081312e0 * b END AS v FROM px, range(3) tk(k)),
+      ELSE 0.5e0 * r - 0.418688e0 * g - 0.081312e0 * b END AS v FROM whole, range(3) tk(k)),
 f1 AS (SELECT i, k, brow, bcol, yy, u AS ux, sum(v * c) AS v FROM planes JOIN cosines ON t = xx GROUP BY ALL),
 f2 AS (SELECT i, k, brow, bcol, u AS uy, ux, sum(v * c) AS v FROM f1 JOIN cosines ON t = yy GROUP BY ALL),
 coded AS (SELECT i, k, brow, bcol, uy, ux, round_even(round(v, 6) / q, 0) * q AS v FROM (SELECT *,
@@ -313,6 +312,33 @@ ou AS (SELECT *, avg(mean) OVER (PARTITION BY image_id) AS mu, stddev_pop(mean)
 ov AS (SELECT *, mean > mu + 2.3 * sigma AND mean > 4.5 AS is_outlier FROM ou),
 tv AS (SELECT image_id, max(mu) AS mu, max(sigma) AS sigma, count_if(is_outlier) AS n_outliers, max(mu) > 6.0 AND max(sigma) < 2.5 AS uniform FROM ov GROUP BY image_id)
 """
+#: A box a step, of the first tile left and all within two tiles of it.
+BOXES = """
+bl0 AS (SELECT image_id, any_value(w) AS w, any_value(h) AS h, list({'tx': tx, 'ty': ty, 'm': mean} ORDER BY ty, tx) AS rest FROM ov JOIN sizes ON i = image_id WHERE is_outlier GROUP BY image_id),
+bx AS (SELECT image_id, w, h, -1 AS box, [] :: STRUCT(tx BIGINT, ty BIGINT, m DOUBLE)[] AS own, rest FROM bl0
+  UNION ALL SELECT image_id, w, h, box + 1, list_filter(rest, lambda t: abs(t.tx - rest[1].tx) <= 2 AND abs(t.ty - rest[1].ty) <= 2),
+    list_filter(rest, lambda t: abs(t.tx - rest[1].tx) > 2 OR abs(t.ty - rest[1].ty) > 2) FROM bx WHERE len(rest) > 0),
+be AS (SELECT image_id, w AS iw, h AS ih, box, unnest(own) AS t FROM bx),
+bp AS (SELECT image_id, iw, ih, box, greatest(0, min(t.tx) * 24 - 6) AS x, greatest(0, min(t.ty) * 24 - 6) AS y,
+    (max(t.tx) - min(t.tx) + 1) * 24 + 12 AS fw, (max(t.ty) - min(t.ty) + 1) * 24 + 12 AS fh, round(max(t.m), 2) AS max_error FROM be GROUP BY image_id, iw, ih, box),
+bo AS (SELECT image_id, box, x, y, least(iw - x, fw) AS w, least(ih - y, fh) AS h, max_error,
+    CASE WHEN x / iw < 0.40 AND y / ih < 0.70 AND least(ih - y, fh) > 40 THEN 'PORTRAIT' WHEN y / ih > 0.40 AND y / ih < 0.75 THEN 'DETAILS' WHEN y / ih >= 0.75 THEN 'ID_NUMBER' ELSE 'TEXT' END AS region,
+    round(least(0.95, max_error / 20 + 0.4), 3) AS risk FROM bp)
+"""
+#: Strips as they are after fitting: bilinear between the centres of pixels, in whole numbers; sizes and px as PIXELS has them.
+STRIPS = f"""
+strip AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 2 = 0 THEN {STRIP[0]} ELSE {STRIP[1]} END AS w0, CASE WHEN s_suppkey % 2 = 0 THEN {STRIP[1]} ELSE {STRIP[0]} END AS h0 FROM supplier),
+sizes AS (SELECT i, w0, h0, (2 * w0 * 900 + {STRIP[0]}) // (2 * {STRIP[0]}) AS w, (2 * h0 * 900 + {STRIP[0]}) // (2 * {STRIP[0]}) AS h FROM strip),
+drawn AS (SELECT i, y, x, k, {STRIP_SQL} AS p FROM strip, range({STRIP[0]}) ty(y), range({STRIP[0]}) tx(x), range(3) tk(k) WHERE y < h0 AND x < w0),
+across AS (SELECT i, nx, q.x, q.f FROM (SELECT i, w0, w, nx, greatest((2 * nx + 1) * w0 - w, 0) AS spot FROM sizes, range(900) t(nx) WHERE nx < w),
+  LATERAL (SELECT unnest([{{'x': spot // (2 * w), 'f': 2 * w - spot % (2 * w)}}, {{'x': least(spot // (2 * w) + 1, w0 - 1), 'f': spot % (2 * w)}}]) AS q)),
+down AS (SELECT i, ny, q.y, q.f FROM (SELECT i, h0, h, ny, greatest((2 * ny + 1) * h0 - h, 0) AS spot FROM sizes, range(900) t(ny) WHERE ny < h),
+  LATERAL (SELECT unnest([{{'y': spot // (2 * h), 'f': 2 * h - spot % (2 * h)}}, {{'y': least(spot // (2 * h) + 1, h0 - 1), 'f': spot % (2 * h)}}]) AS q)),
+low AS (SELECT d.i, d.ny, x, k, sum(p * d.f) AS p FROM drawn JOIN down d ON d.i = drawn.i AND d.y = drawn.y GROUP BY ALL),
+fit AS (SELECT a.i, ny AS y, a.nx AS x, k, CAST((sum(p * a.f) + 2 * any_value(w) * any_value(h)) // (4 * any_value(w) * any_value(h)) AS BIGINT) AS p
+  FROM low JOIN across a ON a.i = low.i AND a.x = low.x JOIN sizes ON sizes.i = a.i GROUP BY ALL),
+px AS (SELECT i, y, x, max(CASE WHEN k = 0 THEN p END) AS b, max(CASE WHEN k = 1 THEN p END) AS g, max(CASE WHEN k = 2 THEN p END) AS r FROM fit GROUP BY i, y, x)
+"""
 QUALITY = """
 lp AS (SELECT image_id, w, h, y, x, lag(v) OVER (PARTITION BY image_id, x ORDER BY y) + lead(v) OVER (PARTITION BY image_id, x ORDER BY y)
   + lag(v) OVER (PARTITION BY image_id, y ORDER BY x) + lead(v) OVER (PARTITION BY image_id, y ORDER BY x) - 4 * v AS l FROM gray),

@@ -615,8 +615,21 @@ def i2_quality(spark, sf_dir):
 
 @query(O.chain(O.PIXELS, O.ERRORS) + "SELECT image_id, CAST(round(sum(v * 3)) AS BIGINT) AS total_error, round(max(v), 4) AS max_error FROM errors GROUP BY image_id")
 def i3_error_level(spark, sf_dir):
-    total = F.round(C("ela_mean") * 3 * C("width") * C("height")).cast("long")  # of three colours: a whole number
-    return _measured(spark, sf_dir).select("image_id", total.alias("total_error"), F.round("ela_max", 4).alias("max_error"))
+    return _errors(_measured(spark, sf_dir))
+
+
+def _errors(measured: DataFrame) -> DataFrame:
+    total = F.round(C("ela_mean") * 3 * C("fit_width") * C("fit_height")).cast("long")  # of three colours: a whole number
+    return measured.select("image_id", total.alias("total_error"), F.round("ela_max", 4).alias("max_error"))
+
+
+_STRIPS = O.chain(O.STRIPS, O.ERRORS)
+
+
+@query(_STRIPS + "SELECT image_id, CAST(round(sum(v * 3)) AS BIGINT) AS total_error, round(max(v), 4) AS max_error FROM errors GROUP BY image_id")
+def i3_fitted_errors(spark, sf_dir):
+    """Pictures longer than an image is measured at."""
+    return _errors(images.measure(X.strips(spark, sf_dir)))
 
 
 @query(_TILED + "SELECT image_id, tx, ty, round(mean, 6) AS mean FROM tl")
@@ -640,9 +653,15 @@ def i5_summary(spark, sf_dir):
     return r.withColumns({c: F.round(c, 6) for c in ("mu", "sigma")})
 
 
-@query()
+@query(O.chain(O.PIXELS, O.ERRORS, O.TILES, O.BOXES) + "SELECT * FROM bo")
 def i6_boxes(spark, sf_dir):
-    return images.flagged_regions(images.outlier_boxes(images.tile_outliers(images.tile_table(_measured(spark, sf_dir)))))
+    return images.flagged_regions(images.outlier_boxes(_measured(spark, sf_dir)))
+
+
+@query(O.chain(O.STRIPS, O.ERRORS, O.TILES, O.BOXES) + "SELECT * FROM bo")
+def i6_fitted_boxes(spark, sf_dir):
+    """Boxes of pictures longer than an image is measured at: sizes and places are of the fitted picture."""
+    return images.flagged_regions(images.outlier_boxes(images.measure(X.strips(spark, sf_dir))))
 
 
 @query(
@@ -877,13 +896,37 @@ _SCANNED = O.chain(
 @query(_SCANNED + "SELECT doc_id, trust_score, risk, action, array_to_string(codes, ',') AS codes FROM scored")
 def w5_scan_scores(spark, sf_dir):
     """From image files to verdicts: each case with the evidence of its picture."""
+    scored = _scan_scores(spark, sf_dir)
+    return scored.select("doc_id", "trust_score", "risk", "action", F.array_join("codes", ",").alias("codes"))
+
+
+@query(
+    _SCANNED.rstrip()
+    + ",\n"
+    + O.BOXES.strip()
+    + """ SELECT doc_id, trust_score, coalesce(regions, '') AS regions FROM scored LEFT JOIN (
+  SELECT image_id, string_agg(concat_ws(',', region, x, y, w, h, printf('%.3f', risk), concat('ELA ', printf('%.2f', max_error), ' in ', region)), ';' ORDER BY box) AS regions
+  FROM bo JOIN tv USING (image_id) WHERE n_outliers >= 2 AND NOT uniform GROUP BY image_id) r ON image_id = doc_id % (SELECT count(*) FROM supplier)"""
+)
+def i10_scan_regions(spark, sf_dir):
+    """Scored cases with the flagged regions of their pictures."""
+    shown = F.transform(
+        "regions", lambda r: F.concat_ws(",", r["region"], r["bbox"].cast("array<string>"), F.format_number(r["risk"], 3), r["reason"])
+    )
+    return _scan_scores(spark, sf_dir).select("doc_id", "trust_score", F.array_join(shown, ";").alias("regions"))
+
+
+def _scan_scores(spark, sf_dir):
+    measured = images.measure(_scans(spark, sf_dir))
+    return jobs.score_scans(_scan_records(spark, sf_dir), measured, X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir), None, _now())
+
+
+def _scan_records(spark, sf_dir):
     n = _read(spark, sf_dir, "supplier").count()
-    records = _cases(spark, sf_dir).select(
+    return _cases(spark, sf_dir).select(
         "doc_id", C("a").alias("applicant_id"), "doc_type", "name", "id_number", "dob", "line1", "line2", (C("doc_id") % n).alias("image_id"),
         F.when(C("doc_id") % 59 == 0, 0.5).otherwise(0.94).alias("ocr_confidence"),
     )
-    scored = jobs.score_scans(records, images.measure(_scans(spark, sf_dir)), X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir), None, _now())
-    return scored.select("doc_id", "trust_score", "risk", "action", F.array_join("codes", ",").alias("codes"))
 
 
 # --- streams

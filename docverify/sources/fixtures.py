@@ -222,6 +222,35 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.mapInArrow(drawn, "image_id long, height int, width int, data binary")
 
 
+#: Strips that are longer than an image is measured at, lying and standing by turns.
+STRIP = (1000, 28)
+STRIP_SQL = """
+  CASE WHEN (CASE WHEN i % 2 = 0 THEN x ELSE y END) // 60 % 15 = i % 15 AND i % 3 < 2 THEN (37 * x + 59 * y + 101 * k) % 256
+       ELSE ((x + y) // 4 + 13 * i + 40 * k) % 200 END
+"""
+
+
+@derived
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, height, width, data): a long picture of each supplier, by the formula of STRIP_SQL."""
+    import numpy as np
+    import pyarrow as pa
+
+    def drawn(batches):
+        for batch in batches:
+            for i in (i for i in batch.column(0).to_pylist() if i is not None):
+                w, h = STRIP if i % 2 == 0 else STRIP[::-1]
+                y, x, k = np.mgrid[0:h, 0:w, 0:3]
+                busy = ((x if i % 2 == 0 else y) // 60 % 15 == i % 15) & (i % 3 < 2)
+                p = np.where(busy, (37 * x + 59 * y + 101 * k) % 256, ((x + y) // 4 + 13 * i + 40 * k) % 200)
+                columns = [[i], [h], [w], [p.astype(np.uint8).tobytes()]]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["image_id", "height", "width", "data"])
+
+    keys = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long"))
+    return keys.mapInArrow(drawn, "image_id long, height int, width int, data binary")
+
+
 @derived
 def portraits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, embedding): the given vectors, and of every tenth a copy that differs a little, under an id of its own."""

@@ -232,12 +232,49 @@ def test_masked_numbers_go_round_the_joins(spark):
 
 def test_boxes_of_outlier_tiles(spark):
     # golden rows: a pair of tiles, one that the seed's reach leaves out, one at the lower edge
-    tiles = [(1, 240, 240, x, y, m) for x, y, m in ((1, 1, 9.0), (3, 1, 12.0), (5, 1, 8.0), (7, 8, 30.0))]
-    rows = spark.createDataFrame([(*t, True) for t in tiles], "image_id long, width int, height int, tx int, ty int, mean double, is_outlier boolean")
+    tiles = [(x, y, m) for x, y, m in ((1, 1, 9.0), (3, 1, 12.0), (5, 1, 8.0), (7, 8, 30.0))]
+    boxes = [tuple(b.values()) for b in images.grouped_boxes(tiles, 240, 240)]
+    rows = spark.createDataFrame([(1, boxes)], "image_id long, boxes array<struct<x:int,y:int,w:int,h:int,max_error:double,region:string>>")
     got = sorted(tuple(r) for r in images.flagged_regions(images.outlier_boxes(rows)).collect())
     assert got == [
         (1, 0, 18, 18, 84, 36, 12.0, "TEXT", 0.95), (1, 1, 114, 18, 36, 36, 8.0, "TEXT", 0.8), (1, 2, 162, 186, 36, 36, 30.0, "ID_NUMBER", 0.95),
     ]
+    own = rows.select(images.regions(F.col("boxes"), F.lit(True)).alias("r"), images.regions(F.col("boxes"), F.lit(None).cast("boolean")).alias("none")).first()
+    assert [(r["region"], r["bbox"], r["risk"], r["reason"]) for r in own["r"]] == [
+        ("TEXT", [18, 18, 84, 36], 0.95, "ELA 12.00 in TEXT"), ("TEXT", [114, 18, 36, 36], 0.8, "ELA 8.00 in TEXT"), ("ID_NUMBER", [162, 186, 36, 36], 0.95, "ELA 30.00 in ID_NUMBER"),
+    ]
+    assert own["none"] == [] and images.grouped_boxes([], 10, 10) == []
+
+
+def test_large_pictures_are_named_by_the_fitted_size(spark):
+    """The lowest tiles of a picture of 1,800 x 1,000, measured at 900 x 500, are the number's region."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    picture = np.full((1000, 1800, 3), 120, np.uint8)
+    picture[910:1000, 100:400] = r.integers(0, 256, (90, 300, 3))
+    rows = spark.createDataFrame([(1, 1000, 1800, picture.tobytes())], "image_id long, height int, width int, data binary")
+    got = images.measure(rows).first()
+    assert (got["width"], got["height"], got["fit_width"], got["fit_height"]) == (1800, 1000, 900, 500)
+    assert got["boxes"] and {b["region"] for b in got["boxes"]} == {"ID_NUMBER"}
+    assert all(b["x"] + b["w"] <= 900 and b["y"] + b["h"] <= 500 for b in got["boxes"])
+
+
+@pytest.mark.parametrize("size", [(901, 3), (1000, 1), (2, 1801), (950, 1425)])
+def test_fitting_is_bilinear(size):
+    import numpy as np
+
+    picture = np.random.default_rng(2).integers(0, 256, (*size, 3)).astype(np.uint8)
+    got = images.fitted(picture)
+    h, w, (nh, nw) = *size, got.shape[:2]
+    assert max(nh, nw) == 900 and abs(nh - h * 900 / max(size)) <= 1 and abs(nw - w * 900 / max(size)) <= 1
+    for y, x in ((0, 0), (nh - 1, nw - 1), (nh // 2, nw // 3), (nh // 3, nw // 2)):
+        v, u = max(0.0, (y + 0.5) * h / nh - 0.5), max(0.0, (x + 0.5) * w / nw - 0.5)
+        y0, x0 = int(v), int(u)
+        y1, x1, fy, fx = min(y0 + 1, h - 1), min(x0 + 1, w - 1), v - int(v), u - int(u)
+        exact = (1 - fy) * ((1 - fx) * picture[y0, x0] + fx * picture[y0, x1].astype(float)) + fy * ((1 - fx) * picture[y1, x0] + fx * picture[y1, x1].astype(float))
+        assert np.abs(got[y, x] - exact).max() <= 0.5 + 1e-6
+    assert images.fitted(got) is got
 
 
 def test_tile_summary_equals_the_grouping(spark):
