@@ -22,13 +22,23 @@ def registry_key(number: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(number, F.lit("")), r"[\s-]", ""))
 
 
+_SCALARS = ("bigint", "int", "string", "double", "date", "boolean")
+
+
+def _usable(key: Column, number: Column) -> Column:
+    """The key of a number that names somebody: null for blank and masked ones."""
+    return F.when(~F.coalesce(number, F.lit("")).rlike(MASKED), F.nullif(key, F.lit("")))
+
+
+def _keyed(df: DataFrame, key: Column, number: Column) -> DataFrame:
+    """df with clean_id. Blank and masked numbers get a key of their row's own, which no record has, so that they don't meet in one task."""
+    own = F.concat(F.lit("\x00"), F.xxhash64(*[c for c, kind in df.dtypes if kind in _SCALARS]).cast("string"))
+    return df.withColumn("clean_id", F.coalesce(_usable(key, number), own))
+
+
 def _keyed_join(df: DataFrame, table: DataFrame, key: Column, number: Column) -> DataFrame:
-    """Left join on clean_id; blank and masked numbers go round the join: they name nobody, and blank ones would meet in one task."""
-    keyed = df.withColumn("clean_id", F.when(~F.coalesce(number, F.lit("")).rlike(MASKED), F.nullif(key, F.lit(""))))
-    full, blank = keyed.where("clean_id is not null"), keyed.where("clean_id is null")
-    added = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "clean_id"]
-    joined = full.join(table, "clean_id", "left").select(*keyed.columns, *[c for c in table.columns if c != "clean_id"])
-    return joined.unionByName(blank.select("*", *added)).drop("clean_id")
+    joined = _keyed(df, key, number).join(table, "clean_id", "left")
+    return joined.select(*df.columns, *[c for c in table.columns if c != "clean_id"])
 
 
 def attach_qr(df: DataFrame, payloads: DataFrame, number: str = "id_number") -> DataFrame:
@@ -78,6 +88,14 @@ def attach_registry(df: DataFrame, records: DataFrame, number: str = "id_number"
     return joined.withColumn("lookup", F.when(F.col("__there"), "AUTHENTICATED").otherwise("NOT_FOUND_IN_SANDBOX")).drop("__there")
 
 
+def not_found(df: DataFrame, records: DataFrame, number: str = "id_number") -> DataFrame:
+    """J4's report: rows of df without a record, with reason: BLANK, MASKED, or NOT_FOUND where a number was looked up in vain."""
+    missing = _keyed(df, registry_key(F.col(number)), F.col(number)).join(records.select("clean_id"), "clean_id", "left_anti")
+    masked = F.coalesce(F.col(number), F.lit("")).rlike(MASKED)
+    reason = F.when(masked, "MASKED").when(registry_key(F.col(number)) == "", "BLANK").otherwise("NOT_FOUND")
+    return missing.select(*df.columns, reason.alias("reason"))
+
+
 def compare_registry(name: Column, dob: Column, lookup: Column, reg_name: Column, reg_dob: Column) -> Column:
     """struct(status, name_match, dob_match); the dates match where either is empty."""
     same_name = _share_word(name, reg_name)

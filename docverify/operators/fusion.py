@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docverify.functions import lookups as L
@@ -115,7 +115,15 @@ def queue_status(action: Column) -> Column:
 
 
 def review_queue(scored: DataFrame, status: str | None = None, newest: str = "doc_id", top: int | None = None) -> DataFrame:
-    """F8: (doc_id, status, score, risk), newest first; with `top` the report's length (a top-k, no full sort)."""
-    rows = scored.select("doc_id", queue_status(F.col("action")).alias("status"), F.floor(F.col("trust_score") + 0.5).alias("score"), "risk")
+    """F8: (doc_id, status, score, risk) of one status or all.
+
+    With `top` the newest so many of each status: tasks keep as many of their
+    own, and only these meet. Without it rows come as they are, for a table:
+    who shows them orders them.
+    """
+    rows = scored.select("doc_id", queue_status(F.col("action")).alias("status"), F.floor(F.col("trust_score") + 0.5).alias("score"), "risk", F.col(newest).alias("__newest"))
     rows = rows.where(F.col("status") == status) if status else rows
-    return rows.orderBy(F.desc(newest)).limit(top) if top else rows
+    if top:
+        place = F.row_number().over(Window.partitionBy("status").orderBy(F.desc("__newest")))
+        rows = rows.withColumn("__place", place).where(F.col("__place") <= top)
+    return rows.select("doc_id", "status", "score", "risk")

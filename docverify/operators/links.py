@@ -21,9 +21,23 @@ def links(cases: DataFrame, case_id: str, **entities: Column) -> DataFrame:
     return long.where("case_id is not null and coalesce(entity_id, '') <> ''").distinct()
 
 
-def shared_entities(found: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, n_cases) of entities with two cases or more."""
-    return found.groupBy("entity_type", "entity_id").agg(F.count_distinct("case_id").alias("n_cases")).where("n_cases > 1")
+def shared_entities(found: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """(entity_type, entity_id, n_cases) of entities with two cases or more.
+
+    With people (case_id, name, id_number; a row a case) also n_names and n_ids,
+    the exact numbers of different names and numbers, null and blank ones apart.
+    Rows are first reduced to an entity's different people; then names and
+    numbers are each counted by value before they are by entity, so that a hot
+    entity is spread and no task holds a set of its values.
+    """
+    entity = ["entity_type", "entity_id"]
+    if people is None:
+        return found.groupBy(*entity).agg(F.count_distinct("case_id").alias("n_cases")).where("n_cases > 1")
+    shown = people.select("case_id", F.nullif(F.trim("name"), F.lit("")).alias("name"), F.nullif(F.trim("id_number"), F.lit("")).alias("id_number"))
+    kinds = written(found.join(shown, "case_id", "left").groupBy(*entity, "name", "id_number").agg(F.count(F.lit(1)).alias("n")), "people")
+    names = kinds.groupBy(*entity, "name").agg(F.sum("n").alias("n")).groupBy(*entity).agg(F.sum("n").alias("n_cases"), F.count("name").alias("n_names"))
+    ids = kinds.groupBy(*entity, "id_number").agg(F.lit(1).alias("one")).groupBy(*entity).agg(F.count("id_number").alias("n_ids"))
+    return names.where("n_cases > 1").join(ids, entity)
 
 
 def rings(found: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from docverify.functions.checks import mask
 from docverify.operators import crosscheck, dossier, evaluate, fusion, images, links
 from docverify.operators.extraction import extract
 from docverify.operators.validation import rules
-from docverify.streaming.feedback import latest_verdicts, verdict_map
+from docverify.sources.keyed import KeyedTable
+from docverify.streaming.feedback import latest_verdicts, upserted, verdict_map
 
 
 def flat_fields(extracted: DataFrame) -> DataFrame:
@@ -106,14 +107,46 @@ def evaluation(scored: DataFrame, labels: DataFrame, strict: bool = False) -> Da
     return evaluate.metrics(scored.select("doc_id", "risk", "action").join(labels, "doc_id"), strict)
 
 
-def audit_certificates(scored: DataFrame, as_of: Column) -> DataFrame:
-    """What is kept of a decision: document hash, masked number, the layers' earned points and the verdict."""
+def audit_certificates(scored: DataFrame, as_of: Column, role: str = "Operator") -> DataFrame:
+    """What is kept of a decision, a row a case.
+
+    Reads what score_scans gives and doc_hash, the SHA-256 of the scan's file
+    (tables.scan_hashes), which travels with the case. The number is masked;
+    points are what each layer earned, statuses what it found.
+    """
     earned = [
         F.greatest(F.lit(0.0), F.col("coverage")[k] - F.col("penalties")[k]).alias(f"{k}_points")
         for k in ("rules", "forensics", "template", "cross_check", "ocr")
     ]
     return scored.select(
-        "doc_id", F.sha2(F.concat_ws("|", "doc_type", "id_number", "name", "dob"), 256).alias("doc_hash"),
-        mask(F.col("id_number")).alias("masked_id"), *earned, "trust_score",
-        F.concat_ws(" / ", "risk", "action").alias("verdict"), as_of.alias("issued_on"),
+        "doc_id", "doc_hash", "doc_type", "name", mask(F.col("id_number")).alias("masked_id"), "dob", *earned,
+        F.col("rules.status").alias("rules_status"), F.col("forensic.risk").alias("forensics_status"),
+        F.when(F.col("layout_pass"), "PASS").otherwise("ANOMALY").alias("template_status"),
+        F.when(F.col("penalties.cross_check") > 0, "MISMATCH").otherwise("MATCH").alias("cross_check_status"),
+        F.floor(F.coalesce(F.nanvl("ocr_confidence", F.lit(None)), F.lit(0.80)) * 100 + 0.5).alias("ocr_percent"),
+        "trust_score", F.concat_ws(" / ", "risk", "action").alias("verdict"), as_of.alias("issued_on"), F.lit(role).alias("operator_role"),
     )
+
+
+def issue_certificates(certificates: DataFrame, path: str) -> KeyedTable:
+    """Writes certificates to the table at path; a case that is certified again has its new certificate only."""
+    table = KeyedTable(certificates.sparkSession, path, certificates.schema, ("doc_id",))
+    table.upsert(certificates)
+    return table
+
+
+def score_scan_stream(
+    scans: DataFrame, fields: DataFrame, payloads: DataFrame, registry: DataFrame, as_of: Column, path: str
+) -> DataFrame:
+    """ST1 from pixels: a stream of images (image_id, height, width, data) to verdicts on the cases (fields) they show.
+
+    A batch's pixels are measured once; what is measured meets the cases by
+    image id. Verdicts go to a table with a row a case, which is returned; run
+    again with the same path, it goes on with images that have come since.
+    """
+
+    def verdicts(evidence: DataFrame) -> DataFrame:
+        scored = score(fields.join(evidence, "image_id"), payloads, registry, None, as_of)
+        return scored.select("doc_id", "trust_score", "risk", "action", "codes", "regions")
+
+    return upserted(scan_evidence(images.measure(scans)), ["doc_id"], path, mode="append", change=verdicts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from docverify.operators.extraction import extract
 from docverify.operators.validation import rules
 from docverify.plans import jobs
 from docverify.plans import oracles as O
-from docverify.plans.storage import new_path
+from docverify.plans.storage import new_path, written
 from docverify.sources import fixtures as X
 from docverify.sources import tables
 from docverify.streaming import feedback as S
@@ -56,14 +57,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 )
 def s1_scans(spark, sf_dir):
     """Pictures as image files, one a supplier, read back by the image reader."""
-    return _scans(spark, sf_dir).select("image_id", "height", "width", F.sha2("data", 256).alias("doc_hash"))
+    return _scans(spark, _scan_files(spark, sf_dir)).select("image_id", "height", "width", F.sha2("data", 256).alias("doc_hash"))
 
 
-def _scans(spark, sf_dir):
+def _scan_files(spark, sf_dir):
     folder = new_path(spark, "scans")
     tables.write_scans(X.pictures(spark, sf_dir), folder)
-    found = tables.read_scans(spark, f"{folder}/*.bmp")
-    return found.select(F.regexp_extract("origin", r"(-?[0-9]+)\.bmp$", 1).cast("long").alias("image_id"), "height", "width", "data")
+    return folder
+
+
+def _image_id():
+    return F.regexp_extract("origin", r"(-?[0-9]+)\.bmp$", 1).cast("long").alias("image_id")
+
+
+def _scans(spark, folder):
+    return tables.read_scans(spark, f"{folder}/*.bmp").select(_image_id(), "height", "width", "data")
 
 
 @query("SELECT page_id, sha256(html) AS doc_hash FROM pages")
@@ -85,18 +93,15 @@ def s4_feedback_json(spark, sf_dir):
     return tables.read_feedback(spark, path)
 
 
-@query(
-    O.scored_records()
-    + f"""SELECT doc_id, sha256(concat_ws('|', doc_type, id_number, name, dob)) AS doc_hash,
-  CASE WHEN id_number = '' THEN '----' WHEN length(clean) = 12 THEN concat('XXXX XXXX ', right(clean, 4))
-    WHEN length(clean) = 10 THEN concat(left(clean, 4), 'XXXX', right(clean, 1)) WHEN length(clean) = 8 THEN concat(left(clean, 2), 'XXXX', right(clean, 2))
-    ELSE id_number END AS masked_id,
-  greatest(0.0, 30 - p_rules) AS rules_points, greatest(0.0, 25 - p_forensics) AS forensics_points, greatest(0.0, 15 - p_template) AS template_points,
-  greatest(0.0, 15 - p_cross) AS cross_check_points, greatest(0.0, 10 - p_ocr) AS ocr_points, trust_score, concat_ws(' / ', risk, action) AS verdict,
-  {O.NOW} AS issued_on FROM scored"""
-)
 def s5_audit(spark, sf_dir):
-    return jobs.audit_certificates(_scored(spark, sf_dir), _now())
+    """Certificates of cases with the hash of their picture's file, written twice and read back: the second run leaves one a case."""
+    folder = _scan_files(spark, sf_dir)
+    hashes = tables.scan_hashes(spark, f"{folder}/*.bmp").select(_image_id(), "doc_hash")
+    scored = _scores_of(spark, sf_dir, _scan_records(spark, sf_dir).join(hashes, "image_id"), folder)
+    certificates = written(jobs.audit_certificates(scored, _now()), "certificates")
+    path = new_path(spark, "certified")
+    jobs.issue_certificates(certificates.withColumn("verdict", F.lit("of an earlier run")), path)
+    return jobs.issue_certificates(certificates, path).read()
 
 
 # --- extraction
@@ -338,6 +343,15 @@ def j4_attach_registry(spark, sf_dir):
     return crosscheck.attach_registry(_records(spark, sf_dir), X.registry(spark, sf_dir)).select("doc_id", "lookup", "reg_name", "reg_dob")
 
 
+@query(
+    _CROSSED
+    + """SELECT doc_id, id_number, CASE WHEN regexp_matches(id_number, '[xX*]{4}') THEN 'MASKED' WHEN regexp_replace(id_number, '[\\s-]', '', 'g') = '' THEN 'BLANK' ELSE 'NOT_FOUND' END AS reason
+FROM crossed WHERE NOT known"""
+)
+def j4_not_found(spark, sf_dir):
+    return crosscheck.not_found(_records(spark, sf_dir), X.registry(spark, sf_dir)).select("doc_id", "id_number", "reason")
+
+
 @query(
     _CROSSED
     + "SELECT doc_id, ref_status AS status, CASE WHEN known THEN same_name END AS name_match, CASE WHEN known THEN same_dob END AS dob_match FROM crossed"
@@ -522,9 +536,14 @@ def g1_links(spark, sf_dir):
     return _links(spark, sf_dir)
 
 
-@query(_LINKED + "SELECT entity_type, entity_id, n_cases FROM sh")
+@query(
+    _LINKED
+    + """SELECT entity_type, entity_id, count(*) AS n_cases, count(DISTINCT nullif(trim(name), '')) AS n_names, count(DISTINCT nullif(trim(id_number), '')) AS n_ids
+FROM li JOIN cases ON doc_id = case_id GROUP BY ALL HAVING count(*) > 1"""
+)
 def g2_shared(spark, sf_dir):
-    return links.shared_entities(_links(spark, sf_dir))
+    people = _cases(spark, sf_dir).select(C("doc_id").alias("case_id"), "name", "id_number")
+    return links.shared_entities(_links(spark, sf_dir), people)
 
 
 @query(
@@ -883,9 +902,10 @@ def f12_full_score(spark, sf_dir):
     return _full(spark, sf_dir).select("doc_id", "trust_score", "risk", "action", F.array_join("codes", ",").alias("codes"))
 
 
-@query(_FULL + _QUEUE)
+@query(_FULL + f"SELECT * FROM ({_QUEUE}) QUALIFY row_number() OVER (PARTITION BY status ORDER BY doc_id DESC) <= 100")
 def w1_review_queue(spark, sf_dir):
-    return fusion.review_queue(_full(spark, sf_dir))
+    """The newest hundred cases of each status: a top-k report."""
+    return fusion.review_queue(_full(spark, sf_dir), top=100)
 
 
 _SCANNED = O.chain(
@@ -893,6 +913,34 @@ _SCANNED = O.chain(
 )
 
 
+_LITTLE = "printf('%02x%02x%02x%02x', ({n}) & 255, ({n}) >> 8 & 255, ({n}) >> 16 & 255, ({n}) >> 24 & 255)"
+#: The files of pictures, whose rows have a multiple of four bytes: a bitmap's head, then the rows from the last to the first.
+_FILES = (
+    """files AS (SELECT i AS image_id, sha256(unhex(concat('424d', """
+    + _LITTLE.format(n="54 + 3 * w * h")
+    + """, '00000000', '36000000', '28000000', """
+    + _LITTLE.format(n="w") + ", " + _LITTLE.format(n="h")
+    + """, '01001800', '00000000', """
+    + _LITTLE.format(n="3 * w * h")
+    + """, '130b0000', '130b0000', '00000000', '00000000', string_agg(printf('%02x%02x%02x', b, g, r), '' ORDER BY y DESC, x)))) AS doc_hash
+  FROM px JOIN sizes USING (i) GROUP BY i, w, h)"""
+)
+query(
+    _SCANNED.rstrip()
+    + ",\n"
+    + _FILES
+    + f""" SELECT doc_id, doc_hash, doc_type, name, CASE WHEN id_number = '' THEN '----' WHEN length(c) = 12 THEN concat('XXXX XXXX ', right(c, 4))
+    WHEN length(c) = 10 THEN concat(left(c, 4), 'XXXX', right(c, 1)) WHEN length(c) = 8 THEN concat(left(c, 2), 'XXXX', right(c, 2)) ELSE id_number END AS masked_id, dob,
+  greatest(0.0, 30 - p_rules) AS rules_points, greatest(0.0, 25 - p_forensics) AS forensics_points, greatest(0.0, 15 - p_template) AS template_points,
+  greatest(0.0, 15 - p_cross) AS cross_check_points, greatest(0.0, 10 - p_ocr) AS ocr_points, r_status AS rules_status,
+  CASE WHEN f >= 0.65 THEN 'HIGH' WHEN f >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS forensics_status, CASE WHEN layout_score >= 70 THEN 'PASS' ELSE 'ANOMALY' END AS template_status,
+  CASE WHEN p_cross > 0 THEN 'MISMATCH' ELSE 'MATCH' END AS cross_check_status, floor(ocr_confidence * 100 + 0.5) AS ocr_percent,
+  trust_score, concat_ws(' / ', risk, action) AS verdict, {O.NOW} AS issued_on, 'Operator' AS operator_role
+FROM (SELECT *, regexp_replace(id_number, '[\\s-]', '', 'g') AS c, round(least(0.98, greatest(0.02, 0.05 + CASE WHEN has_local THEN 0.55 WHEN uniform THEN 0.15 ELSE 0 END
+    + CASE WHEN noise THEN 0.25 ELSE 0 END + CASE WHEN edge > 0.4 THEN 0.20 ELSE 0 END)), 2) AS f FROM scored) JOIN files ON image_id = doc_id % (SELECT count(*) FROM supplier)"""
+)(s5_audit)
+
+
 @query(_SCANNED + "SELECT doc_id, trust_score, risk, action, array_to_string(codes, ',') AS codes FROM scored")
 def w5_scan_scores(spark, sf_dir):
     """From image files to verdicts: each case with the evidence of its picture."""
@@ -917,8 +965,11 @@ def i10_scan_regions(spark, sf_dir):
 
 
 def _scan_scores(spark, sf_dir):
-    measured = images.measure(_scans(spark, sf_dir))
-    return jobs.score_scans(_scan_records(spark, sf_dir), measured, X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir), None, _now())
+    return _scores_of(spark, sf_dir, _scan_records(spark, sf_dir), _scan_files(spark, sf_dir))
+
+
+def _scores_of(spark, sf_dir, records, folder):
+    return jobs.score_scans(records, images.measure(_scans(spark, folder)), X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir), None, _now())
 
 
 def _scan_records(spark, sf_dir):
@@ -944,6 +995,15 @@ def st1_score_stream(spark, sf_dir):
     return S.appended(scored.select("doc_id", "trust_score", "risk", "action"), new_path(spark, "scored"))
 
 
+@query(_SCANNED + "SELECT doc_id, trust_score, risk, action, array_to_string(codes, ',') AS codes FROM scored")
+def st1_scan_stream(spark, sf_dir):
+    """Image files as a stream, from pixels to verdicts."""
+    arriving = tables.scan_stream(spark, _scan_files(spark, sf_dir)).select(_image_id(), "height", "width", "data")
+    payloads, registry = X.qr_payloads(spark, sf_dir), X.registry(spark, sf_dir)
+    scored = jobs.score_scan_stream(arriving, _scan_records(spark, sf_dir), payloads, registry, _now(), new_path(spark, "scanned"))
+    return scored.select("doc_id", "trust_score", "risk", "action", F.array_join("codes", ",").alias("codes"))
+
+
 def _event_stream(spark, sf_dir):
     """Events as a stream of verdicts."""
     schema = _read(spark, sf_dir, "events").schema
@@ -961,6 +1021,18 @@ def st2_latest_verdict_stream(spark, sf_dir):
     return S.streamed_verdicts(_event_stream(spark, sf_dir), new_path(spark, "verdicts")).select("case_id", "signal_code", "verdict")
 
 
+@query(
+    O.chain(O.FEEDBACK)
+    + """SELECT case_id, signal_code, arg_max(verdict, (ts, event_id)) AS verdict FROM said WHERE event_id % 50 <> 7 GROUP BY ALL"""
+)
+def st2_closing_stream(spark, sf_dir):
+    """Verdicts with state that ends when a case is closed; every fiftieth event is a closure."""
+    events = _event_stream(spark, sf_dir).withColumn("signal_code", F.when(C("event_id") % 50 == 7, S.CLOSED).otherwise(C("signal_code")))
+    found = S.verdicts_until_closed(events, keep=timedelta(days=3650), late="3650 days")
+    latest = S.upserted(found, ["case_id", "signal_code"], new_path(spark, "closing"))
+    return latest.select("case_id", "signal_code", "verdict")
+
+
 @query(_SCORED_FB + "SELECT doc_id, trust_score, risk, action FROM scored WHERE doc_id IN (SELECT case_id FROM latest)")
 def st3_rescore(spark, sf_dir):
     def again(said: DataFrame) -> DataFrame:

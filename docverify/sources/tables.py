@@ -22,6 +22,20 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
     return image.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
 
+_IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def scan_stream(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
+    """S1 as a stream: images as their files arrive, decoded as read_scans does."""
+    image = spark.readStream.format("image").schema(_IMAGE).option("dropInvalid", True).option("maxFilesPerTrigger", files_at_once).load(path)
+    return image.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def scan_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, doc_hash): S2 of the files themselves, whatever they hold."""
+    return fingerprint(read_bytes(spark, path), "content").select(F.col("path").alias("origin"), "doc_hash")
+
+
 def bitmap(height: int, width: int, data: bytes) -> bytes:
     """A BMP file of 24-bit pixels (blue, green, red, row by row from the top)."""
     rows = np.frombuffer(data, np.uint8).reshape(height, width * 3)[::-1]

@@ -299,3 +299,53 @@ def test_bitmaps_are_read_back(spark, tmp_path):
     (tmp_path / "scans/broken.bmp").write_bytes(b"BM no image")
     got = {r["origin"].rsplit("/", 1)[1]: (r["height"], r["width"], bytes(r["data"])) for r in read_scans(spark, folder).collect()}
     assert got == {f"{i}.bmp": (h, w, d) for i, h, w, d in rows}
+
+
+def test_certificates_are_one_a_case(spark, tmp_path):
+    from docverify.plans import jobs
+
+    def certificates(*found):
+        return spark.createDataFrame(found, "doc_id long, doc_hash string, verdict string")
+
+    path = f"file://{tmp_path}/certified"
+    jobs.issue_certificates(certificates((1, "a", "x"), (2, "b", "y")), path)
+    jobs.issue_certificates(certificates((2, "b", "z"), (3, None, None)), path)
+    table = jobs.issue_certificates(certificates((2, "b", "z"), (3, None, None)), path)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "a", "x"), (2, "b", "z"), (3, None, None)]
+
+
+def test_registry_report_of_what_was_not_found(spark):
+    from docverify.operators.crosscheck import attach_registry, not_found
+
+    df = spark.createDataFrame([(1, "XXXX XXXX 1234", "n"), (2, "5432-1098 7652", "n"), (3, " - ", None), (4, None, None), (5, "abc 1", "n"), (6, "zz", "n")], "doc_id long, id_number string, clean_id string")
+    records = spark.createDataFrame([("543210987652", "A", "B"), ("ABC1", "C", "D"), (None, "E", "F"), ("", "G", "H")], "clean_id string, reg_name string, reg_dob string")
+    source = df.drop("clean_id")
+    assert {r.doc_id: r.reason for r in not_found(source, records).collect()} == {1: "MASKED", 3: "BLANK", 4: "BLANK", 6: "NOT_FOUND"}
+    assert {r.doc_id: r.reg_name for r in attach_registry(source, records).collect()} == {1: None, 2: "A", 3: None, 4: None, 5: "C", 6: None}
+
+
+def test_shared_entities_with_a_hot_one(spark):
+    """An entity with a tenth of all rows: names and numbers are counted without a set in one task."""
+    from docverify.operators import links
+
+    found = spark.range(20_000).selectExpr("id AS case_id", "'address' AS entity_type", "if(id % 10 = 0, 'HOT', concat('e', id div 3)) AS entity_id")
+    people = spark.range(20_000).selectExpr("id AS case_id", "if(id % 4 = 0, ' ', concat('n', id % 1500)) AS name", "if(id % 7 = 0, null, cast(id % 900 AS string)) AS id_number")
+    got = {r.entity_id: (r.n_cases, r.n_names, r.n_ids) for r in links.shared_entities(found, people).collect()}
+    rows = [(i, "HOT" if i % 10 == 0 else f"e{i // 3}", None if i % 4 == 0 else f"n{i % 1500}", None if i % 7 == 0 else str(i % 900)) for i in range(20_000)]
+    want = {}
+    for _, e, name, number in rows:
+        n, names, numbers = want.setdefault(e, (0, set(), set()))
+        want[e] = (n + 1, names | {name}, numbers | {number})
+    assert got == {e: (n, len(a - {None}), len(b - {None})) for e, (n, a, b) in want.items() if n > 1}
+    plan = links.shared_entities(found, people)._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "collect_set" not in plan
+
+
+def test_review_queue_keeps_the_newest_of_each_status(spark):
+    scored = spark.range(1000).selectExpr("id AS doc_id", "element_at(array('ACCEPT', 'ESCALATE', 'MANUAL_REVIEW'), cast(id % 3 + 1 AS int)) AS action", "50.5 AS trust_score", "'LOW' AS risk")
+    queue = fusion.review_queue(scored, top=4)
+    got = sorted((r.status, r.doc_id) for r in queue.collect())
+    assert got == sorted([("accept", i) for i in (999, 996, 993, 990)] + [("escalate", i) for i in (997, 994, 991, 988)] + [("review", i) for i in (998, 995, 992, 989)])
+    plan = queue._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "rangepartitioning" not in plan
+    assert fusion.review_queue(scored, "escalate").count() == 333

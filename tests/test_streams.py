@@ -47,3 +47,67 @@ def test_a_stream_without_rows(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(SCHEMA).parquet(arriving)
     assert S.streamed_verdicts(stream, str(tmp_path / "out")).count() == 0
+
+
+def test_state_ends_after_closure(spark, tmp_path):
+    """Cases that were closed lose their state once event time has passed them; a later verdict opens them anew."""
+    from datetime import timedelta
+
+    arriving, out = str(tmp_path / "in"), str(tmp_path / "out")
+    S.keep_state_in_rocksdb(spark)
+    try:
+
+        def run(*found):
+            rows(spark, *found).coalesce(1).write.mode("append").parquet(arriving)
+            got, stream = [], spark.readStream.schema(SCHEMA).parquet(arriving)
+            progress = S.run_to_end(
+                S.verdicts_until_closed(stream, keep=timedelta(days=7), late="1 day"),
+                lambda batch, n: got.extend((r.case_id, r.signal_code, r.verdict) for r in batch.collect()), f"{out}/state", "update",
+            )
+            return sorted(got), [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]][-1]
+
+        first = [(i, "2024-01-01", i, ELA, "CONFIRMED") for i in range(1, 21)] + [(30, None, 1, ELA, "REJECTED"), (31, "2024-01-01", None, ELA, "REJECTED")]
+        found, held = run(*first, (40, "2024-01-01", 1, ELA, "REJECTED"), (39, "2024-01-01", 1, ELA, "CONFIRMED"))
+        assert found == sorted([(1, ELA, "REJECTED"), *[(i, ELA, "CONFIRMED") for i in range(2, 21)]]) and held == 20
+        found, held = run(*[(100 + i, "2024-01-02", i, S.CLOSED, None) for i in range(1, 16)], (150, "2024-01-02", 1, PAN, "CONFIRMED"))
+        assert found == [(1, PAN, "CONFIRMED")] and held == 20  # closed, but within the days that are kept
+        run((200, "2024-01-20", 20, PAN, "CONFIRMED"))
+        found, held = run((201, "2024-01-21", 1, ELA, "CONFIRMED"))
+        assert found == [(1, ELA, "CONFIRMED")] and held == 6  # the five open cases, and the one opened anew
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_scans_arrive_in_turns(spark, tmp_path):
+    """Verdicts on new images only, and all are kept; what isn't an image or shows no case is left out."""
+    from pyspark.sql import functions as F
+
+    from docverify.plans import jobs
+    from docverify.sources.tables import bitmap, scan_hashes, scan_stream
+
+    folder = tmp_path / "scans"
+    folder.mkdir()
+    fields = spark.createDataFrame(
+        [(i, i // 2, "PAN", "AAAPG1234A", "ANSH GUPTA", "15/08/2002", "", "", 0.94) for i in range(8)],
+        "doc_id long, image_id long, doc_type string, id_number string, name string, dob string, line1 string, line2 string, ocr_confidence double",
+    )
+    payloads = spark.createDataFrame([], "clean_id string, payload string")
+    registry = spark.createDataFrame([], "clean_id string, reg_name string, reg_dob string")
+
+    def run():
+        scans = scan_stream(spark, f"file://{folder}").select(F.regexp_extract("origin", r"([0-9]+)\.bmp", 1).cast("long").alias("image_id"), "height", "width", "data")
+        got = jobs.score_scan_stream(scans, fields, payloads, registry, F.lit("2024-01-31").cast("date"), f"file://{tmp_path}/out")
+        return {r.doc_id: r.trust_score for r in got.collect()}
+
+    for i in (0, 1):
+        (folder / f"{i}.bmp").write_bytes(bitmap(48, 48, bytes([40 * i + 9] * (48 * 48 * 3))))
+    (folder / "7.bmp").write_bytes(b"no image")
+    first = run()
+    assert sorted(first) == [0, 1, 2, 3] and run() == first
+    (folder / "3.bmp").write_bytes(bitmap(24, 30, bytes(24 * 30 * 3)))
+    (folder / "9.bmp").write_bytes(bitmap(24, 30, bytes(24 * 30 * 3)))
+    assert sorted(run()) == [0, 1, 2, 3, 6, 7]
+    import hashlib
+
+    hashes = {r.origin.rsplit("/", 1)[1]: r.doc_hash for r in scan_hashes(spark, f"file://{folder}").collect()}
+    assert hashes == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in folder.iterdir()}
