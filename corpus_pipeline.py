@@ -56,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each row of the mix: doc_id, n_tokens, ids_sha256, decoded_sha256; a null text counts as empty."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), block_chars=BLOCK_CHARS)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), block_chars=BLOCK_CHARS, stored=True)
 
 
 STAGES = [

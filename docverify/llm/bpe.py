@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from docverify.llm.memory import release
 from docverify.llm.pretokens import Numbers, splitter
+from docverify.plans.storage import written
 
 #: Characters of text in a block, except that a document isn't divided.
 BLOCK_CHARS = 4_000_000
@@ -102,16 +103,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tup
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id",
-    text_col: str = "text", block_chars: int = BLOCK_CHARS,
+    text_col: str = "text", block_chars: int = BLOCK_CHARS, stored: bool = False,
 ) -> DataFrame:
     """(doc_id, ids array<int>): every whole text by the ranks in a .tiktoken file, without special tokens.
 
     One row per input row, repeated rows and null ids included; a null text
     counts as empty and gives no ids. Other columns are ignored.
+
+    Blocks of texts are known by their place, in the branch of texts and in the
+    branch of words, and again where an executor was lost: the input must have
+    the same rows in the same order whenever it is read. With `stored` the
+    caller says that docs comes from files as it is; else it is written first.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = source if stored else written(source, "bpe-source")
     id_type = source.schema["doc_id"].dataType.simpleString()
-    buckets = max(MIN_BUCKETS, docs.count() // DOCS_PER_BUCKET)
+    buckets = max(MIN_BUCKETS, source.count() // DOCS_PER_BUCKET)
     id_arrow = _arrow_list(docs, id_col)
     parts = pa.schema(
         [("key", pa.int64()), ("block", pa.int64()), ("doc_ids", id_arrow), ("sizes", pa.binary()), ("data", pa.binary())]
@@ -235,9 +242,9 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(bytes_of, f"{schema}, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, **columns: str) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode() and decode()."""
-    both = decode(encode(docs, ranks_path, **columns), ranks_path)
+    both = decode(encode(docs, ranks_path, **options), ranks_path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -374,6 +374,27 @@ def test_bpe_small_blocks(docs):
     assert order((r[0], tuple(r[1])) for r in whole.collect()) == order((r[0], tuple(r[1])) for r in small.collect())
 
 
+def test_bpe_where_rows_come_in_another_order(spark, docs):
+    """Both branches, and a task that runs again, see the same rows, though the input deals them anew each time."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+    @F.udf(LongType())
+    def dealt(_):
+        return random.SystemRandom().randrange(1 << 60)
+
+    shuffled = docs.withColumn("deal", dealt.asNondeterministic()("n")).repartition(3, "deal").sortWithinPartitions("deal").drop("deal")
+    want = order((r[0], tuple(r[1])) for r in bpe.encode(docs, path).collect())
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for _ in range(2):
+            assert order((r[0], tuple(r[1])) for r in bpe.encode(shuffled, path, block_chars=300).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 # --- 8
 
 
