@@ -175,6 +175,8 @@ def encode(
                 [pa.array([blocks[i] for i in kept], pa.int64()), pa.array([out[i] for i in kept], pa.binary())],
                 ["key", "ids"],
             )
+            del keys, blocks, out
+            release()
 
     result = pa.schema([("doc_id", id_arrow.value_type), ("ids", pa.list_(pa.int32()))])
 
@@ -201,6 +203,8 @@ def encode(
             upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(tokens.astype(np.int64))])]
             ids = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[at].astype(np.int32)))
             found.append(pa.Table.from_arrays([pa.array(row["doc_ids"], id_arrow.value_type), ids], schema=result))
+        del number, size, flat, length, start
+        release()
         return pa.concat_tables(found)
 
     # both sides read one exchange: rows >= 0 are blocks, rows below are word buckets
@@ -237,6 +241,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(values, pa.binary())], [*batch.schema.names, "decoded"]
                 )
+            release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(bytes_of, f"{schema}, decoded binary")
