@@ -485,6 +485,19 @@ def c5_near_portraits(spark, sf_dir):
     return links.near_portraits(X.portraits(spark, sf_dir), 0.95).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    """WITH RECURSIVE given AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM embeddings),
+p AS (SELECT * FROM given UNION ALL SELECT -1 - vec_id, list_transform(u, lambda x, j: x * (1 + CASE WHEN j % 2 = 1 THEN 0.05 ELSE -0.05 END)) FROM given WHERE vec_id % 10 = 3),
+n AS (SELECT vec_id, u, sqrt(list_inner_product(u, u)) AS norm FROM p),
+near AS (SELECT l.vec_id AS a, r.vec_id AS b FROM n l JOIN n r ON l.vec_id <> r.vec_id WHERE list_inner_product(l.u, r.u) >= 0.95 * l.norm * r.norm),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM p UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b)
+SELECT a AS vec_id, min(b) AS group_id FROM reach GROUP BY a"""
+)
+def c5_portrait_groups(spark, sf_dir):
+    """Groups of near portraits, among the vectors and slightly changed copies of every tenth."""
+    return links.portrait_groups(X.portraits(spark, sf_dir)).select(C("id").alias("vec_id"), "group_id")
+
+
 def _addresses(spark, sf_dir):
     pin = lambda k: (100000 + (C("a") * 37 + k) % 900000).cast("string")
     one = F.concat_ws(" ", F.lit("12, MG Road,"), "surname", F.lit("Nagar"), pin(0))
