@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docverify.llm.contraction import MORE_LEADERS, apart, few_pairs, leaders_of, merged, shared_keys
 from docverify.llm.memory import release
 from docverify.operators.components import connected_components
+from docverify.operators.contraction import MORE_LEADERS, apart, few_pairs, leaders_of, merged, shared_keys
 from docverify.plans.storage import written
 
 SHINGLE_WORDS = 3

@@ -161,7 +161,7 @@ def test_images_cropped_and_edited(spark):
 
 def test_images_against_all_pairs(spark, monkeypatch):
     """A large group of noisy copies, edited ones and others, by the same comparison of all pairs."""
-    from docverify.llm import contraction
+    from docverify.operators import contraction
 
     monkeypatch.setattr(contraction, "FEW", 1)  # fuller keys have leaders
     r = np.random.default_rng(9)
