@@ -11,3 +11,8 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is computed once a row."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def numbers(values: list[int]) -> Column:
+    """An array of whole numbers as one literal, made in one call."""
+    return F.expr(f"array({', '.join(map(str, values))})")

@@ -10,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docverify.functions import lookups as L
-from docverify.functions.bind import let
+from docverify.functions.bind import let, numbers
 
 
 def _fold(digits: Column, count: int, shift: int) -> Column:
     """Verhoeff's running product over the digits from the last to the first."""
-    d, p = F.lit(L.VERHOEFF_D), F.lit(L.VERHOEFF_P)
+    d, p = numbers(L.VERHOEFF_D), numbers(L.VERHOEFF_P)
 
     def over(back: Column) -> Column:
         def step(c: Column, i: Column) -> Column:
@@ -64,7 +64,7 @@ def aadhaar(number: Column) -> Column:
 
 def verhoeff_digit(prefix: Column) -> Column:
     """V2: the check digit of 11 digits (other than digits and of another length: null)."""
-    inverse = F.lit(L.VERHOEFF_INV)
+    inverse = numbers(L.VERHOEFF_INV)
     return let(
         F.regexp_replace(prefix, "[^0-9]", ""),
         lambda digits: F.when(F.length(digits) == 11, F.get(inverse, _fold(digits, 11, 1)).cast("string")),
@@ -114,7 +114,7 @@ def birth_date(text: Column, as_of: Column) -> Column:
     raw = F.trim(text)
     pieces = F.split(raw, r"[/\-.]")
 
-    def numbers(p: Column) -> Column:
+    def read(p: Column) -> Column:
         day, month, year = (F.get(p, i).try_cast("int") for i in range(3))
         return F.struct(day.alias("day"), month.alias("month"), year.alias("year"))
 
@@ -145,7 +145,7 @@ def birth_date(text: Column, as_of: Column) -> Column:
         )
 
     ordered = F.when(raw.rlike(_DMY), pieces).when(raw.rlike(_YMD), F.reverse(pieces))
-    return let(let(ordered, numbers), judged)
+    return let(let(ordered, read), judged)
 
 
 def mask(number: Column) -> Column:

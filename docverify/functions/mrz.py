@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docverify.functions.bind import let
+from docverify.functions.bind import let, numbers
 from docverify.functions.checks import empty
 
 
@@ -15,7 +15,7 @@ _VALUES = [c - 48 if 48 <= c <= 57 else (c | 32) - 87 if 97 <= c | 32 <= 122 and
 
 def check_digit(text: Column) -> Column:
     """V6: the 7-3-1 check digit as a string; other characters than digits and letters count as 0; null gives null."""
-    weights, values = F.lit([7, 3, 1]), F.lit(_VALUES)
+    weights, values = numbers([7, 3, 1]), numbers(_VALUES)
 
     def total(t: Column) -> Column:
         def step(sum_: Column, i: Column) -> Column:
