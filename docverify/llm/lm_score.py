@@ -119,17 +119,23 @@ def score(
     unknown ids change nothing. A null or empty text has no tokens and null
     losses and score. A null id is never a target. Without targets the target
     model is uniform. Repeated rows count and come out repeated; other columns
-    are ignored.
+    are ignored. Rows of one id with more text than a block are dealt over
+    several; rows that repeat an id and a text stay together.
     """
     if order * BITS > 64:
         raise ValueError(f"order {order} doesn't fit a code")
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
-    dealt = source.select(block, "doc_id", "text")
-    wanted = targets.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").select(block, "doc_id")
+    sizes = written(source.groupBy("doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("chars")), "lm-sizes")
+    blocks = max(1, -(-(sizes.agg(F.sum("chars")).first()[0] or 0) // block_chars))
+    # an id with more text than a block is dealt in parts, by its texts
+    hot = written(sizes.where(F.col("chars") > block_chars).select(F.col("doc_id").alias("hot_id"), F.ceil(F.col("chars") / block_chars).alias("parts")), "lm-hot")
+    block = lambda part: F.pmod(F.xxhash64("doc_id", part), F.lit(blocks)).alias("block")
+    own_part = F.coalesce(F.pmod(F.xxhash64("text"), "parts"), F.lit(0).cast("long"))
+    dealt = source.join(hot, F.col("doc_id").eqNullSafe(F.col("hot_id")), "left").select(block(own_part), "doc_id", "text")
+    good = targets.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().join(hot, F.col("doc_id") == F.col("hot_id"), "left")
+    each_part = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    wanted = good.select("doc_id", each_part).select(block(F.col("part")), "doc_id").distinct()
     ids = alphabet(source)
 
     def counted(own: pa.Table, good: pa.Table) -> pa.Table:

@@ -52,6 +52,21 @@ def test_against_brute_force(spark):
             assert g[2:] == pytest.approx(w[2:], abs=1e-9)
 
 
+def test_one_id_with_most_of_the_text(spark):
+    """Its rows are dealt over many blocks, as a target too; so are those without an id."""
+    texts = [f"{w} {k} {w[::-1]}" for k in range(25) for w in ("alpha", "beta")]
+    rows = [(7, t) for t in texts] + [(None, t) for t in texts[:20]] + [(i, t) for i, t in enumerate(texts[:6], 100)] + [(8, "x" * 300), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(7,), (101,), (None,)], "doc_id long")
+    got = [tuple(r) for r in lm_score.score(docs, good, order=3, block_chars=30).collect()]
+    want = brute(rows, {7, 101}, 3)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None)
+        if w[2] is not None:
+            assert g[2:] == pytest.approx(w[2:], abs=1e-9)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.score(docs, docs).count() == 0
