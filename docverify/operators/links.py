@@ -64,18 +64,20 @@ def suspicious_links(found: DataFrame) -> DataFrame:
 
 
 def case_pairs(found: DataFrame, paired: int = PAIRED) -> DataFrame:
-    """(a, b, entity_type, entity_id), a < b, for cases that share an entity.
+    """(a, b, entity_type, entity_id, all_pairs), a < b, for cases that share an entity.
 
     An entity with more than `paired` cases pairs each with its smallest only:
-    as many rows as cases, and the same components.
+    as many rows as cases, and the same components. all_pairs is false for
+    these, so that a reader sees where pairs are meant but not listed.
     """
     sizes = found.groupBy("entity_type", "entity_id").agg(F.count(F.lit(1)).alias("n"), F.min("case_id").alias("least")).where("n > 1")
     sized = found.join(sizes, ["entity_type", "entity_id"])
     few = sized.where(F.col("n") <= paired).select("entity_type", "entity_id", "case_id")
     both = few.alias("l").join(few.alias("r"), ["entity_type", "entity_id"]).where("l.case_id < r.case_id")
     star = sized.where((F.col("n") > paired) & (F.col("case_id") > F.col("least")))
-    return both.select(F.col("l.case_id").alias("a"), F.col("r.case_id").alias("b"), "entity_type", "entity_id").unionByName(
-        star.select(F.col("least").alias("a"), F.col("case_id").alias("b"), "entity_type", "entity_id")
+    named = ["entity_type", "entity_id"]
+    return both.select(F.col("l.case_id").alias("a"), F.col("r.case_id").alias("b"), *named, F.lit(True).alias("all_pairs")).unionByName(
+        star.select(F.col("least").alias("a"), F.col("case_id").alias("b"), *named, F.lit(False).alias("all_pairs"))
     )
 
 

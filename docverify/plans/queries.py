@@ -575,7 +575,7 @@ def g4_suspicious(spark, sf_dir):
 
 @query(
     _LINKED
-    + f"""SELECT l.case_id AS a, r.case_id AS b, entity_type, entity_id FROM li l JOIN li r USING (entity_type, entity_id) JOIN sh USING (entity_type, entity_id)
+    + f"""SELECT l.case_id AS a, r.case_id AS b, entity_type, entity_id, n_cases <= {links.PAIRED} AS all_pairs FROM li l JOIN li r USING (entity_type, entity_id) JOIN sh USING (entity_type, entity_id)
   WHERE l.case_id < r.case_id AND (n_cases <= {links.PAIRED} OR l.case_id = first_case)"""
 )
 def g5_pairs(spark, sf_dir):
