@@ -183,6 +183,33 @@ def test_images_against_all_pairs(spark, monkeypatch):
     assert len(set(root)) == 12 and image_copies.image_copies(images.limit(0)).count() == 0
 
 
+def test_image_links_without_a_shared_key(spark, monkeypatch):
+    """Descriptors that differ in few bits, some of them in every table's key, and all pairs over several blocks."""
+    r = np.random.default_rng(4)
+    flipped = np.zeros(256, np.uint8)
+    flipped[[k[0] for k in image_copies._KEYED]] = 1
+    flip = np.packbits(flipped).view("<u8")
+    rows = []
+    for i in range(40):
+        words = r.integers(0, 1 << 63, (image_copies.MIN_CONSENSUS + i % 2, 4)).astype("<u8")
+        places = np.column_stack([r.integers(0, 60, (len(words), 2)), np.ones(len(words)), np.zeros(len(words))]).astype("<f4")
+        for image_id, w in ((2 * i, words), (2 * i + 1, words ^ flip if i % 4 else words[1:] ^ flip)):
+            p = places[-len(w) :]
+            rows.append((image_id, p.tobytes() + w.tobytes(), image_copies.table_keys(w).tolist()))
+    known = {i: f for i, f, _ in rows}
+    assert not set(rows[2][2]) & set(rows[3][2])
+    want = {(a, b) for b in known for a in range(b) if image_copies.consensus(known[a], known[b]) >= image_copies.MIN_CONSENSUS}
+    assert (2, 3) in want and (0, 1) not in want and len(want) == 30
+    found = spark.createDataFrame(rows, "image_id long, features binary, keys array<long>")
+    for images, tile in ((4096, 16), (10, 3)):
+        monkeypatch.setattr(image_copies, "BLOCK_IMAGES", images)
+        monkeypatch.setattr(image_copies, "TILE_IMAGES", tile)
+        monkeypatch.setattr(image_copies, "TILE_CORNERS", tile * 5)
+        linked, roots = image_copies.links(found)
+        assert {(x["a"], x["b"]) for x in linked.collect()} == want
+        assert {(x["node"], x["root"]) for x in roots.collect()} == {(i, a) for a, b in want for i in (a, b)}
+
+
 # --- 4
 
 
