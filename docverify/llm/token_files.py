@@ -15,7 +15,6 @@ A file is MAGIC, the checksum of its table, then blocks in order:
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -216,8 +215,7 @@ class Ids:
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
         self.tokenizer = _tokenizer(path)
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = splitter(public_tokenizers.PATTERN)
         self.numbers, self.memo = Numbers(), memo
         # ids of all numbered pre-tokens one after another, and where each one's end
@@ -226,10 +224,16 @@ class Ids:
         self.texts: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """Ids of single pre-tokens, by the tokenizer's model."""
-        model = self.tokenizer.model.tokenize
-        return [[t.id for t in model(w.encode().decode("latin-1").translate(_LETTERS))] for w in words]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single pre-tokens, one after another, and how many each has, by the tokenizer's model."""
+        model, space, flat, sizes = self.tokenizer.model.tokenize, _LETTERS[0x20], [], []
+        for w in words:
+            # of what shows in ASCII only the space has another letter
+            plain = w.isascii() and w.isprintable()
+            found = model(w.replace(" ", space) if plain else w.encode().decode("latin-1").translate(_LETTERS))
+            flat += [t.id for t in found]
+            sizes.append(len(found))
+        return np.array(flat, np.uint32), np.array(sizes, np.int64)
 
     def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -251,9 +255,7 @@ class Ids:
         fresh = list(islice(self.numbers, before, None))
         flat, ends = self.flat, self.ends
         if fresh:
-            found = self._words(fresh)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            new = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            new, sizes = self._words(fresh)
             flat, ends = np.concatenate([flat, new]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
             kept = max(before, min(len(self.numbers), self.memo))
             self.flat, self.ends = flat[: ends[kept]], ends[: kept + 1]
@@ -262,10 +264,9 @@ class Ids:
         raw, upto = gathered(flat, ends, place, many)
         raw, upto = raw.astype("<u4").tobytes(), (4 * upto).tolist()
         out = [raw[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
-        if self.special:
-            for i, t in enumerate(texts):
-                if self.special.search(t):
-                    out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        for i, t in enumerate(texts):
+            if any(x in t for x in self.specials):
+                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 

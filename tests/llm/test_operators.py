@@ -492,6 +492,17 @@ def test_ids_beyond_the_memo():
     assert [ids.of([t])[0] for t in texts] == whole and len(ids.numbers) == 10
 
 
+def test_ids_of_single_pretokens():
+    """Every ASCII character alone, after a space and in a word, and others: as the tokenizer's own byte letters give."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = token_files.Ids(path)
+    words = [f"{a}{chr(c)}{b}" for c in range(128) for a, b in (("", ""), (" ", ""), ("a", "b"))] + [" é", "ñandú", "日本", " 😀", "  ", ""]
+    letters = [w.encode().decode("latin-1").translate(token_files._LETTERS) for w in words]
+    want = [[t.id for t in token_files._tokenizer(path).model.tokenize(w)] for w in letters]
+    flat, sizes = ids._words(words)
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 400_000])
 def test_rans_round_trip_from_every_checkpoint(n):
     ids = (np.random.default_rng(n).pareto(1.0, n) * 3).clip(0, 50_000).astype(np.uint32)
