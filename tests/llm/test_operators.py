@@ -13,7 +13,7 @@ import xxhash
 import zstandard
 
 from docverify.llm import bpe, exact_dedup, image_copies, language, mixing, simhash, token_files, toxicity, warc
-from docverify.plans.storage import new_path
+from docverify.plans.storage import new_path, written
 
 ODD = " \t\n\r\x0b\x0c\x1c\x85\xa0　'sdtmlreVABéß漢字01²½!?,.<|>-_🙂́"
 SCHEMA = "doc_id long, text string, lang string, source string, tag long, salt string, n long, key string"
@@ -210,6 +210,35 @@ def test_image_links_without_a_shared_key(spark, monkeypatch):
         assert {(x["node"], x["root"]) for x in roots.collect()} == {(i, a) for a, b in want for i in (a, b)}
 
 
+def test_image_index_leaves_no_near_descriptor_out(spark, monkeypatch):
+    """Corners at exactly MAX_DIFFERENT bits, spread over all words and parts or heaped; one more bit makes no match."""
+    monkeypatch.setattr(image_copies, "TILE_CORNERS", 500)
+    r, n, rows = np.random.default_rng(6), image_copies.MIN_CONSENSUS, []
+    for i in range(60):
+        words = r.integers(0, 1 << 63, (n, 4)).astype("<u8")
+        bits = np.unpackbits(words.view(np.uint8), axis=1)
+        for k in range(n):
+            few = image_copies.MAX_DIFFERENT + (i % 3 == 2 and k == 0)
+            bits[k, r.permutation(256)[:few] if i % 2 else (np.arange(few) + 5 * i) % 256] ^= 1
+        places = np.column_stack([r.integers(0, 60, (n, 2)), np.ones(n), np.zeros(n)]).astype("<f4").tobytes()
+        for image_id, w in ((2 * i, words), (2 * i + 1, np.packbits(bits, axis=1).view("<u8"))):
+            rows.append((image_id, places + w.tobytes(), image_copies.table_keys(w).tolist()))
+    found = spark.createDataFrame(rows, "image_id long, features binary, keys array<long>")
+    got = image_copies.apart_links(found, spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")).collect()
+    assert {(g["a"], g["b"]) for g in got} == {(2 * i, 2 * i + 1) for i in range(1, 60) if i % 3 != 2}
+    assert {g["consensus"] for g in got} == {n}
+
+
+def test_image_copies_stored(spark, monkeypatch):
+    """Images are dealt to few tasks, and neither keys nor pairs that are no links are written."""
+    assert image_copies.apart_blocks(56_411, 12) == 4 and image_copies.apart_blocks(100, 12) == 2
+    labels = []
+    monkeypatch.setattr(image_copies, "written", lambda df, label: labels.append(label) or written(df, label))
+    vectors = spark.createDataFrame([(i, [float((i * k) % 11) for k in range(1, 17)]) for i in range(12)], "vec_id long, embedding array<double>")
+    image_copies.image_copies(image_copies.images_of_vectors(vectors)).count()
+    assert labels == ["image-ids", "image-features", "links"]
+
+
 # --- 4
 
 
