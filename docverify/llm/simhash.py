@@ -108,7 +108,8 @@ def similar_fingerprints(distinct: DataFrame, fp: str = "fp") -> DataFrame:
         F.array(*[F.lit(_mask([left[i]]) if i < len(left) else -1).cast("long") for left in skipped])
         for i in range(MAX_BITS)
     ]
-    left, right = entries.alias("l"), entries.alias("r")
+    # a broadcast would pass the entries through the driver, as their size is taken for that of the fingerprints
+    left, right = entries.alias("l").hint("merge"), entries.alias("r").hint("merge")
     differs = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     first = None
     for masks in at:

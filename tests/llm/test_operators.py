@@ -316,6 +316,12 @@ def test_byte_index_finds_every_close_pair(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_byte_index_is_not_broadcast(spark):
+    """An entry for each set of positions isn't sent through the driver, however small the fingerprints' own table is."""
+    plan = simhash.similar_fingerprints(spark.range(1000).selectExpr("xxhash64(id) AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_duplicates_go(spark):
     text = " ".join(f"w{i}" for i in range(400))
     rows = [(i, text, "en", "s", 1, "c", 1, "k") for i in (5, 3, 9)] + [(None, text, "en", "s", 1, "c", 1, "k"), (1, "other", "en", "s", 1, "c", 1, "k")]
