@@ -41,3 +41,29 @@ def test_thousands_of_alike_portraits(spark, monkeypatch):
 
 def rows_of(v):
     return [float(x) for x in v]
+
+
+def test_no_near_pair_is_missed(spark, monkeypatch):
+    """3,000 pairs just over the least cosine, copies and a chain, in several blocks and tiles: all are found, as by brute force."""
+    from docverify.operators import allpairs
+
+    monkeypatch.setattr(allpairs, "TILE_ROWS", 100)
+    r = np.random.default_rng(8)
+    one = r.normal(size=(3000, 24))
+    away = r.normal(size=(3000, 24))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    away -= (away * one).sum(1)[:, None] * one
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cosines = 0.95 + r.uniform(1e-7, 0.001, 3000)
+    other = cosines[:, None] * one + np.sqrt(1 - cosines**2)[:, None] * away
+    vectors = np.concatenate([one, 3 * other, one[:5], one[0] * (1 + 0.3 * np.arange(8)[:, None] * (np.arange(24) % 2))])
+    odd = [(90001, None), (90002, []), (90003, [0.0] * 24), (90004, [1e300] * 24), (90005, [1.0] * 7), (90006, [1.0] * 6 + [1.1]), (None, [1.0] * 24), (90007, [float("nan")] * 24)]
+    portraits = spark.createDataFrame([(i, rows_of(v)) for i, v in enumerate(vectors)] + odd, "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    first = np.sort(np.unique(unit, axis=0, return_index=True)[1])
+    near = [(int(first[i]), int(first[j])) for i, j in zip(*np.nonzero(np.triu(unit[first] @ unit[first].T >= 0.95, 1)), strict=True)]
+    got = links.near_portraits(portraits).collect()
+    assert sorted((g.a, g.b) for g in got) == sorted([*near, (90005, 90006)]) and len(near) >= 3000
+    assert all(abs(g.similarity - unit[g.a] @ unit[g.b]) < 1e-12 for g in got if g.a < 90000)
+    assert links.near_portraits(portraits.limit(0)).count() == 0
+
