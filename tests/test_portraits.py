@@ -65,5 +65,32 @@ def test_no_near_pair_is_missed(spark, monkeypatch):
     got = links.near_portraits(portraits).collect()
     assert sorted((g.a, g.b) for g in got) == sorted([*near, (90005, 90006)]) and len(near) >= 3000
     assert all(abs(g.similarity - unit[g.a] @ unit[g.b]) < 1e-12 for g in got if g.a < 90000)
+    many = {i: 0 for i in first.tolist()}
+    for pair in near:
+        for i in pair:
+            many[i] += 1
+    groups = {g.id: g for g in links.portrait_groups(portraits).collect()}
+    assert all(groups[i].n_links == n for i, n in many.items())  # all of a portrait's links, not only those that were needed
+    assert all(groups[i].group_id == groups[j].group_id == min(i, j, groups[i].group_id) for i, j in near)
+    assert [groups[i].group_id for i in (90001, 90002, 90003, 90004, 90005, 90006, 90007, 3000 + 3000)] == [90001, 90002, 90003, 90004, 90005, 90005, 90007, 0]
     assert links.near_portraits(portraits.limit(0)).count() == 0
 
+
+def test_a_crowd_of_portraits_writes_no_pairs(spark, monkeypatch):
+    """What is written is a few rows a portrait, of a crowd that is alike and of one that shares keys but isn't."""
+    r = np.random.default_rng(9)
+    alike = 1 + 0.01 * r.normal(size=(1500, 16))
+    not_alike = 1 + 0.6 * r.normal(size=(1500, 16))
+    portraits = spark.createDataFrame([(i, rows_of(v)) for i, v in enumerate([*alike, *not_alike])], "vec_id long, embedding array<double>")
+    seen, real = [], links.written
+
+    def counted(df, label):
+        out = real(df, label)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "written", counted)
+    monkeypatch.setattr(contraction, "written", counted)
+    got = {g.id: g for g in links.portrait_groups(portraits).collect()}
+    assert {got[i].group_id for i in range(1500)} == {0} and got[7].n_links >= 1499
+    assert sum(seen) <= 12 * 3000
