@@ -8,8 +8,6 @@ members, not pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,41 +78,3 @@ def leaders_of(many: DataFrame, leaders: int) -> DataFrame:
         F.max(F.struct("degree", "node")).alias("best")
     )
     return written(best.select("band", "key", F.col("best.node").alias("node")), "leaders")
-
-
-def _meeting(here: DataFrame, others: DataFrame) -> DataFrame:
-    """(a, b) of nodes of `here` and `others` (each: band, key, node, root) that meet under a key and have two roots."""
-    other = others.select("band", "key", F.col("node").alias("their_node"), F.col("root").alias("their_root"))
-    met = here.select("band", "key", "node", "root").join(other, ["band", "key"]).where("root <> their_root")
-    return met.select(F.least("node", "their_node").alias("a"), F.greatest("node", "their_node").alias("b"))
-
-
-def contracted(entries: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Links (as `verified` gives them, with a and b) of nodes that meet under a key, and (node, root) of their components.
-
-    entries are (band, key, node); verified takes pairs (a, b), each once, and
-    returns those that hold. First each node is tried with the smallest of each
-    of its keys, then all nodes under a key that links don't connect yet, fuller
-    keys by leaders, whose number grows until none is left.
-    """
-    index = shared_keys(entries, "index")
-    tried = written(index.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    linked = written(verified(tried), "links")
-    roots, leaders = merged(None, linked), 1
-    while True:
-        few, many = apart(index, roots, linked)
-        met = _meeting(few, few.where("root <> main"))  # of two nodes one isn't of the commonest root
-        more = not many.isEmpty()
-        if more:
-            chosen = leaders_of(many, leaders)
-            met = met.union(_meeting(many, many.join(chosen, ["band", "key", "node"], "left_semi")))
-            index = many.select("band", "key", "node").join(chosen, ["band", "key", "node"], "left_anti")
-        ready = written(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not ready.isEmpty():
-            tried = tried.union(ready)
-            new = written(verified(ready), "links")
-            if not new.isEmpty():
-                linked, roots = linked.union(new), merged(roots, new)
-        if not more:
-            return linked, roots
-        leaders *= MORE_LEADERS

@@ -229,6 +229,19 @@ def test_image_index_leaves_no_near_descriptor_out(spark, monkeypatch):
     assert {g["consensus"] for g in got} == {n}
 
 
+def test_all_links_of_a_group_of_images_count(spark):
+    """n_links is the number of all classes that a class links to, within a group of copies too."""
+    r = np.random.default_rng(9)
+    drawn = [np.kron(r.integers(30, 220, (9, 9)), np.ones((8, 8))) for _ in range(3)]
+    pictures = [*drawn, *(np.clip(drawn[0] + r.normal(0, 2, drawn[0].shape), 0, 255) for _ in range(25)), drawn[1][5:, 6:] * 0.8 + 20]
+    rows = [(i, *p.shape, np.ascontiguousarray(p.astype(np.uint8)).tobytes()) for i, p in enumerate(pictures)]
+    images = spark.createDataFrame([*rows, (99, *rows[0][1:])], "image_id long, height int, width int, pixels binary")
+    known = {k["image_id"]: k["features"] for k in image_copies.features(images).collect()}
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if image_copies.consensus(known[a], known[b]) >= image_copies.MIN_CONSENSUS]
+    got = {g["image_id"]: g["n_links"] for g in image_copies.image_copies(images).collect()}
+    assert got == {i: sum(i % 99 in pair for pair in pairs) for i in [*range(len(rows)), 99]} and got[0] == 25
+
+
 def test_image_copies_stored(spark, monkeypatch):
     """Images are dealt to few tasks, and neither keys nor pairs that are no links are written."""
     assert image_copies.apart_blocks(56_411, 12) == 4 and image_copies.apart_blocks(100, 12) == 2
