@@ -242,6 +242,14 @@ def test_all_links_of_a_group_of_images_count(spark):
     assert got == {i: sum(i % 99 in pair for pair in pairs) for i in [*range(len(rows)), 99]} and got[0] == 25
 
 
+def test_images_are_dealt_once(spark, monkeypatch):
+    """What is shuffled doesn't grow with the pairs of blocks."""
+    monkeypatch.setattr(image_copies, "BLOCK_IMAGES", 5)
+    found = spark.range(40).selectExpr("id AS image_id", "cast('' AS binary) AS features")
+    plan = image_copies.apart_links(found)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+
+
 def test_image_copies_stored(spark, monkeypatch):
     """Images are dealt to few tasks, and neither keys nor pairs that are no links are written."""
     assert image_copies.apart_blocks(56_411, 12) == 4 and image_copies.apart_blocks(100, 12) == 2
