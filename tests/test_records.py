@@ -349,3 +349,17 @@ def test_review_queue_keeps_the_newest_of_each_status(spark):
     plan = queue._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "rangepartitioning" not in plan
     assert fusion.review_queue(scored, "escalate").count() == 333
+
+
+def test_pictures_are_dealt_out(spark, tmp_path):
+    """However few bytes their keys have, pictures are drawn and measured in several tasks; histograms alone equal those that are measured."""
+    from docverify.sources import fixtures
+
+    spark.range(400).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    for table in (fixtures.pictures, fixtures.strips):
+        at = table(spark, str(tmp_path)).select("image_id", F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+        assert sum(r["count"] for r in at) == 400 and max(r["count"] for r in at) <= 200
+    some = fixtures.pictures(spark, str(tmp_path)).where("image_id < 40")
+    odd = spark.createDataFrame([(90, 2, 2, b"1"), (91, 0, 0, b""), (92, None, 1, b"123"), (93, 1, 1, None)], "image_id long, height int, width int, data binary")
+    want = {r.image_id: r.hist for r in images.measure(some.union(odd)).collect()}
+    assert {r.image_id: r.hist for r in images.histograms(some.union(odd)).collect()} == want and len(want) == 40
