@@ -111,3 +111,35 @@ def test_scans_arrive_in_turns(spark, tmp_path):
 
     hashes = {r.origin.rsplit("/", 1)[1]: r.doc_hash for r in scan_hashes(spark, f"file://{folder}").collect()}
     assert hashes == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in folder.iterdir()}
+
+
+def test_cases_are_worked_out_once_a_run(spark, tmp_path, monkeypatch):
+    """However many batches of images come: what cases show without images is stored with the first, and not before one comes."""
+    from pyspark.sql import functions as F
+
+    from docverify.operators import images
+    from docverify.plans import jobs
+    from docverify.sources.tables import bitmap, read_scans, scan_stream
+
+    labels, real = [], jobs.written
+    monkeypatch.setattr(jobs, "written", lambda df, label: labels.append(label) or real(df, label))
+    folder = tmp_path / "scans"
+    folder.mkdir()
+    fields = spark.createDataFrame(
+        [(i, i // 2, "PAN", "AAAPG1234A", "ANSH GUPTA", "15/08/2002", "", "", 0.94) for i in range(8)],
+        "doc_id long, image_id long, doc_type string, id_number string, name string, dob string, line1 string, line2 string, ocr_confidence double",
+    )
+    payloads = spark.createDataFrame([], "clean_id string, payload string")
+    registry, as_of = spark.createDataFrame([("AAAPG1234A", "ANSH GUPTA", "16/08/2002")], "clean_id string, reg_name string, reg_dob string"), F.lit("2024-01-31").cast("date")
+    named = lambda scans: scans.select(F.regexp_extract("origin", r"([0-9]+)\.bmp", 1).cast("long").alias("image_id"), "height", "width", "data")
+
+    def run():
+        got = jobs.score_scan_stream(named(scan_stream(spark, f"file://{folder}", 1)), fields, payloads, registry, as_of, f"file://{tmp_path}/out")
+        return sorted((r.doc_id, r.trust_score, r.action, r.codes) for r in got.collect())
+
+    assert run() == [] and labels == []
+    for i in range(3):
+        (folder / f"{i}.bmp").write_bytes(bitmap(48, 48, bytes([40 * i + 9] * (48 * 48 * 3))))
+    at_once = jobs.score_scans(fields, images.measure(named(read_scans(spark, f"file://{folder}/*.bmp"))), payloads, registry, None, as_of)
+    want = sorted((r.doc_id, r.trust_score, r.action, r.codes) for r in at_once.collect())
+    assert run() == want and len(want) == 6 and labels == ["stream-cases"]
